@@ -1,5 +1,6 @@
 """Query catalogue: importing this package registers every query key."""
 from . import registry  # noqa: F401
 from . import feature_plans  # noqa: F401
+from . import eval_plans  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401,E402
