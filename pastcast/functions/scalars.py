@@ -41,8 +41,8 @@ def numeric_cell(x: str | Column) -> Column:
 
 
 def int_cell(x: str | Column) -> Column:
-    """B9 int variant: truncates toward zero."""
-    return numeric_cell(x).cast("int")
+    """B9 int variant: truncates toward zero (BIGINT; out of range -> NULL)."""
+    return numeric_cell(x).try_cast("long")
 
 
 def time_to_seconds(x: str | Column) -> Column:
@@ -74,7 +74,7 @@ def parse_ddmmyy(x: str | Column, pivot: int = 80) -> Column:
                    F.when(yi < pivot, yi + 2000).otherwise(yi + 1900))
             .otherwise(yi))
     txt = F.format_string("%04d-%s-%s", year, m, d)
-    return F.when(F.length(d) == 2, F.try_to_date(txt, F.lit("yyyy-MM-dd")))
+    return F.when(F.length(d) == 2, F.try_to_date(txt, "yyyy-MM-dd"))
 
 
 def age_at_event(age_doc: Column, doc_year: Column, event_year: Column) -> Column:
