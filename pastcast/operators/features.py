@@ -81,6 +81,7 @@ def point_in_time_features(
     band_m: int = 100,
     groups: Iterable[str] = ALL_GROUPS,
     salt_buckets: int = 64,
+    contest_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     groups = frozenset(groups)
     if history is None:
@@ -298,12 +299,15 @@ def point_in_time_features(
     if "contest" in groups:
         # Q6/Q7: contest = (date, venue, distance); NULL keys form their own group;
         # n_field counts non-null kg. A grouped aggregate + equi-join, not a window.
-        cs = (Tgt.groupBy(F.col(DAY).alias("fc_day"), F.col("_v").alias("fc_v"),
-                          F.col("_td").alias("fc_d"))
+        ckeys = [DAY, "_v", "_td"] if contest_cols is None else list(contest_cols)
+        cs = (Tgt.groupBy(*[F.col(c).alias(f"_fc{i}") for i, c in enumerate(ckeys)])
               .agg(F.avg("_tk").alias("_kmean"), F.stddev_samp("_tk").alias("_kstd"),
                    F.count("_tk").alias("n_field")))
-        out = out.join(cs, out[DAY].eqNullSafe(cs["fc_day"]) & out["_v"].eqNullSafe(cs["fc_v"])
-                       & out["_td"].eqNullSafe(cs["fc_d"]), "left")
+        cond = None
+        for i, c in enumerate(ckeys):
+            e = out[c].eqNullSafe(cs[f"_fc{i}"])
+            cond = e if cond is None else cond & e
+        out = out.join(cs, cond, "left")
 
     # ------------------------------------------------ the output contract
     produced = {

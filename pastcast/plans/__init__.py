@@ -3,5 +3,6 @@ from . import registry  # noqa: F401
 from . import feature_plans  # noqa: F401
 from . import eval_plans  # noqa: F401
 from . import grid_plans  # noqa: F401
+from . import score_plans  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401,E402
