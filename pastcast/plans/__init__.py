@@ -5,5 +5,6 @@ from . import eval_plans  # noqa: F401
 from . import grid_plans  # noqa: F401
 from . import score_plans  # noqa: F401
 from . import selection_plans  # noqa: F401
+from . import source_plans  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401,E402
