@@ -340,6 +340,9 @@ def point_in_time_features(
             # group not requested: keep the contract (C3); absent counts are 0
             src = F.lit(0) if feature_type(name) == T.LongType() else F.lit(None)
         dtype = feature_type(name) if name in ALL_FEATURES else T.DoubleType()
+        if dtype == T.LongType() and name != "n_field":
+            # no matching probe (no rider, NULL key): a rookie's count is 0
+            src = F.coalesce(src, F.lit(0))
         feature_cols.append(src.cast(dtype).alias(name))
     keep = [Tgt[c] for c in targets.columns if c not in set(names)]
     return unique_columns(out.select(*keep, *feature_cols))

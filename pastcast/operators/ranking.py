@@ -37,12 +37,24 @@ def global_prefix(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     must be unique within ``by`` (feed it a distinct-value table)."""
     nb = _buckets(df, buckets)
     probs = [i / nb for i in range(1, nb)]
+    if not probs:
+        d = df.withColumn("_b", F.lit(0))
+    else:
+        d = _bucketed(df, order_col, probs)
+    return _prefix_from_buckets(df, d, order_col, sum_cols, by)
+
+
+def _bucketed(df: DataFrame, order_col: str, probs: list[float]) -> DataFrame:
     bounds = (df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("_bd"))
               .withColumn("_one", F.lit(0)))
     bucket = F.size(F.filter("_bd", lambda x: x < F.col(order_col).cast("double")))
     # the boundary list is a single row: broadcast it and join on a constant key
-    d = (df.withColumn("_one", F.lit(0)).join(F.broadcast(bounds), "_one")
-         .withColumn("_b", bucket).drop("_one", "_bd"))
+    return (df.withColumn("_one", F.lit(0)).join(F.broadcast(bounds), "_one")
+            .withColumn("_b", F.coalesce(bucket, F.lit(0))).drop("_one", "_bd"))
+
+
+def _prefix_from_buckets(df: DataFrame, d: DataFrame, order_col: str, sum_cols: Sequence[str],
+                         by: Sequence[str]) -> DataFrame:
     tot = d.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wg = Window.partitionBy(*by)

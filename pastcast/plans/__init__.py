@@ -7,5 +7,6 @@ from . import score_plans  # noqa: F401
 from . import selection_plans  # noqa: F401
 from . import source_plans  # noqa: F401
 from . import stream_plans  # noqa: F401
+from . import ml_plans  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401,E402
