@@ -189,11 +189,15 @@ def point_in_time_features(
                   .withColumn(SIDE, F.lit(0)).withColumn("_kind", F.lit(3)))
         frames.append(bprobe)
 
-    U = union_all(frames)
+    # _kg = 0 for entity rows (probes + day states), 1 for venue/band rows: the
+    # entity windows order by it first, so entity rows are contiguous and
+    # ``lag ... IGNORE NULLS`` never walks over venue/band rows; career, lag
+    # and year windows all need the same sort [_e, _kg, _yr, _day, _side].
+    U = union_all(frames).withColumn("_kg", F.when(F.col("_kind") <= 1, 0).otherwise(1))
 
-    order = ["_yr", DAY, SIDE]
+    order = ["_kg", "_yr", DAY, SIDE]
     wE = cumulative(["_e"], order, L)
-    wY = cumulative(["_e", "_yr"], [DAY, SIDE], L)
+    wY = cumulative(["_e", "_kg", "_yr"], [DAY, SIDE], L)
     wG = cumulative(["_e", "_gkk", "_gk"], [DAY, SIDE], L)
     lag = lambda c, i: lag_ignore_nulls(c, i, ["_e"], order)
 

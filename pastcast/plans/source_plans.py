@@ -53,7 +53,8 @@ def _write_history(spark, sf_dir):
 def _scan_history(spark, sf_dir):
     path = _scratch(spark, "history", sf_dir)
     try:
-        h = FS.scan_history(spark, path, HISTORY_SCHEMA.add("event_year", T.IntegerType()))
+        schema = T.StructType(HISTORY_SCHEMA.fields + [T.StructField("event_year", T.IntegerType())])
+        h = FS.scan_history(spark, path, schema)
         h.limit(1).collect()
     except Exception:
         h = _cached_history(spark, sf_dir)
