@@ -77,21 +77,36 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     pushdown instead of re-running the join in each plan branch.
     """
     import hashlib
-    import os
 
     from ..session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    base = ensure_checkpoint_dir(spark).rstrip("/")
     src = sf_dir.rstrip("/")
-    sig = "|".join(f"{n}:{os.path.getsize(os.path.join(src, n + '.parquet'))}"
-                   for n in ("lineitem", "orders", "customer", "nation")
-                   if os.path.exists(os.path.join(src, n + ".parquet")))
-    key = hashlib.md5(f"{os.path.abspath(src)}|{sig}".encode()).hexdigest()[:16]
-    path = os.path.join(base, "tables", f"history_{key}")
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+    sig = "|".join(f"{n}:{_fs_len(spark, f'{src}/{n}.parquet')}"
+                   for n in ("lineitem", "orders", "customer", "nation"))
+    key = hashlib.md5(f"{src}|{sig}".encode()).hexdigest()[:16]
+    path = f"{base}/tables/history_{key}"
+    if not _fs_exists(spark, f"{path}/_SUCCESS"):
         history_view(spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.schema(HISTORY_TABLE_SCHEMA).parquet(path)
 
 
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem (local, HDFS, object stores)."""
+    p, fs = _fs_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def _fs_len(spark: SparkSession, path: str) -> int:
+    p, fs = _fs_path(spark, path)
+    return int(fs.getFileStatus(p).getLen()) if fs.exists(p) else -1
+
+
 HISTORY_TABLE_SCHEMA = ("entity_id BIGINT, rider_id BIGINT, contest_id BIGINT, px DOUBLE, event_date DATE, "
                         "venue_id INT, distance_m INT, load_kg DOUBLE, finish_pos INT, dividend DOUBLE, "
                         "label INT, sex_code STRING, horse_age INT, post_position INT")
