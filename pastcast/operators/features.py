@@ -193,12 +193,15 @@ def point_in_time_features(
     # entity windows order by it first, so entity rows are contiguous and
     # ``lag ... IGNORE NULLS`` never walks over venue/band rows; career, lag
     # and year windows all need the same sort [_e, _kg, _yr, _day, _side].
-    U = union_all(frames).withColumn("_kg", F.when(F.col("_kind") <= 1, 0).otherwise(1))
-
-    order = ["_kg", "_yr", DAY, SIDE]
+    # Two unions keyed by the same probe: entity state (probes + entity-day
+    # rows) and venue / band state (probes + venue|distance-day rows + band
+    # probes). The entity windows then only see entity rows, so their sort and
+    # the lag ... IGNORE NULLS scans stay small; both sides come out hash
+    # partitioned by entity and meet again on the probe key.
+    UE = union_all(frames[:2])
+    order = ["_yr", DAY, SIDE]
     wE = cumulative(["_e"], order, L)
-    wY = cumulative(["_e", "_kg", "_yr"], [DAY, SIDE], L)
-    wG = cumulative(["_e", "_gkk", "_gk"], [DAY, SIDE], L)
+    wY = cumulative(["_e", "_yr"], [DAY, SIDE], L)
     lag = lambda c, i: lag_ignore_nulls(c, i, ["_e"], order)
 
     cols = [
@@ -213,15 +216,23 @@ def point_in_time_features(
         *[lag("e_top", i).alias(f"l_top{i}") for i in range(1, k + 1)],
         *[lag("e_dtop", i).alias(f"l_dtop{i}") for i in range(1, 4)],
     ]
-    if "venue" in groups or "band" in groups:
-        cols += [F.sum("g_n").over(wG).alias("g_cn"), F.sum("g_s").over(wG).alias("g_cs")]
-    W = U.select("_kind", "_e", DAY, "_yr", "_v", "_td", "_gkk", *cols)
+    W = UE.select("_kind", "_e", DAY, "_yr", "_v", "_td", *cols)
 
-    if "band" in groups:
-        from pyspark.sql.window import Window
-        wb = Window.partitionBy("_e", DAY, "_td")
-        W = (W.withColumn("b_n", F.sum(F.when(F.col("_kind") == 3, F.col("g_cn"))).over(wb))
-              .withColumn("b_s", F.sum(F.when(F.col("_kind") == 3, F.col("g_cs"))).over(wb)))
+    if len(frames) > 2:
+        UG = union_all([frames[0]] + frames[2:])
+        wG = cumulative(["_e", "_gkk", "_gk"], [DAY, SIDE], L)
+        G = UG.select("_kind", "_e", DAY, "_v", "_td",
+                      F.sum("g_n").over(wG).alias("g_cn"), F.sum("g_s").over(wG).alias("g_cs"))
+        if "band" in groups:
+            from pyspark.sql.window import Window
+            wb = Window.partitionBy("_e", DAY, "_td")
+            G = (G.withColumn("b_n", F.sum(F.when(F.col("_kind") == 3, F.col("g_cn"))).over(wb))
+                  .withColumn("b_s", F.sum(F.when(F.col("_kind") == 3, F.col("g_cs"))).over(wb)))
+        G = G.where(F.col("_kind") == 0).drop("_kind").select(
+            *[F.col(c).alias(f"_g{c}") for c in ("_e", DAY, "_v", "_td")],
+            *[c for c in ("g_cn", "g_cs", "b_n", "b_s") if c in G.columns])
+        W = W.join(G, (W["_e"] == G["_g_e"]) & (W[DAY] == G[f"_g{DAY}"])
+                   & W["_v"].eqNullSafe(G["_g_v"]) & W["_td"].eqNullSafe(G["_g_td"]), "left")
     P = W.where(F.col("_kind") == 0)
 
     d = F.col(DAY)
