@@ -91,3 +91,34 @@ def argmax_row(df: DataFrame, p: str = "p") -> DataFrame:
     """The most confident prediction with its context (one aggregate)."""
     cols = [c for c in df.columns]
     return df.agg(F.max_by(F.struct(*cols), F.col(p)).alias("_m")).select("_m.*")
+
+
+def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, scorer) -> DataFrame:
+    """L3: every contest of every day card in one job. cells(file, row, cells)
+    -> contests (B15/B16) -> entries (B17) -> distance by modal vote over the
+    card's readings(file, seq, text) (B19) zipped by contest order (B18) ->
+    default distance for features (C12, the source value is kept) ->
+    point-in-time features against the frozen ``history`` -> probability ->
+    rank within contest (F10) -> one nested record per contest (C11).
+    Empty contests have no entries and therefore no record."""
+    from ..functions.scalars import norm_name
+    from . import grid as G
+    from .features import point_in_time_features
+    from .validate import default_fill, nest_results
+    contests = G.card_contests(cells)
+    entries = G.entry_rows(contests)
+    votes = G.modal_vote(readings, ["file", "seq"], "seq", "text")
+    dist = G.ordinal_zip(contests, votes.select("file", "seq", F.col("value").alias("distance_m")))
+    targets = (entries.join(dist, ["file", "contest_no"])
+               .select("file", "contest_no", F.col("row").alias("entry_pos"),
+                       norm_name("entity_name").alias("entity_id"),
+                       G.doc_date(F.col("file")).alias("event_date"),
+                       F.regexp_extract("file", r"_RT(\d+)_", 1).try_cast("int").alias("venue_id"),
+                       F.col("distance_m").alias("distance_source_m"),
+                       default_fill(F.col("distance_m")).cast("int").alias("distance_m"),
+                       F.col("kg").alias("load_kg"), "post_position", "horse_age", "sex_code",
+                       norm_name("rider_name").alias("rider_id")))
+    f = point_in_time_features(history, targets, contest_cols=["file", "contest_no"])
+    ranked = rank_in_contest(scorer(f), ["file", "contest_no"], "p", ["entry_pos"])
+    return nest_results(ranked, ["file", "contest_no"], ["entity_id", "p", "post_position", "rank"],
+                        order="rank")

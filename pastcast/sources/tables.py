@@ -86,7 +86,17 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = hashlib.md5(f"{src}|{sig}".encode()).hexdigest()[:16]
     path = f"{base}/tables/history_{key}"
     if not _fs_exists(spark, f"{path}/_SUCCESS"):
-        history_view(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # write aside, then publish with one directory rename (atomic on HDFS and
+        # local disks): a concurrent job never sees a half-written table
+        import uuid
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+        history_view(spark, sf_dir).write.mode("overwrite").parquet(tmp)
+        src_p, fs = _fs_path(spark, tmp)
+        dst_p, _ = _fs_path(spark, path)
+        if not fs.exists(dst_p) and not fs.rename(src_p, dst_p):
+            raise RuntimeError(f"could not publish history table at {path}")
+        if fs.exists(src_p):
+            fs.delete(src_p, True)   # another job published first; drop our copy
     return spark.read.schema(HISTORY_TABLE_SCHEMA).parquet(path)
 
 

@@ -109,3 +109,26 @@ def test_dedup_keep_first(spark):
                                "e STRING, d INT, v INT, x INT, source_file STRING, source_row INT")
     out = {(r.v, r.x) for r in G.dedup_keep_first(df, ["e", "d", "v"], ["source_file", "source_row"]).collect()}
     assert out == {(None, 1), (3, 0)}                         # NULL keys compare equal
+
+
+def test_score_day_card_end_to_end(spark):
+    import datetime as dt
+    from pastcast.operators import score as SC
+    W = 26
+    rows = {i: _row(W) for i in range(20)}
+    rows[2] = _row(W, c7="PREMIO: Uno")
+    rows[3] = _row(W, c0="1", c2="Alpha", c11="55", c14="m", c15="4", c16="Ann")
+    rows[4] = _row(W, c0="2", c2="Bravo", c11="57", c14="h", c15="5", c16="Bob")
+    rows[10] = _row(W, c7="PREMIO: Dos")                         # empty contest: no record
+    f = "Programa_RT1_20240601.xls"
+    cells = spark.createDataFrame([(f, i, r) for i, r in rows.items()], "file STRING, row INT, cells ARRAY<STRING>")
+    readings = spark.createDataFrame([(f, 1, "1600 mts"), (f, 1, "1600mt"), (f, 2, "no reading")],
+                                     "file STRING, seq INT, text STRING")
+    hist = spark.createDataFrame(
+        [("ALPHA", dt.date(2024, 5, 1), 1, 1, 55.0, 1600, "ANN"), ("BRAVO", dt.date(2024, 5, 1), 1, 6, 56.0, 1600, "BOB")],
+        "entity_id STRING, event_date DATE, venue_id INT, finish_pos INT, load_kg DOUBLE, distance_m INT, rider_id STRING")
+    out = SC.score_day_card(cells, readings, hist, SC.DEMO_SCORER).collect()
+    assert len(out) == 1 and out[0].contest_no == 1 and out[0].n_entries == 2
+    names = [e.entity_id for e in out[0].entries]
+    assert names == ["ALPHA", "BRAVO"]                        # ALPHA placed 1st before: ranked first
+    assert [e.rank for e in out[0].entries] == [1, 2]
