@@ -104,7 +104,7 @@ def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, sc
     from ..functions.scalars import norm_name
     from . import grid as G
     from .features import point_in_time_features
-    from .validate import default_fill, nest_results
+    from .validate import default_fill, nest_results  # noqa: F401
     contests = G.card_contests(cells)
     entries = G.entry_rows(contests)
     votes = G.modal_vote(readings, ["file", "seq"], "seq", "text")
@@ -118,7 +118,13 @@ def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, sc
                        default_fill(F.col("distance_m")).cast("int").alias("distance_m"),
                        F.col("kg").alias("load_kg"), "post_position", "horse_age", "sex_code",
                        norm_name("rider_name").alias("rider_id")))
-    f = point_in_time_features(history, targets, contest_cols=["file", "contest_no"])
+    # C8/C9 before nesting: only valid contests (<= 25 entries) are collected
+    from .validate import entry_violations, split_valid
+    viol = entry_violations(F.col("entity_id"), F.col("load_kg"), F.col("post_position"),
+                            F.col("horse_age"), F.col("sex_code"), F.col("distance_m"))
+    targets, _ = split_valid(targets.withColumn("name", F.col("entity_id")), ["file", "contest_no"],
+                             "name", viol)
+    f = point_in_time_features(history, targets.drop("name"), contest_cols=["file", "contest_no"])
     ranked = rank_in_contest(scorer(f), ["file", "contest_no"], "p", ["entry_pos"])
     return nest_results(ranked, ["file", "contest_no"], ["entity_id", "p", "post_position", "rank"],
                         order="rank")

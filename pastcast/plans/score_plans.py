@@ -208,11 +208,13 @@ def _nest_results(spark, sf_dir):
 SELECT conv_id, turn AS entry_pos, role, length(text) AS n_chars FROM conversations
 """)
 def _flatten_cards(spark, sf_dir):
-    # nested card per conversation (context + ordered turns) -> one row per turn
-    cv = table(spark, sf_dir, "conversations")
-    cards = cv.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-                                      .alias("entries"))
-    flat = V.flatten_cards(cards, ["conv_id"])
+    # nested cards (context + ordered turns, at most 25 turns per card so every
+    # collected array is bounded; a long conversation spans several cards)
+    # -> one row per turn
+    cv = table(spark, sf_dir, "conversations").withColumn("card", F.floor(F.col("turn") / 25))
+    cards = cv.groupBy("conv_id", "card").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("entries"))
+    flat = V.flatten_cards(cards, ["conv_id", "card"])
     return flat.select("conv_id", F.col("turn").alias("entry_pos"), "role",
                        F.length("text").alias("n_chars"))
 
