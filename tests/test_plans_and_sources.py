@@ -23,6 +23,12 @@ def test_feature_plan_has_no_cartesian_or_global_window(spark):
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
     assert "SinglePartition" not in p
+    # exchange budget of the full 35-feature job (regression guard): every
+    # shuffle is hash partitioned, most of them on the entity key
+    import re
+    hashed = re.findall(r"Exchange hashpartitioning\(([^,)#]+)", p)
+    assert len(hashed) <= 20, hashed
+    assert sum(1 for k in hashed if k.strip() == "_e") >= len(hashed) // 2
 
 
 def test_signature_quarantine(spark, tmp_path):
