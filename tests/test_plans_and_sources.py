@@ -61,3 +61,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "career_runs" in df.columns
+
+
+def test_stream_land_is_idempotent(spark, tmp_path):
+    """M1: a second availableNow run over the same checkpoint lands nothing new;
+    a new file is picked up exactly once."""
+    from pastcast.streaming import jobs as J
+    src = tmp_path / "src"
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, v STRING")
+    df.write.parquet(str(src / "batch1"))
+    schema = df.schema
+    first = J.stream_land(spark, str(src / "batch1"), schema, out).count()
+    again = J.stream_land(spark, str(src / "batch1"), schema, out).count()
+    assert first == again == 2
+    spark.createDataFrame([(3, "c")], schema).write.mode("append").parquet(str(src / "batch1"))
+    assert J.stream_land(spark, str(src / "batch1"), schema, out).count() == 3
