@@ -228,11 +228,17 @@ def point_in_time_features(
             wb = Window.partitionBy("_e", DAY, "_td")
             G = (G.withColumn("b_n", F.sum(F.when(F.col("_kind") == 3, F.col("g_cn"))).over(wb))
                   .withColumn("b_s", F.sum(F.when(F.col("_kind") == 3, F.col("g_cs"))).over(wb)))
-        G = G.where(F.col("_kind") == 0).drop("_kind").select(
-            *[F.col(c).alias(f"_g{c}") for c in ("_e", DAY, "_v", "_td")],
-            *[c for c in ("g_cn", "g_cs", "b_n", "b_s") if c in G.columns])
-        W = W.join(G, (W["_e"] == G["_g_e"]) & (W[DAY] == G[f"_g{DAY}"])
-                   & W["_v"].eqNullSafe(G["_g_v"]) & W["_td"].eqNullSafe(G["_g_td"]), "left")
+        gcols = [c for c in ("g_cn", "g_cs", "b_n", "b_s") if c in G.columns]
+        G = G.where(F.col("_kind") == 0).select("_e", DAY, "_v", "_td", *gcols)
+        # both sides are hash partitioned by entity after their windows: stack
+        # them and fold per probe key (an aggregate clustered on the entity)
+        wcols = [c for c in W.columns if c not in ("_kind", "_e", DAY, "_yr", "_v", "_td")]
+        stacked = (W.where(F.col("_kind") == 0).drop("_kind")
+                   .unionByName(G, allowMissingColumns=True))
+        W = (stacked.groupBy("_e", DAY, "_v", "_td")
+             .agg(F.first("_yr", ignorenulls=True).alias("_yr"),
+                  *[F.first(c, ignorenulls=True).alias(c) for c in wcols + gcols])
+             .withColumn("_kind", F.lit(0)))
     P = W.where(F.col("_kind") == 0)
 
     d = F.col(DAY)
