@@ -57,7 +57,8 @@ FROM ruled""")
 def op3(spark, sf_dir):
     from .url_filter import DOMAIN_RULES, GLOB_RULES, filter_urls
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, [*DOMAIN_RULES, *GLOB_RULES]).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, [*DOMAIN_RULES, *GLOB_RULES]).select(
+        "page_id", "host", "path", F.when(F.col("rule_kind") == "domain", F.col("rule")).alias("rule"), "verdict")
 
 
 @query("op8_mixing")

@@ -31,8 +31,9 @@ BLOCK_BYTES = 4 << 20
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` is reported; ``verdict`` is allow or block; of the rules that fit, the highest rank wins."""
+    """``name`` and ``kind`` are reported; ``verdict`` is allow or block; the highest rank that fits wins."""
     name: str
+    kind: str
     verdict: str
     host_glob: str
     path_glob: str
@@ -41,12 +42,12 @@ class Rule:
 
 def domain_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits ``host`` and its subdomains where the path starts with ``path``; the longest rule wins."""
-    return Rule(host + path, verdict, f"*.{host}", f"{path}*", 1_000_000 + len(host + path))
+    return Rule(host + path, "domain", verdict, f"*.{host}", f"{path}*", 1_000_000 + len(host + path))
 
 
 def glob_rule(host_glob: str, path_glob: str = "*", verdict: str = "block") -> Rule:
     """Fits the whole host (written with a leading dot) and path; ranks below every domain rule."""
-    return Rule(f"{host_glob} {path_glob}", verdict, host_glob, path_glob, len(host_glob + path_glob))
+    return Rule(f"{host_glob} {path_glob}", "glob", verdict, host_glob, path_glob, len(host_glob + path_glob))
 
 
 class Automaton:
@@ -126,29 +127,30 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def filter_urls(df: DataFrame, rules: Iterable[Rule], default: str = "allow", url: str = "url") -> DataFrame:
-    """Adds host, path, rule (null if none fits) and verdict to every row of ``df``.
+    """Adds host, path, rule and rule_kind (null if none fits) and verdict to every row of ``df``.
 
     Null, empty and malformed URLs have an empty host and path, which rules fit or not like any
-    other. Of rules with the same rank the first by name wins. Repeated rows stay. The four columns
+    other. Of rules with the same rank the first by name wins. Repeated rows stay. The five columns
     replace columns of the same names.
     """
     rules = list(rules)
     host, path = host_and_path(F.coalesce(F.col(url), F.lit("")))
-    parsed = df.withColumns({"host": host, "path": path}).drop("rule", "verdict")
-    schema = T.StructType([*parsed.schema.fields, T.StructField("rule", T.StringType()),
-                           T.StructField("verdict", T.StringType())])
+    parsed = df.withColumns({"host": host, "path": path}).drop("rule", "rule_kind", "verdict")
+    schema = T.StructType([*parsed.schema.fields, *(
+        T.StructField(c, T.StringType()) for c in ("rule", "rule_kind", "verdict"))])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(rules)
         names = pa.array([r.name for r in automaton.rules], pa.string())
+        kinds = pa.array([r.kind for r in automaton.rules], pa.string())
         verdicts = pa.array([r.verdict for r in automaton.rules], pa.string())
         for batch in batches:
             hosts, paths = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("host", "path"))
             won = automaton.winners([b"." + h.encode() + SPLIT + p.encode() for h, p in zip(hosts, paths)])
             taken = pa.array(won, mask=won < 0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, names.take(taken), verdicts.take(taken).fill_null(default)],
-                names=[*batch.schema.names, "rule", "verdict"])
+                [*batch.columns, names.take(taken), kinds.take(taken), verdicts.take(taken).fill_null(default)],
+                names=schema.names)
 
     return parsed.mapInArrow(judge, schema)
 
