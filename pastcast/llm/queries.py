@@ -73,3 +73,10 @@ def op8(spark, sf_dir):
     return (known.groupBy(*row).agg(F.sum("taken").alias("taken"))
             .join(sources.select("source_key", "source_size", "target"), "source_key")
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@query("op9_simhash")
+def op9(spark, sf_dir):
+    from .simhash import near_duplicates
+    linked = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
