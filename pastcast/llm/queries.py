@@ -80,3 +80,19 @@ def op9(spark, sf_dir):
     from .simhash import near_duplicates
     linked = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_token_counts")
+def op1(spark, sf_dir):
+    """Tokens of every line of every document, boundary tokens to the line with most of their bytes."""
+    from .token_counts import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"), rule="largest")
+
+
+@query("op10_token_output")
+def op10(spark, sf_dir):
+    from .common import shared_path
+    from .token_store import read_store, write_store
+    path = shared_path(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path, end_id=2)
+    return read_store(spark, path, with_ids=False)
