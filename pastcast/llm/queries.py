@@ -96,3 +96,19 @@ def op10(spark, sf_dir):
     path = shared_path(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), path, end_id=2)
     return read_store(spark, path, with_ids=False)
+
+
+@query("op7_winnowing")
+def op7(spark, sf_dir):
+    from .winnowing import as_string, fingerprint, hashes, likeness, with_neighbours
+    n = F.length("text")
+    rows = with_neighbours(table(spark, sf_dir, "documents")).withColumns({
+        "n_chars": n.cast("long"),
+        "edited": F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("addition"))})
+    kept = rows.withColumns({"kept": fingerprint(F.col("text")), "edited_kept": fingerprint(F.col("edited"))}).withColumns(
+        {"own": hashes(F.col("kept")), "other": hashes(F.col("edited_kept"))})
+    return kept.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_string(F.col("kept")).alias("fingerprint"), as_string(F.col("edited_kept")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next_hashes")).alias("near_next"))
