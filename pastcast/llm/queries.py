@@ -112,3 +112,11 @@ def op7(spark, sf_dir):
         as_string(F.col("kept")).alias("fingerprint"), as_string(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_hashes")).alias("near_next"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    from .toxicity import learn, learnable, score_texts
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = learn(documents, table(spark, sf_dir, "labels"))
+    return score_texts(documents, grammar).select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted")
