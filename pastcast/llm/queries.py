@@ -120,3 +120,9 @@ def op4(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     grammar = learn(documents, table(spark, sf_dir, "labels"))
     return score_texts(documents, grammar).select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+@query("op2_decontamination")
+def op2(spark, sf_dir):
+    from .decontamination import find_leaks
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
