@@ -126,3 +126,9 @@ def op4(spark, sf_dir):
 def op2(spark, sf_dir):
     from .decontamination import find_leaks
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_substring_dedup")
+def op6(spark, sf_dir):
+    from .substring_dedup import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"))
