@@ -116,3 +116,35 @@ def mix(sized: DataFrame, seed: int = 8, **how) -> tuple[DataFrame, DataFrame, D
     documents = materialise(documents, "laid")
     counts = draw_slots(sources, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
     return documents, sources, pieces(documents, sources).join(counts, ["source_no", "block"])
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                  length_col: str | None = "n_chars", seed: int = 8, **how) -> DataFrame:
+    """The mix as rows like those of ``docs``: a document's nth row holds the words that the mix takes at
+    least n times, in their order.
+
+    A row that holds all words keeps its text as it is; otherwise words are joined by blanks. Texts
+    that are null or have no word are not in the mix. ``length_col`` gets the new length. Rows equal
+    in id, text and source are counted and take part each; they come out with the other columns of
+    one of them. Columns of ``docs`` may have any names that do not start with two underscores.
+    """
+    names = docs.columns
+    text = F.col(text_col).cast("string")
+    rows = docs.withColumns({"__id": F.xxhash64(F.col(id_col).isNull(), id_col, F.lit("row"), text), "__key": source_key(F.col(source_col)),
+                             "__size": word_count(text)})
+    keys = ["__id", "source_key", "size"]
+    sized = rows.select("__id", F.col("__key").alias("source_key"), F.col("__size").alias("size"))
+    documents, _, used = mix(sized, seed, **how)
+    taken = (used.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
+             .groupBy(*keys, "copy", "__turn")
+             .agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("__spans"), F.sum("words").alias("__taken"))
+             .select(F.col("__id").alias("__row"), F.col("source_key").alias("__from"), "__spans", "__taken"))
+    if documents.filter("copy > 0").head(1):
+        rows = rows.dropDuplicates(["__id", "__key"])
+    cut = F.expr("array_join(flatten(transform(__spans, s -> slice(__words, int(s.from_word) + 1, int(s.words)))), ' ')")
+    mixed = (taken.hint("merge").join(rows, (F.col("__row") == F.col("__id")) & (F.col("__from") == F.col("__key")))
+             .withColumn("__words", F.when(F.col("__taken") < F.col("__size"), F.regexp_extract_all(text, F.lit(WORD), 0)))
+             .withColumn(text_col, F.when(F.col("__taken") < F.col("__size"), cut).otherwise(text)))
+    if length_col in names:
+        mixed = mixed.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col]))
+    return mixed.select(*names)

@@ -65,17 +65,19 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                  seed: int = 42) -> DataFrame:
-    """(id, fingerprint) of every row; a null text has no words."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, content, fingerprint) of every row; a null text has no words. content is a hash of the text."""
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("content"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             values = [fingerprint(t.as_py() or b"", shingle, seed) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.int64())],
+                                             ["id", "content", "fingerprint"])
 
     kind = dict(slim.dtypes)["id"]
-    return slim.mapInArrow(hashed, f"id {kind}, fingerprint bigint")
+    return slim.mapInArrow(hashed, f"id {kind}, content bigint, fingerprint bigint")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -185,6 +187,17 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     return dealt.mapInArrow(link, "u bigint, v bigint").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int) -> DataFrame:
+    """(id, content, fingerprint, component, component_id); component is a fingerprint, never null."""
+    printed = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    distinct = materialise(printed.groupBy("fingerprint").agg(F.min("id").alias("first_id")), "distinct")
+    stars = connected_components(link_fingerprints(distinct, max_bits))  # node, component
+    rooted = distinct.join(stars, distinct["fingerprint"] == stars["node"], "left").select(
+        "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
+    smallest = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return printed.join(rooted.join(smallest, "component").select("fingerprint", "component", "component_id"), "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4, seed: int = 42) -> DataFrame:
     """(id, fingerprint as a signed long, component_id) of every row of ``docs``.
@@ -194,11 +207,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint and are handled once. Null ids get rows and count for no minimum. Rows that repeat
     an id keep a row each. Other columns are not read. An empty table gives an empty result.
     """
-    printed = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = materialise(printed.groupBy("fingerprint").agg(F.min("id").alias("first_id")), "distinct")
-    stars = connected_components(link_fingerprints(distinct, max_bits))  # node, component
-    rooted = distinct.join(stars, distinct["fingerprint"] == stars["node"], "left").select(
-        "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
-    smallest = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "component").select("fingerprint", "component_id")
-    return printed.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    return _grouped(docs, id_col, text_col, shingle, max_bits, seed).select(
+        F.col("id").alias(id_col), "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+             max_bits: int = 4, seed: int = 42) -> DataFrame:
+    """One row of ``docs``, all columns, of each group of linked texts: the one with the smallest id, null
+    ids last; of rows that share it the one with the smallest hash of its text; of equal rows any."""
+    rows = materialise(_grouped(docs, id_col, text_col, shingle, max_bits, seed).groupBy("component").agg(
+        F.min_by(F.struct("id", "content"), F.struct(F.col("id").isNull(), "id", "content")).alias("best"))
+        .select(F.col("best.id").alias("__id"), F.col("best.content").alias("__content")), "kept")
+    content = F.xxhash64(F.col(text_col).cast("string"))
+    kept = docs.join(rows, F.col(id_col).eqNullSafe(F.col("__id")) & (content == F.col("__content")))
+    if docs.select(id_col, content.alias("__content")).groupBy(id_col, "__content").count().filter("count > 1").head(1):
+        kept = kept.dropDuplicates(["__id", "__content"])
+    return kept.select(*[docs[c] for c in docs.columns])
