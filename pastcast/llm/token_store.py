@@ -184,6 +184,7 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids:
 
 def read_document(spark: SparkSession, path: str, doc_id, id_col: str = "doc_id") -> DataFrame:
     """The documents with one id: Parquet skips the other segments by their statistics."""
-    segments = spark.read.parquet(f"{path}/segments").filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    segments = spark.read.parquet(f"{path}/segments").filter(
+        (F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id))
     return _decoded(segments, _dictionary(spark, path), True).filter(F.col("id") == doc_id).select(
         F.col("id").alias(id_col), "n_tokens", "ids_crc32", "ids")
