@@ -11,9 +11,18 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# White space of any script, the non-breaking kinds of workbooks included.
+_SPACE = r"[\s\p{Z}\x1C-\x1F\x85]+"
+
+
+def trimmed(x: str | Column) -> Column:
+    """Text without white space, of any script, at both ends."""
+    return F.regexp_replace(_c(x), f"^{_SPACE}|{_SPACE}$", "")
+
+
 def norm_name(x: str | Column) -> Column:
     """Trim, collapse inner whitespace, upper-case."""
-    return F.upper(F.trim(F.regexp_replace(_c(x), r"\s+", " ")))
+    return F.upper(F.trim(F.regexp_replace(_c(x), _SPACE, " ")))
 
 
 # --- fixed values: textual sentinels that mean "no name" ---------------------
@@ -29,12 +38,12 @@ def norm_key(x: str | Column) -> Column:
 
 def blank_to_null(x: str | Column) -> Column:
     """Trimmed text, blank -> NULL."""
-    return F.nullif(F.trim(_c(x)), F.lit(""))
+    return F.nullif(trimmed(x), F.lit(""))
 
 
 def numeric_cell(x: str | Column) -> Column:
     """``,`` -> ``.``; blank / ``-`` / em-dash -> NULL; first number wins."""
-    s = F.trim(F.replace(_c(x).cast("string"), F.lit(","), F.lit(".")))
+    s = F.replace(trimmed(_c(x).cast("string")), F.lit(","), F.lit("."))
     num = F.regexp_extract(s, r"([-+]?\d*\.?\d+)", 1)
     return (F.when(s.isNull() | s.isin("", "-", "—"), F.lit(None).cast("double"))
             .otherwise(F.nullif(num, F.lit("")).try_cast("double")))
@@ -45,26 +54,22 @@ def int_cell(x: str | Column) -> Column:
     return numeric_cell(x).try_cast("long")
 
 
+_DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+
+
 def time_to_seconds(x: str | Column) -> Column:
-    """``1'34''37`` -> 94.37, ``34''37`` -> 34.37, anything else NULL."""
-    s = F.trim(_c(x).cast("string"))
-    full = F.regexp_extract(s, r"^(\d+)'(\d+)''(\d+)$", 0) != ""
-    short = F.regexp_extract(s, r"^(\d+)''(\d+)$", 0) != ""
-    m = F.regexp_extract(s, r"^(\d+)'(\d+)''(\d+)$", 1).try_cast("double")
-    sec = F.regexp_extract(s, r"^(\d+)'(\d+)''(\d+)$", 2).try_cast("double")
-    cen = F.regexp_extract(s, r"^(\d+)'(\d+)''(\d+)$", 3)
-    s2 = F.regexp_extract(s, r"^(\d+)''(\d+)$", 1).try_cast("double")
-    c2 = F.regexp_extract(s, r"^(\d+)''(\d+)$", 2)
-    frac = lambda c: F.concat(F.lit("0."), c).try_cast("double")
-    return (F.when(full, m * 60 + sec + frac(cen))
-            .when(short, s2 + frac(c2))
-            .otherwise(F.lit(None).cast("double")))
+    """Minutes, ``'``, seconds, with ``''`` or ``.`` before the fraction: ``1'34''37`` and
+    ``1'34.37`` -> 94.37, ``1'34`` -> 94, ``34''37`` and ``34.37`` -> 34.37, anything else NULL."""
+    s = F.replace(trimmed(_c(x).cast("string")), F.lit("''"), F.lit("."))
+    minutes, rest = F.regexp_extract(s, r"^([^']*)'(.*)$", 1), F.regexp_extract(s, r"^([^']*)'(.*)$", 2)
+    number = lambda c: F.when(trimmed(c).rlike(_DECIMAL), trimmed(c).try_cast("double"))
+    return F.when(F.instr(s, "'") > 0, number(minutes) * 60 + number(rest)).otherwise(number(s))
 
 
 def parse_ddmmyy(x: str | Column, pivot: int = 80) -> Column:
     """``dd/mm/yy`` or ``dd/mm/yyyy``; 2-digit years below ``pivot``
     are 2000s, others 1900s; impossible dates (31/02) are NULL."""
-    s = F.trim(_c(x).cast("string"))
+    s = trimmed(_c(x).cast("string"))
     pat = r"^(\d{2})/(\d{2})/(\d{2,4})$"
     d = F.regexp_extract(s, pat, 1)
     m = F.regexp_extract(s, pat, 2)
@@ -89,11 +94,6 @@ def label_from_position(pos: str | Column) -> Column:
     return _c(pos).between(1, 3).cast("int")
 
 
-def default_distance(d: str | Column, default: int = 1100) -> Column:
-    """0 / NULL distance -> default (the source value is kept elsewhere)."""
-    return F.coalesce(F.nullif(_c(d), F.lit(0)), F.lit(default))
-
-
 def clip(x: str | Column, lo: float, hi: float) -> Column:
     """C14: clip to [lo, hi] (NULL stays NULL)."""
     return F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi))

@@ -99,7 +99,7 @@ def point_in_time_features(
                  F.year(F.col(date)).alias("_yr"),
                  F.col(venue).cast("int").alias("_v"),
                  F.col(distance).cast("int").alias("_dist"),
-                 F.col(kg).cast("double").alias("_kg"),
+                 F.nanvl(F.col(kg).cast("double"), F.lit(None).cast("double")).alias("_kg"),
                  F.col(pos).cast("int").alias("_pos"),
                  F.nanvl(_opt(history, dividend, "double"), F.lit(None).cast("double")).alias("_div"),
                  _key(history, rider).alias("_r"),
@@ -115,7 +115,7 @@ def point_in_time_features(
         F.year(F.col(date)).alias("_yr"),
         F.col(venue).cast("int").alias("_v"),
         F.col(distance).cast("int").alias("_td"),
-        F.col(kg).cast("double").alias("_tk"),
+        F.nanvl(F.col(kg).cast("double"), F.lit(None).cast("double")).alias("_tk"),
         _key(targets, t_rider).alias("_r"),
     )
     probes = (Tgt.where(F.col("_e").isNotNull() & F.col(DAY).isNotNull())

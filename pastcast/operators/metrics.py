@@ -37,23 +37,29 @@ def score_table(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -
             .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
 
 
+def _auc_of() -> Column:
+    below = F.col("cum_neg") - F.col("neg")
+    return (F.sum(F.col("pos") * (below + 0.5 * F.col("neg")))
+            / (F.sum("pos").cast("double") * F.max("tot_neg").cast("double"))).alias("roc_auc")
+
+
+def _ap_of() -> Column:
+    tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
+    fp = F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
+    return (F.sum(F.col("pos") * tp / (tp + fp)) / F.max("tot_pos")).alias("pr_auc")
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact ROC-AUC with tie correction (= Mann-Whitney U / (P*N))."""
     g = global_prefix(score_table(df, label, score, by), "_s", ["neg"], by)
-    below = F.col("cum_neg") - F.col("neg")
-    return g.groupBy(*by).agg(
-        (F.sum(F.col("pos") * (below + 0.5 * F.col("neg")))
-         / (F.sum("pos").cast("double") * F.max("tot_neg").cast("double"))).alias("roc_auc"))
+    return g.groupBy(*by).agg(_auc_of())
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Step-wise AP = sum_s (pos_s / P) * precision(score >= s).
     (Not Spark's trapezoidal ``areaUnderPR``.)"""
     g = global_prefix(score_table(df, label, score, by), "_s", ["pos", "neg"], by)
-    tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
-    fp = F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
-    return g.groupBy(*by).agg(
-        (F.sum(F.col("pos") * tp / (tp + fp)) / F.max("tot_pos")).alias("pr_auc"))
+    return g.groupBy(*by).agg(_ap_of())
 
 
 def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5,
@@ -84,9 +90,9 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "p", thresh
     """The eight metrics of a run, one row per group."""
     d, keys = _grouped(df, by)
     out = threshold_metrics(d, label, score, threshold, keys)
-    auc = roc_auc(d, label, score, keys)
-    ap = average_precision(d, label, score, keys)
-    return out.join(auc, keys).join(ap, keys).drop(*[k for k in keys if k not in by])
+    # one ordered pass serves both rank metrics
+    g = global_prefix(score_table(d, label, score, keys), "_s", ["pos", "neg"], keys)
+    return out.join(g.groupBy(*keys).agg(_auc_of(), _ap_of()), keys).drop(*[k for k in keys if k not in by])
 
 
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[float],
@@ -131,8 +137,7 @@ def calibration_bins(df: DataFrame, label: str, score: str, n_bins: int = 10,
     edges = edges.select(*by, F.transform("_e", lambda x: x["value"]).alias("_edges"))
     s = F.col(score).cast("double")
     base = df.where(F.col(label).isNotNull() & s.isNotNull())
-    # one edge list per group (bounded by the caller's groups): broadcast
-    joined = base.join(F.broadcast(edges), list(by))
+    joined = base.join(edges, list(by))
     return (joined.groupBy(*out_by, F.size(F.filter("_edges", lambda e: e <= s)).alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("pred_mean"),
                  F.avg(F.col(label).cast("double")).alias("obs_rate"))

@@ -114,8 +114,9 @@ def distribution(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
                              for i, n in enumerate(["p25", "p50", "p75", "p99"])])
     if by:
         return stats.join(qw, list(by))
-    # both sides are single rows: join on a constant key
-    return stats.withColumn("_k", F.lit(0)).join(qw.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    # both sides are single rows: fold them, no join
+    names = [*stats.columns, *qw.columns]
+    return stats.unionByName(qw, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
 
 
 def runs_per_entity(df: DataFrame, entity: str) -> DataFrame:

@@ -3,58 +3,35 @@
 ``global_prefix`` computes exact running sums over a total order of a
 (distinct-value) table in three distributed steps:
 
-1. approximate quantile boundaries of the order column (bounded-memory
-   sketch) cut the value range into ``buckets`` ranges;
-2. per-bucket totals (at most ``buckets`` rows per group) are prefix-summed
-   in a tiny window;
-3. inside each bucket a window (partitioned by bucket) adds the local running
-   sum; the bucket offsets are broadcast (size bounded by ``buckets``).
-
-The boundaries only balance the work — results are exact whatever they are.
-On top of it: exact quantiles (linear interpolation, as numpy / DuckDB
-``quantile_cont``), exact ROC-AUC / average precision (metrics.py) and the
-average-rank percentile used by feature selection.
+1. the rows are dealt by ranges of (group, order column) and checkpointed with
+   the number of their range, so the number survives a lost executor;
+2. per-range totals (one row per group and range) are prefix-summed in a tiny
+   window;
+3. inside each range a window adds the local running sum to the range's offset.
+
+The ranges only balance the work - results are exact whatever they are. On
+top of it: exact quantiles (linear interpolation, as numpy / DuckDB
+``quantile_cont``) and exact ROC-AUC / average precision (metrics.py).
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _buckets(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return int(buckets)
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+from ..session import ensure_checkpoint_dir
 
 
 def global_prefix(df: DataFrame, order_col: str, sum_cols: Sequence[str],
-                  by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+                  by: Sequence[str] = ()) -> DataFrame:
     """Adds ``cum_<c>`` (inclusive running sum in ascending ``order_col``
     within ``by``) and ``tot_<c>`` (group total) for each ``c``. ``order_col``
     must be unique within ``by`` (feed it a distinct-value table)."""
-    nb = _buckets(df, buckets)
-    probs = [i / nb for i in range(1, nb)]
-    if not probs:
-        d = df.withColumn("_b", F.lit(0))
-    else:
-        d = _bucketed(df, order_col, probs)
-    return _prefix_from_buckets(df, d, order_col, sum_cols, by)
-
-
-def _bucketed(df: DataFrame, order_col: str, probs: list[float]) -> DataFrame:
-    bounds = (df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("_bd"))
-              .withColumn("_one", F.lit(0)))
-    bucket = F.size(F.filter("_bd", lambda x: x < F.col(order_col).cast("double")))
-    # the boundary list is a single row: broadcast it and join on a constant key
-    return (df.withColumn("_one", F.lit(0)).join(F.broadcast(bounds), "_one")
-            .withColumn("_b", F.coalesce(bucket, F.lit(0))).drop("_one", "_bd"))
-
-
-def _prefix_from_buckets(df: DataFrame, d: DataFrame, order_col: str, sum_cols: Sequence[str],
-                         by: Sequence[str]) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    d = (df.repartitionByRange(*[F.col(c) for c in by], F.col(order_col))
+         .withColumn("_b", F.spark_partition_id()).checkpoint())
     tot = d.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wg = Window.partitionBy(*by)
@@ -65,8 +42,7 @@ def _prefix_from_buckets(df: DataFrame, d: DataFrame, order_col: str, sum_cols:
     wi = (Window.partitionBy(*by, "_b").orderBy(order_col)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.select("*", *[F.sum(c).over(wi).alias(f"_ci_{c}") for c in sum_cols])
-    # tot has at most (#groups x buckets) rows: a proven bound, so broadcast
-    out = d.join(F.broadcast(tot), [*by, "_b"])
+    out = d.join(tot, [*by, "_b"])
     return out.select(*[F.col(c) for c in df.columns],
                       *[(F.col(f"_bb_{c}") + F.col(f"_ci_{c}")).alias(f"cum_{c}") for c in sum_cols],
                       *[F.col(f"tot_{c}") for c in sum_cols])
@@ -78,44 +54,23 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+                    by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation between the order statistics
     at ``floor(h)`` and ``floor(h)+1``, ``h = (n-1)*q``. Returns rows
-    ``(*by, q, value)``. Memory is bounded: no value list is ever collected."""
-    vc = global_prefix(value_counts(df, col, by), col, ["_n"], by, buckets)
-    n = vc.select(*by, F.col("tot__n").alias("n")).distinct()
-    # (group x probs) requests: the probability list is the caller's literal
-    qs = n.select(*by, "n", F.posexplode(F.array(*[F.lit(float(q)) for q in probs])).alias("qi", "q"))
-    h = F.col("q") * (F.col("n") - 1).cast("double")
-    reqs = qs.select(*by, "qi", "q", h.alias("h"), F.floor(h).cast("long").alias("lo"),
-                     F.least(F.floor(h).cast("long") + 1, F.col("n") - 1).alias("hi"))
-    ranks = reqs.select(*by, "qi", "q", "h", "lo", F.explode(F.array(
-        F.struct(F.lit(0).alias("w"), F.col("lo").alias("r")),
-        F.struct(F.lit(1).alias("w"), F.col("hi").alias("r")))).alias("_x"))
-    ranks = ranks.select(*[F.col(c).alias(f"_q_{c}") for c in by], "qi", "q", "h", "lo",
-                         F.col("_x.w").alias("w"), F.col("_x.r").alias("r"))
-    # the value at 0-based rank r is the one with cum - n <= r < cum; the
-    # request side is bounded by (#groups x #probs x 2) rows, so broadcast it
-    cond = [F.col(c) == F.col(f"_q_{c}") for c in by]
-    cond += [F.col("cum__n") - F.col("_n") <= F.col("r"), F.col("r") < F.col("cum__n")]
-    on = cond[0]
-    for c_ in cond[1:]:
-        on = on & c_
-    hit = vc.join(F.broadcast(ranks), on)
-    hit = hit.select(*[F.col(f"_q_{c}").alias(c) for c in by], "qi", "q", "h", "lo", "w",
-                     F.col(col).cast("double").alias("v"))
-    piv = hit.groupBy(*by, "qi", "q", "h", "lo").agg(
-        F.max(F.when(F.col("w") == 0, F.col("v"))).alias("x0"),
-        F.max(F.when(F.col("w") == 1, F.col("v"))).alias("x1"))
-    frac = F.col("h") - F.col("lo").cast("double")
-    return piv.select(*by, "qi", "q", (F.col("x0") + frac * (F.col("x1") - F.col("x0"))).alias("value"))
-
-
-def average_rank_percentile(df: DataFrame, col: str, by: Sequence[str] = ()) -> Column:
-    """pandas ``rank(pct=True)`` (ties get the average rank, divided by n).
-    Meant for small tables (one row per feature)."""
-    w = Window.partitionBy(*by).orderBy(F.col(col))
-    wt = Window.partitionBy(*by, col)
-    n = F.count(F.col(col)).over(Window.partitionBy(*by))
-    return F.when(F.col(col).isNotNull(),
-                  (F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0) / n)
+    ``(*by, qi, q, value)``. The value at 0-based rank r is the one with
+    ``cum - n <= r < cum``: two conditional aggregates per probability find
+    both, so there is no join and no value list is ever collected."""
+    vc = global_prefix(value_counts(df, col, by), col, ["_n"], by)
+    n, v = F.col("tot__n"), F.col(col).cast("double")
+    at = lambda r: F.max(F.when((F.col("cum__n") - F.col("_n") <= r) & (r < F.col("cum__n")), v))
+    aggs, items = [], []
+    for i, q in enumerate(probs):
+        h = F.lit(float(q)) * (n - 1).cast("double")
+        lo = F.floor(h).cast("long")
+        aggs += [at(lo).alias(f"_x0_{i}"), at(F.least(lo + 1, n - 1)).alias(f"_x1_{i}"),
+                 F.max(h - lo.cast("double")).alias(f"_f_{i}")]
+        x0, x1 = F.col(f"_x0_{i}"), F.col(f"_x1_{i}")
+        items.append(F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"),
+                              (x0 + F.col(f"_f_{i}") * (x1 - x0)).alias("value")))
+    # an ungrouped aggregate of an empty table is a row of nulls: no quantile
+    return vc.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*items))).where(F.col("value").isNotNull())

@@ -10,7 +10,7 @@ Two scorers share the interface ``scorer(df) -> df + p``:
   additive contributions are plain SQL, so every scoring query has an exact
   oracle; contributions are exact: ``coef * (x - mean)`` with
   ``base + sum(contrib) = logit(p)``.
-* a fitted Spark ML ``PipelineModel`` (ml/model.py) via ``model_scorer``.
+* a fitted Spark ML ``PipelineModel`` via ``ml.model.model_scorer``.
 """
 from __future__ import annotations
 
@@ -67,8 +67,8 @@ DEMO_SCORER = LinearScorer(
 
 def rank_in_contest(df: DataFrame, contest: Sequence[str], p: str = "p",
                     entry_order: Sequence[str] = ("entry_pos",)) -> DataFrame:
-    """1 = most likely; ties keep entry order. Contests are validated to
-    at most 25 entries (C9) before ranking, so each window partition is small."""
+    """1 = most likely; ties keep entry order. A contest is a request of at
+    most 25 entries (C9) or a block of one sheet, so each window partition is small."""
     w = Window.partitionBy(*contest).orderBy(F.col(p).desc(), *[F.col(c) for c in entry_order])
     return df.withColumn("rank", F.row_number().over(w))
 
@@ -87,10 +87,11 @@ def topk_contributions(contrib: DataFrame, id_cols: Sequence[str], k: int) -> Da
             .withColumn("value", F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)))
 
 
-def argmax_row(df: DataFrame, p: str = "p") -> DataFrame:
-    """The most confident prediction with its context (one aggregate)."""
-    cols = [c for c in df.columns]
-    return df.agg(F.max_by(F.struct(*cols), F.col(p)).alias("_m")).select("_m.*")
+def argmax_row(df: DataFrame, p: str = "p", ties: Sequence[str] = ()) -> DataFrame:
+    """The most confident prediction with its context (one aggregate); of
+    equal ones the one with the least ``ties`` (numbers)."""
+    order = F.struct(F.col(p), *[(-F.col(c)).alias(f"_t{i}") for i, c in enumerate(ties)])
+    return df.agg(F.max_by(F.struct(*df.columns), order).alias("_m")).select("_m.*")
 
 
 def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, scorer) -> DataFrame:
@@ -118,13 +119,8 @@ def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, sc
                        default_fill(F.col("distance_m")).cast("int").alias("distance_m"),
                        F.col("kg").alias("load_kg"), "post_position", "horse_age", "sex_code",
                        norm_name("rider_name").alias("rider_id")))
-    # C8/C9 before nesting: only valid contests (<= 25 entries) are collected
-    from .validate import entry_violations, split_valid
-    viol = entry_violations(F.col("entity_id"), F.col("load_kg"), F.col("post_position"),
-                            F.col("horse_age"), F.col("sex_code"), F.col("distance_m"))
-    targets, _ = split_valid(targets.withColumn("name", F.col("entity_id")), ["file", "contest_no"],
-                             "name", viol)
-    f = point_in_time_features(history, targets.drop("name"), contest_cols=["file", "contest_no"])
+    # a card is not a request: no entry or group rule applies, ranks go by entry, never by name
+    f = point_in_time_features(history, targets, contest_cols=["file", "contest_no"])
     ranked = rank_in_contest(scorer(f), ["file", "contest_no"], "p", ["entry_pos"])
     return nest_results(ranked, ["file", "contest_no"], ["entity_id", "p", "post_position", "rank"],
                         order="rank")

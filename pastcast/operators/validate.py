@@ -29,7 +29,7 @@ DEFAULT_DISTANCE = 1100
 
 def entry_violations(name: Column, kg: Column, post: Column | None = None, age: Column | None = None,
                      sex: Column | None = None, distance: Column | None = None,
-                     top_k: Column | None = None) -> Column:
+                     top_k: Column | None = None, rider: Column | None = None) -> Column:
     """Array of the rules an entry violates (empty = valid). Optional
     fields are only checked when present."""
     n = F.length(F.trim(name))
@@ -45,6 +45,8 @@ def entry_violations(name: Column, kg: Column, post: Column | None = None, age:
         rules.append(F.when(sex.isNotNull() & ~sex.isin(*SEXES), F.lit("sex_code")))
     if distance is not None:
         rules.append(F.when(distance.isNull() | ~distance.between(*DISTANCE_RANGE), F.lit("distance_range")))
+    if rider is not None:
+        rules.append(F.when(F.length(rider) > NAME_LEN[1], F.lit("rider_length")))
     if top_k is not None:
         rules.append(F.when(top_k.isNotNull() & ~top_k.between(*TOP_K_RANGE), F.lit("top_k_range")))
     return F.array_compact(F.array(*rules))
@@ -60,17 +62,20 @@ def group_check(df: DataFrame, contest: Sequence[str], name: str) -> DataFrame:
 
 
 def split_valid(df: DataFrame, contest: Sequence[str], name: str, violations: Column):
-    """Valid rows (row rules and group rules pass) and rejects with reasons."""
+    """(valid rows, rejects). A contest is one request: a bad entry, or a bad
+    group, rejects all of it. Rejects keep their own reasons; the other rows of
+    their contest have ``group_rule`` or ``contest_rejected``."""
     tagged = df.withColumn("_viol", violations)
-    groups = group_check(tagged, contest, name)
-    ok_groups = groups.where("group_ok").select(*contest)
-    row_ok = tagged.where(F.size("_viol") == 0)
-    valid = row_ok.join(ok_groups, list(contest), "left_semi").drop("_viol")
-    bad_group = tagged.join(ok_groups, list(contest), "left_anti")
-    rejects = (tagged.where(F.size("_viol") > 0)
-               .unionByName(bad_group.where(F.size("_viol") == 0)
-                            .withColumn("_viol", F.array(F.lit("group_rule"))))
-               .withColumnRenamed("_viol", "violations"))
+    groups = (tagged.groupBy(*contest)
+              .agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(norm_name(F.col(name))).alias("_names"),
+                   F.count_if(F.size("_viol") > 0).alias("_bad"))
+              .withColumn("_group_ok", F.col("_n").between(*ENTRIES_PER_CONTEST) & (F.col("_names") == F.col("_n"))))
+    judged = tagged.join(groups.select(*contest, "_bad", "_group_ok"), list(contest))
+    ok = F.col("_group_ok") & (F.col("_bad") == 0)
+    reasons = (F.when(F.size("_viol") > 0, F.col("_viol"))
+               .when(~F.col("_group_ok"), F.array(F.lit("group_rule"))).otherwise(F.array(F.lit("contest_rejected"))))
+    valid = judged.where(ok).select(*df.columns)
+    rejects = judged.where(~ok).select(*df.columns, reasons.alias("violations"))
     return valid, rejects
 
 
@@ -95,8 +100,8 @@ def flatten_cards(cards: DataFrame, context: Sequence[str], entries: str = "entr
 def nest_results(scored: DataFrame, contest: Sequence[str], entry_cols: Sequence[str],
                  order: str = "rank") -> DataFrame:
     """C11: one nested record per contest with its entries sorted by ``order``.
-    Only validated contests reach this point, so each collected array holds at
-    most 25 entries (C9)."""
+    A contest is a request of at most 25 entries (C9) or a contest of a day card,
+    a bounded block of one sheet."""
     packed = F.struct(F.col(order).alias("_o"), *[F.col(c) for c in entry_cols])
     return (scored.groupBy(*contest)
             .agg(F.sort_array(F.collect_list(packed)).alias("_es"), F.count(F.lit(1)).alias("n_entries"))

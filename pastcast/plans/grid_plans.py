@@ -105,35 +105,37 @@ def doc_tokens(spark, sf_dir):
     return doc_cells(spark, sf_dir).select("doc_id", F.explode("cells").alias("tok"))
 
 
-@register("history_row_filter", TOKENS_SQL + r"""
-, d AS (SELECT doc_id, tok,
-          regexp_extract(trim(tok), '^(\d{2})/(\d{2})/(\d{2,4})$', 1) AS dd,
-          regexp_extract(trim(tok), '^(\d{2})/(\d{2})/(\d{2,4})$', 2) AS mm,
-          regexp_extract(trim(tok), '^(\d{2})/(\d{2})/(\d{2,4})$', 3) AS yy FROM t)
-SELECT doc_id, count(*) FILTER (WHERE dd <> '') AS n_date_like,
-       count(*) FILTER (WHERE dd <> '' AND TRY_CAST(
-          printf('%04d-%s-%s', CASE WHEN length(yy) = 2 THEN
-             CASE WHEN TRY_CAST(yy AS INTEGER) < 80 THEN TRY_CAST(yy AS INTEGER) + 2000 ELSE TRY_CAST(yy AS INTEGER) + 1900 END
-             ELSE TRY_CAST(yy AS INTEGER) END, mm, dd) AS DATE) IS NOT NULL) AS n_valid_dates
-FROM d GROUP BY doc_id HAVING count(*) FILTER (WHERE dd <> '') > 0
+# Cells as a sheet has them, written from the runs in both engines: each form on the hit and on the miss path.
+@register("history_row_filter", f"""
+WITH r AS ({HISTORY_SQL}),
+t AS (SELECT contest_id % 100 AS part, contest_id % 5 AS kind, event_date FROM r)
+SELECT part, count(*) FILTER (WHERE kind < 4) AS n_date_like, count(*) FILTER (WHERE kind < 3) AS n_valid_dates,
+       sum(CASE WHEN kind < 3 THEN datediff('day', DATE '1970-01-01', event_date) END)::BIGINT AS day_sum
+FROM t GROUP BY part
 """)
 def _history_row_filter(spark, sf_dir):
-    t = doc_tokens(spark, sf_dir)
-    like = F.trim("tok").rlike(r"^(\d{2})/(\d{2})/(\d{2,4})$")
-    return (t.groupBy("doc_id").agg(F.count_if(like).alias("n_date_like"),
-                                    F.count_if(like & S.parse_ddmmyy("tok").isNotNull()).alias("n_valid_dates"))
-            .where(F.col("n_date_like") > 0))
+    kind, d = F.col("contest_id") % 5, F.col("event_date")
+    tok = (F.when(kind == 0, F.date_format(d, "dd/MM/yy")).when(kind == 1, F.date_format(d, " dd/MM/yyyy\t"))
+           .when(kind == 2, F.concat(F.lit(" "), F.date_format(d, "dd/MM/yy"))).when(kind == 3, F.lit("31/02/99"))
+           .otherwise(F.date_format(d, "d-M-yy")))
+    t = history(spark, sf_dir).select((F.col("contest_id") % 100).alias("part"), tok.alias("tok"))
+    like, day = S.trimmed("tok").rlike(r"^(\d{2})/(\d{2})/(\d{2,4})$"), S.parse_ddmmyy("tok")
+    return t.groupBy("part").agg(F.count_if(like).alias("n_date_like"), F.count_if(day.isNotNull()).alias("n_valid_dates"),
+                                 F.sum(F.unix_date(day)).cast("long").alias("day_sum"))
 
 
-@register("parse_position", TOKENS_SQL + r"""
-SELECT doc_id, count(*) AS n_positions, sum(CAST(regexp_extract(tok, '^\s*(\d{1,2})\s*$', 1) AS INTEGER)) AS pos_sum
-FROM t WHERE regexp_extract(tok, '^\s*(\d{1,2})\s*$', 1) <> '' GROUP BY doc_id
+@register("parse_position", f"""
+WITH r AS ({HISTORY_SQL})
+SELECT contest_id % 100 AS part, count(finish_pos) AS n_positions, coalesce(sum(finish_pos), 0)::BIGINT AS pos_sum
+FROM r GROUP BY 1
 """)
 def _parse_position(spark, sf_dir):
-    t = doc_tokens(spark, sf_dir)
-    p = F.regexp_extract("tok", G.POS_PATTERN, 1)
-    return (t.where(p != "").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_positions"),
-                                                  F.sum(p.cast("int")).alias("pos_sum")))
+    # a run without a position has a word, too long a number or nothing in its cell
+    miss = F.element_at(F.array(*[F.lit(x) for x in ("DQ", "105", "", "-")]), (F.col("contest_id") % 4 + 1).cast("int"))
+    tok = F.coalesce(F.concat(F.lit(" "), F.col("finish_pos").cast("string"), F.lit("\t")), miss)
+    p = F.regexp_extract("tok", G.POS_PATTERN, 1).try_cast("int")
+    return (history(spark, sf_dir).select((F.col("contest_id") % 100).alias("part"), tok.alias("tok")).groupBy("part")
+            .agg(F.count(p).alias("n_positions"), F.coalesce(F.sum(p), F.lit(0)).cast("long").alias("pos_sum")))
 
 
 @register("numeric_cell", TOKENS_SQL + r"""
@@ -152,23 +154,22 @@ def _numeric_cell(spark, sf_dir):
         F.sum(S.int_cell("tok").cast("long")).alias("int_sum")))
 
 
-@register("time_to_seconds", TOKENS_SQL + r"""
-, m AS (SELECT doc_id, trim(tok) AS s FROM t)
-SELECT doc_id, count(*) AS n_times, round(sum(CASE
-   WHEN regexp_matches(s, '^(\d+)''(\d+)''''(\d+)$') THEN
-     CAST(regexp_extract(s, '^(\d+)''(\d+)''''(\d+)$', 1) AS DOUBLE) * 60
-     + CAST(regexp_extract(s, '^(\d+)''(\d+)''''(\d+)$', 2) AS DOUBLE)
-     + CAST('0.' || regexp_extract(s, '^(\d+)''(\d+)''''(\d+)$', 3) AS DOUBLE)
-   ELSE CAST(regexp_extract(s, '^(\d+)''''(\d+)$', 1) AS DOUBLE)
-     + CAST('0.' || regexp_extract(s, '^(\d+)''''(\d+)$', 2) AS DOUBLE) END), 6) AS seconds
-FROM m WHERE regexp_matches(s, '^(\d+)''(\d+)''''(\d+)$') OR regexp_matches(s, '^(\d+)''''(\d+)$')
-GROUP BY doc_id
+@register("time_to_seconds", f"""
+WITH r AS ({HISTORY_SQL}),
+n AS (SELECT contest_id, px, contest_id % 7 AS kind, entity_id % 3 AS m, contest_id % 60 AS s, (entity_id % 100) / 100.0 AS c FROM r)
+SELECT contest_id, px, round(CAST(CASE kind WHEN 0 THEN m * 60 + s + c WHEN 1 THEN s + c WHEN 2 THEN m * 60 + s
+       WHEN 3 THEN m * 60 + s + c WHEN 4 THEN s + c WHEN 5 THEN m * 60 + s + c END AS DOUBLE), 6) AS seconds
+FROM n
 """)
 def _time_to_seconds(spark, sf_dir):
-    t = doc_tokens(spark, sf_dir)
-    v = S.time_to_seconds("tok")
-    return rounded(t.where(v.isNotNull()).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_times"), F.sum(v).alias("seconds")))
+    kind, m, s = F.col("contest_id") % 7, F.col("entity_id") % 3, F.col("contest_id") % 60
+    c = F.lpad((F.col("entity_id") % 100).cast("string"), 2, "0")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    m, s = m.cast("string"), s.cast("string")
+    tok = (F.when(kind == 0, text(m, "'", s, "''", c)).when(kind == 1, text(s, "''", c)).when(kind == 2, text(m, "'", s))
+           .when(kind == 3, text(m, "'", s, ".", c)).when(kind == 4, text("\t", s, ".", c, " "))
+           .when(kind == 5, text(" ", m, "'", s, "''", c, " ")).otherwise(text(m, "h", s)))
+    return rounded(history(spark, sf_dir).select("contest_id", "px", S.time_to_seconds(tok).alias("seconds")))
 
 
 @register("norm_name", f"""
@@ -186,17 +187,23 @@ _VENUE_VALUES = ", ".join(f"('{k}', {v})" for k, v in sorted(G.VENUE_ABBR.items(
 # --- end of fixed values -----------------------------------------------------
 
 
-@register("venue_lookup", TOKENS_SQL + f"""
-, dim AS (SELECT * FROM (VALUES {_VENUE_VALUES}) v(venue_abbr, venue_id))
-SELECT t.doc_id, count(*) AS n_tokens, count(dim.venue_id) AS n_known, coalesce(sum(dim.venue_id), 0) AS id_sum
-FROM t LEFT JOIN dim ON upper(trim(t.tok)) = dim.venue_abbr GROUP BY t.doc_id
+_VENUES = sorted(G.VENUE_ABBR)
+_ABBR_SQL = "[" + ", ".join(f"'{v}'" for v in _VENUES) + ", 'NOWHERE', '']"
+
+
+@register("venue_lookup", f"""
+WITH r AS ({HISTORY_SQL}), dim AS (SELECT * FROM (VALUES {_VENUE_VALUES}) v(venue_abbr, venue_id)),
+t AS (SELECT contest_id % 100 AS part, ({_ABBR_SQL})[CAST(entity_id % {len(_VENUES) + 2} AS INTEGER) + 1] AS tok FROM r)
+SELECT part, count(*) AS n_tokens, count(dim.venue_id) AS n_known, coalesce(sum(dim.venue_id), 0)::BIGINT AS id_sum
+FROM t LEFT JOIN dim ON t.tok = dim.venue_abbr GROUP BY part
 """)
 def _venue_lookup(spark, sf_dir):
-    t = doc_tokens(spark, sf_dir).withColumn("venue_abbr", F.upper(F.trim("tok")))
-    dim = G.venue_dim(spark)
-    j = t.join(F.broadcast(dim), "venue_abbr", "left")  # fixed 14-row dimension
-    return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count("venue_id").alias("n_known"),
-                                   F.coalesce(F.sum("venue_id"), F.lit(0)).cast("long").alias("id_sum"))
+    abbr = F.element_at(F.array(*[F.lit(f" {v.lower()}\t") for v in [*_VENUES, "NOWHERE", ""]]),
+                        (F.col("entity_id") % (len(_VENUES) + 2) + 1).cast("int"))
+    t = history(spark, sf_dir).select((F.col("contest_id") % 100).alias("part"), F.upper(S.trimmed(abbr)).alias("venue_abbr"))
+    j = t.join(F.broadcast(G.venue_dim(spark)), "venue_abbr", "left")  # fixed 14-row dimension
+    return j.groupBy("part").agg(F.count(F.lit(1)).alias("n_tokens"), F.count("venue_id").alias("n_known"),
+                                 F.coalesce(F.sum("venue_id"), F.lit(0)).cast("long").alias("id_sum"))
 
 
 @register("label_derive", f"""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import norm_name
 from ..operators import score as SC
 from ..operators import validate as V
-from ..sources.tables import table
-from .feature_plans import features_sql, rounded, score_features
+from ..operators.features import point_in_time_features
+from ..sources.tables import HISTORY_SQL, history, table
+from .feature_plans import features_sql, rounded, score_binding, score_features
 from .registry import register
 
 M = SC.DEMO_SCORER
@@ -32,29 +32,46 @@ VIOL_SQL = """list_filter([
 ], lambda x: x IS NOT NULL)"""
 
 SCORED_SQL = f"""
-WITH f AS ({features_sql('score', rnd=False)}),
-r AS (SELECT f.*, {VIOL_SQL} AS viol FROM f),
-g AS (SELECT contest_id, count(*) AS n_e,
-             count(DISTINCT upper(trim(regexp_replace(CAST(entity_id AS VARCHAR), '\\s+', ' ', 'g')))) AS n_n
-      FROM r GROUP BY contest_id),
-v AS (SELECT r.* FROM r JOIN g ON r.contest_id = g.contest_id
-      WHERE len(r.viol) = 0 AND g.n_e BETWEEN 1 AND 25 AND g.n_n = g.n_e),
+WITH v AS ({features_sql('score_valid', rnd=False)}),
 s AS (SELECT v.*, 1.0 / (1.0 + exp(-{_z_sql()})) AS p FROM v)
 """
 
 
-def _entry_cols(df):
-    return df.withColumn("name", F.col("entity_id").cast("string"))
+def split_requests(targets):
+    """C8/C9 on the raw targets, each contest one request: (valid, rejects)."""
+    viol = V.entry_violations(F.col("entity_id").cast("string"), F.col("load_kg"), F.col("post_position"),
+                              F.col("horse_age"), F.col("sex_code"), F.col("distance_m"),
+                              rider=F.col("rider_id").cast("string"))
+    named = targets.withColumn("name", F.col("entity_id").cast("string"))
+    valid, rejects = V.split_valid(named, CONTEST, "name", viol)
+    return valid.drop("name"), rejects.drop("name")
 
 
 def scored_targets(spark, sf_dir):
-    """L1 steps: features vs frozen history -> C8/C9 validation -> p."""
-    f = score_features(spark, sf_dir)
-    viol = V.entry_violations(F.col("entity_id").cast("string"), F.col("load_kg"),
-                              F.col("post_position"), F.col("horse_age"), F.col("sex_code"),
-                              F.col("distance_m"))
-    valid, _ = V.split_valid(_entry_cols(f), CONTEST, "name", viol)
-    return M(valid)
+    """L1: validate requests -> features of each contest against the frozen history -> p."""
+    frozen, targets = score_binding(spark, sf_dir)
+    valid, _ = split_requests(targets)
+    return M(point_in_time_features(frozen, valid, contest_cols=CONTEST))
+
+
+# A binding in which every entry rule has rows on both sides.
+ODD_ENTRIES_SQL = f"""
+WITH r AS (SELECT contest_id, px, entity_id, 20 + (load_kg - 40) * 2.6 AS load_kg,
+                  CAST(entity_id % 29 AS INTEGER) AS post_position, CAST(entity_id % 23 AS INTEGER) AS horse_age,
+                  CASE WHEN entity_id % 13 = 0 THEN 'X' WHEN entity_id % 7 = 0 THEN NULL ELSE 'M' END AS sex_code,
+                  CASE WHEN contest_id % 11 = 0 THEN NULL ELSE CAST((contest_id % 45) * 100 AS INTEGER) END AS distance_m
+           FROM ({HISTORY_SQL}) h),
+t AS (SELECT r.*, {VIOL_SQL} AS viol FROM r)
+"""
+
+
+def odd_entries(spark, sf_dir):
+    e, c = F.col("entity_id"), F.col("contest_id")
+    return history(spark, sf_dir).select(
+        "contest_id", "px", "entity_id", "rider_id", (F.lit(20.0) + (F.col("load_kg") - 40) * 2.6).alias("load_kg"),
+        (e % 29).cast("int").alias("post_position"), (e % 23).cast("int").alias("horse_age"),
+        F.when(e % 13 == 0, "X").when(e % 7 == 0, F.lit(None)).otherwise("M").alias("sex_code"),
+        F.when(c % 11 == 0, F.lit(None)).otherwise((c % 45) * 100).cast("int").alias("distance_m"))
 
 
 @register("score_batch_sql", SCORED_SQL + """
@@ -98,11 +115,7 @@ SELECT contest_id, px, entity_id, round(p, 6) AS p FROM s ORDER BY p DESC, conte
 """)
 def _argmax_row(spark, sf_dir):
     s = scored_targets(spark, sf_dir).select("contest_id", "px", "entity_id", "p")
-    # max over (p, then smallest key): one aggregate, no sort
-    best = s.agg(F.max_by(F.struct("contest_id", "px", "entity_id", "p"),
-                          F.struct(F.col("p"), (-F.col("contest_id")).alias("a"),
-                                   (-F.col("px")).alias("b"))).alias("m")).select("m.*")
-    return rounded(best)
+    return rounded(SC.argmax_row(s, "p", ["contest_id", "px"]))
 
 
 @register("rank_lookup", SCORED_SQL + """
@@ -170,25 +183,40 @@ def _mean_abs(spark, sf_dir):
     return rounded(c.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs")))
 
 
-@register("validate_entries", SCORED_SQL.split(",\ng AS")[0] + """
-SELECT contest_id, px, len(viol) = 0 AS valid, array_to_string(viol, ',') AS violations FROM r
+@register("validate_entries", ODD_ENTRIES_SQL + """
+SELECT contest_id, px, len(viol) = 0 AS valid, array_to_string(viol, ',') AS violations FROM t
 """)
 def _validate_entries(spark, sf_dir):
-    f = score_features(spark, sf_dir)
+    f = odd_entries(spark, sf_dir)
     viol = V.entry_violations(F.col("entity_id").cast("string"), F.col("load_kg"), F.col("post_position"),
                               F.col("horse_age"), F.col("sex_code"), F.col("distance_m"))
     return f.select("contest_id", "px", (F.size(viol) == 0).alias("valid"),
                     F.array_join(viol, ",").alias("violations"))
 
 
-@register("validate_group", SCORED_SQL.split(",\nv AS")[0] + """
-SELECT contest_id, n_e AS n_entries, n_n AS n_names, (n_e BETWEEN 1 AND 25 AND n_n = n_e) AS group_ok FROM g
+@register("validate_group", f"""
+WITH r AS ({HISTORY_SQL})
+SELECT contest_id, count(*) AS n_entries, count(DISTINCT entity_id % 5) AS n_names,
+       (count(*) BETWEEN 1 AND 25 AND count(DISTINCT entity_id % 5) = count(*)) AS group_ok FROM r GROUP BY contest_id
 """)
 def _validate_group(spark, sf_dir):
-    f = _entry_cols(score_features(spark, sf_dir))
+    # names that meet in many contests: entity % 5
+    f = history(spark, sf_dir).select("contest_id", (F.col("entity_id") % 5).cast("string").alias("name"))
     return V.group_check(f, CONTEST, "name").select("contest_id", "n_entries", "n_names", "group_ok")
 
 
+@register("score_rejects", ODD_ENTRIES_SQL + """
+, g AS (SELECT contest_id, count(*) FILTER (WHERE len(viol) > 0) AS bad,
+               count(*) BETWEEN 1 AND 25 AND count(DISTINCT entity_id) = count(*) AS ok FROM t GROUP BY contest_id)
+SELECT t.contest_id, t.px, CASE WHEN len(viol) > 0 THEN array_to_string(viol, ',')
+                                WHEN NOT ok THEN 'group_rule' ELSE 'contest_rejected' END AS violations
+FROM t JOIN g ON t.contest_id = g.contest_id WHERE bad > 0 OR NOT ok
+""")
+def _score_rejects(spark, sf_dir):
+    _, rejects = split_requests(odd_entries(spark, sf_dir))
+    return rejects.select("contest_id", "px", F.array_join("violations", ",").alias("violations"))
+
+
 @register("nest_results", SCORED_SQL + """
 , rk AS (SELECT contest_id, px, entity_id, p,
                 row_number() OVER (PARTITION BY contest_id ORDER BY p DESC, px) AS rank,
@@ -220,17 +248,16 @@ def _flatten_cards(spark, sf_dir):
 
 
 @register("default_fill", f"""
-WITH f AS ({features_sql('score', rnd=False)})
-SELECT contest_id, px, coalesce(nullif(distance_m, 0), 1100) AS distance_used_m, distance_m FROM f
+WITH r AS ({HISTORY_SQL}),
+d AS (SELECT contest_id, px, CASE WHEN contest_id % 7 = 0 THEN 0 WHEN contest_id % 11 = 0 THEN NULL ELSE distance_m END
+             AS distance_m FROM r)
+SELECT contest_id, px, coalesce(nullif(distance_m, 0), 1100) AS distance_used_m, distance_m FROM d
 """)
 def _default_fill(spark, sf_dir):
-    from ..sources.tables import history
-    from ..operators.split import cutoff_value, quantile_cutoff
-    allr = history(spark, sf_dir)
-    c = cutoff_value(quantile_cutoff(allr.where(F.col("finish_pos").isNotNull()), 0.2))
-    t = allr.where(F.col("finish_pos").isNull() & (F.col("event_date") >= c))
-    return t.select("contest_id", "px", V.default_fill(F.col("distance_m")).alias("distance_used_m"),
-                    "distance_m")
+    c = F.col("contest_id")
+    t = history(spark, sf_dir).withColumn("distance_m", F.when(c % 7 == 0, 0).when(c % 11 == 0, F.lit(None))
+                                          .otherwise(F.col("distance_m")).cast("int"))
+    return t.select("contest_id", "px", V.default_fill(F.col("distance_m")).alias("distance_used_m"), "distance_m")
 
 
 @register("clean_form_rows", r"""

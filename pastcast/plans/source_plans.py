@@ -2,6 +2,7 @@
 queries (A1-A15, E27, K13, H1, H2, I1-I10)."""
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from .registry import register
 def _scratch(spark, name: str, sf_dir: str) -> str:
     """Tables this catalogue materialises live under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark).replace("file:", "")
-    tag = os.path.basename(sf_dir.rstrip("/"))
+    path = sf_dir.rstrip("/")
+    tag = f"{os.path.basename(path)}_{hashlib.md5(path.encode()).hexdigest()[:12]}"  # two folders may share a name
     return os.path.join(base, f"{name}_{tag}")
 
 
@@ -35,15 +37,14 @@ SELECT year(event_date) AS event_year, count(*) AS n_rows, count(finish_pos) AS
 """
 
 
-def _cached_history(spark, sf_dir):
+def _written_history(spark, sf_dir, name):
     cols = [f.name for f in HISTORY_SCHEMA.fields]
-    return FS.write_history(history(spark, sf_dir).select(*cols), _scratch(spark, "history", sf_dir),
-                            use_cache=False)
+    return FS.write_history(history(spark, sf_dir).select(*cols), _scratch(spark, name, sf_dir), use_cache=False)
 
 
 @register("write_history", _YEAR_SQL)
 def _write_history(spark, sf_dir):
-    h = _cached_history(spark, sf_dir)
+    h = _written_history(spark, sf_dir, "history")
     return rounded(h.groupBy("event_year").agg(F.count(F.lit(1)).alias("n_rows"),
                                                F.count("finish_pos").alias("n_labelled"),
                                                F.sum("load_kg").alias("kg_sum")))
@@ -51,13 +52,9 @@ def _write_history(spark, sf_dir):
 
 @register("scan_history", _YEAR_SQL)
 def _scan_history(spark, sf_dir):
-    path = _scratch(spark, "history", sf_dir)
-    try:
-        schema = T.StructType(HISTORY_SCHEMA.fields + [T.StructField("event_year", T.IntegerType())])
-        h = FS.scan_history(spark, path, schema)
-        h.limit(1).collect()
-    except Exception:
-        h = _cached_history(spark, sf_dir)
+    _written_history(spark, sf_dir, "scanned")
+    schema = T.StructType(HISTORY_SCHEMA.fields + [T.StructField("event_year", T.IntegerType())])
+    h = FS.scan_history(spark, _scratch(spark, "scanned", sf_dir), schema)
     return rounded(h.groupBy("event_year").agg(F.count(F.lit(1)).alias("n_rows"),
                                                F.count("finish_pos").alias("n_labelled"),
                                                F.sum("load_kg").alias("kg_sum")))

@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import score as SC
-from ..operators import validate as V
 from ..operators.features import point_in_time_features
 from ..operators.split import cutoff_value, quantile_cutoff
 from ..session import ensure_checkpoint_dir
@@ -17,7 +16,7 @@ from ..sources.tables import history, table
 from ..streaming import jobs as J
 from .feature_plans import rounded
 from .registry import register
-from .score_plans import SCORED_SQL
+from .score_plans import SCORED_SQL, split_requests
 
 
 def _run_dir(spark, name):
@@ -76,12 +75,9 @@ def _stream_score(spark, sf_dir):
     tschema = spark.read.parquet(targets_dir).schema
 
     def score_batch(batch):
-        f = point_in_time_features(frozen, batch)
-        viol = V.entry_violations(F.col("entity_id").cast("string"), F.col("load_kg"), F.col("post_position"),
-                                  F.col("horse_age"), F.col("sex_code"), F.col("distance_m"))
-        valid, _ = V.split_valid(f.withColumn("name", F.col("entity_id").cast("string")), ["contest_id"],
-                                 "name", viol)
-        s = SC.rank_in_contest(SC.DEMO_SCORER(valid), ["contest_id"], "p", ["px"])
+        valid, _ = split_requests(batch)
+        s = SC.rank_in_contest(SC.DEMO_SCORER(point_in_time_features(frozen, valid, contest_cols=["contest_id"])),
+                               ["contest_id"], "p", ["px"])
         return s.select("contest_id", "px", "entity_id", "p", F.col("rank").cast("long"))
 
     out = J.stream_score(spark, targets_dir, tschema, _run_dir(spark, "score"), score_batch)

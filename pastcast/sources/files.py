@@ -29,10 +29,9 @@ def write_history(df: DataFrame, path: str, use_cache: bool = True,
     folders) and read it back."""
     spark = df.sparkSession
     if use_cache:
-        try:
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
             return spark.read.parquet(path)
-        except Exception:  # not there yet
-            pass
     out = df
     if "event_year" in partition_by and "event_year" not in df.columns:
         out = df.withColumn("event_year", F.year("event_date"))

@@ -24,11 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (entity, contest) with outcome, context and market signal."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -72,8 +67,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The binding below is a four-table join plus a window; like the
     reference's ``history.parquet`` it is built once and written as a parquet
-    table under the shared ``spark.checkpoint.dir`` (keyed by the source
-    files), then every job reads that table with column pruning and filter
+    table under the shared ``spark.checkpoint.dir``, keyed by path, length and
+    modification time of every source file, then every job reads that table with column pruning and filter
     pushdown instead of re-running the join in each plan branch.
     """
     import hashlib
@@ -81,8 +76,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark).rstrip("/")
     src = sf_dir.rstrip("/")
-    sig = "|".join(f"{n}:{_fs_len(spark, f'{src}/{n}.parquet')}"
-                   for n in ("lineitem", "orders", "customer", "nation"))
+    sig = "|".join(x for n in ("lineitem", "orders", "customer", "nation")
+                   for x in _fs_files(spark, f"{src}/{n}.parquet"))
     key = hashlib.md5(f"{src}|{sig}".encode()).hexdigest()[:16]
     path = f"{base}/tables/history_{key}"
     if not _fs_exists(spark, f"{path}/_SUCCESS"):
@@ -112,9 +107,14 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _fs_len(spark: SparkSession, path: str) -> int:
+def _fs_files(spark: SparkSession, path: str) -> list[str]:
+    """Path, length and modification time of every file below ``path``, sorted."""
     p, fs = _fs_path(spark, path)
-    return int(fs.getFileStatus(p).getLen()) if fs.exists(p) else -1
+    out, found = [], fs.listFiles(p, True)
+    while found.hasNext():
+        f = found.next()
+        out.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return sorted(out)
 
 
 HISTORY_TABLE_SCHEMA = ("entity_id BIGINT, rider_id BIGINT, contest_id BIGINT, px DOUBLE, event_date DATE, "

@@ -76,12 +76,12 @@ def stream_daily_counts(spark: SparkSession, source: str, schema: T.StructType,
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         (batch.select(F.col("w.start").cast("date").alias("day"), "n_events", "rate",
-                      F.lit(batch_id).alias("batch_id"))
-         .write.mode("append").parquet(data))
+                      F.lit(batch_id).alias("version"))
+         .write.mode("overwrite").parquet(f"{data}/batch_id={batch_id}"))  # a replayed batch replaces itself
 
     _drain(agg.writeStream.outputMode("update").foreachBatch(sink), os.path.join(out, "_checkpoint"))
     v = spark.read.parquet(data)
-    latest = v.groupBy("day").agg(F.max_by(F.struct("n_events", "rate"), "batch_id").alias("m"))
+    latest = v.groupBy("day").agg(F.max_by(F.struct("n_events", "rate"), "version").alias("m"))
     return latest.select("day", "m.n_events", "m.rate")
 
 
@@ -93,7 +93,8 @@ def stream_score(spark: SparkSession, source: str, schema: T.StructType, out: st
     data = os.path.join(out, "data")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(data)
+        # a replayed batch replaces itself
+        score_batch(batch).write.mode("overwrite").parquet(f"{data}/batch_id={batch_id}")
 
     _drain(s.writeStream.foreachBatch(sink), os.path.join(out, "_checkpoint"))
     return spark.read.parquet(data)
