@@ -30,6 +30,13 @@ def _grouped(df: DataFrame, by: Sequence[str]):
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
+def _beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Columns of both per group; without groups both are one row, folded without a join."""
+    if by:
+        return a.join(b, list(by))
+    return a.unionByName(b, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in [*a.columns, *b.columns]])
+
+
 def score_table(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     y = F.col(label)
     return (df.where(F.col(score).isNotNull() & y.isNotNull())
@@ -88,11 +95,9 @@ def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float =
 def binary_metrics(df: DataFrame, label: str = "label", score: str = "p", threshold: float = 0.5,
                    by: Sequence[str] = ()) -> DataFrame:
     """The eight metrics of a run, one row per group."""
-    d, keys = _grouped(df, by)
-    out = threshold_metrics(d, label, score, threshold, keys)
     # one ordered pass serves both rank metrics
-    g = global_prefix(score_table(d, label, score, keys), "_s", ["pos", "neg"], keys)
-    return out.join(g.groupBy(*keys).agg(_auc_of(), _ap_of()), keys).drop(*[k for k in keys if k not in by])
+    g = global_prefix(score_table(df, label, score, by), "_s", ["pos", "neg"], by)
+    return _beside(threshold_metrics(df, label, score, threshold, by), g.groupBy(*by).agg(_auc_of(), _ap_of()), by)
 
 
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[float],
@@ -131,13 +136,12 @@ def calibration_bins(df: DataFrame, label: str, score: str, n_bins: int = 10,
     gap = observed - predicted."""
     probs = [i / n_bins for i in range(1, n_bins)]
     out_by = list(by)
-    df, by = _grouped(df, by)
     q = exact_quantiles(df, score, probs, by)
     edges = q.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("qi", "value"))).alias("_e"))
     edges = edges.select(*by, F.transform("_e", lambda x: x["value"]).alias("_edges"))
     s = F.col(score).cast("double")
     base = df.where(F.col(label).isNotNull() & s.isNotNull())
-    joined = base.join(edges, list(by))
+    joined = base.join(edges, list(by)) if by else base.withColumn("_edges", edges.select("_edges").scalar())
     return (joined.groupBy(*out_by, F.size(F.filter("_edges", lambda e: e <= s)).alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("pred_mean"),
                  F.avg(F.col(label).cast("double")).alias("obs_rate"))

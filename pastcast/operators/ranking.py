@@ -25,12 +25,14 @@ from ..session import ensure_checkpoint_dir
 
 
 def global_prefix(df: DataFrame, order_col: str, sum_cols: Sequence[str],
-                  by: Sequence[str] = ()) -> DataFrame:
+                  by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Adds ``cum_<c>`` (inclusive running sum in ascending ``order_col``
     within ``by``) and ``tot_<c>`` (group total) for each ``c``. ``order_col``
-    must be unique within ``by`` (feed it a distinct-value table)."""
+    must be unique within ``by`` (feed it a distinct-value table). ``buckets``
+    sets the number of ranges; by default Spark does."""
     ensure_checkpoint_dir(df.sparkSession)
-    d = (df.repartitionByRange(*[F.col(c) for c in by], F.col(order_col))
+    ranges = [F.col(c) for c in [*by, order_col]]
+    d = ((df.repartitionByRange(buckets, *ranges) if buckets else df.repartitionByRange(*ranges))
          .withColumn("_b", F.spark_partition_id()).checkpoint())
     tot = d.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
