@@ -46,7 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, honouring the cluster setting.
 
     ``spark.checkpoint.dir`` (shared storage on a cluster) wins; a temp folder
-    is created only when nothing is configured, which is the local-test case.
+    is created only when nothing is configured and the master is local; without
+    the setting a cluster job fails here instead of writing where others cannot read.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="pastcast-ckpt-")
     sc.setCheckpointDir(configured)
     return configured

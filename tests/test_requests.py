@@ -116,3 +116,12 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     os.rename(f"{out}/_checkpoint", f"{out}/_lost")
     again = jobs.stream_score(spark, src, schema, out, lambda b: b).drop("batch_id").collect()
     assert len(once) == 10 and sorted(map(str, once)) == sorted(map(str, again))
+
+
+def test_anchors_resolve_to_images_of_enough_size(spark):
+    from pastcast.operators import grid
+    anchors = spark.createDataFrame([("f", 9, "r1"), ("f", 3, "r2"), ("f", 5, "r3"), ("f", 7, "none")], "file STRING, anchor_row INT, rel_id STRING")
+    rels = spark.createDataFrame([("f", "r1", "a.png"), ("f", "r2", "b.png"), ("f", "r3", "logo.png")], "file STRING, rel_id STRING, target STRING")
+    media = spark.createDataFrame([("f", "a.png", 900, 500), ("f", "b.png", 800, 400), ("f", "logo.png", 799, 900)],
+                                  "file STRING, target STRING, width INT, height INT")
+    assert [(r.target, r.seq) for r in grid.anchor_resolve(anchors, rels, media).orderBy("seq").collect()] == [("b.png", 1), ("a.png", 2)]
