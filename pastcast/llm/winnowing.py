@@ -102,23 +102,26 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document hands to the one before it once more.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
-        F.col("id"), F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("h"), "text")
-    order = [F.col("key").desc(), F.col("h")]
-    slim = dealt_in_order(rows.groupBy("key", "h").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("copies")),
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
+    order = [F.col("id").desc_nulls_last(), F.col("h")]
+    slim = dealt_in_order(rows.groupBy("id", "h").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("copies")),
                           order, "order")
     repeated = bool(slim.filter("copies > 1").head(1))
-    me = F.struct("key", "h", "n")
-    ends = slim.groupBy("__part").agg(F.max_by(me, F.struct(F.bitwise_not("key"), "h")).alias("last"))
-    in_parts = W_.orderBy("__part")
-    whole = in_parts.rowsBetween(W_.unboundedPreceding, W_.unboundedFollowing)
-    ends = ends.select("__part", F.coalesce(F.lag("last").over(in_parts), F.last("last").over(whole)).alias("ended"))
-    before = F.coalesce(F.lag(me).over(W_.partitionBy("__part").orderBy(*order)), F.col("ended"))
-    placed = slim.join(ends, "__part").select("key", "h", before.alias("b")).select(
-        "key", "h", F.col("b.key").alias("to_key"), F.col("b.h").alias("to_h"), div(F.col("b.n"), 3).cast("int").alias("take"))
-    handed = rows.join(placed, ["key", "h"]).select(
-        F.col("to_key").alias("key"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("take")).alias("addition"),
+    me, in_part = F.struct("id", "h", "n"), W_.partitionBy("__part").orderBy(*order)
+    placed = slim.select("__part", me.alias("me"), F.lag(me).over(in_part).alias("before"), F.row_number().over(in_part).alias("at"))
+    parts = W_.orderBy("__part")
+    whole = parts.rowsBetween(W_.unboundedPreceding, W_.unboundedFollowing)
+    ends = placed.groupBy("__part").agg(F.max_by("me", "at").alias("last")).select(
+        "__part", F.coalesce(F.lag("last").over(parts), F.last("last").over(whole)).alias("ended"))
+    to = F.coalesce("before", "ended")
+    placed = placed.join(ends, "__part").select(
+        F.col("me.id").alias("own_id"), F.col("me.h").alias("own_h"), to["id"].alias("to_id"), to["h"].alias("to_h"),
+        div(to["n"], 3).cast("int").alias("take"))
+    # Both joins read the rows dealt by id and h; they need the same columns, so one shuffle of the texts serves both.
+    handed = rows.join(placed, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))).select(
+        "to_id", "to_h", F.substring("text", F.lit(1), F.col("take")).alias("addition"),
         hashes(fingerprint(F.col("text"))).alias("next_hashes"))
     if repeated:
-        handed = handed.dropDuplicates(["key", "h"])
-    return rows.join(handed, ["key", "h"]).select("id", "text", "addition", "next_hashes")
+        handed = handed.dropDuplicates(["to_id", "to_h"])
+    return rows.join(handed, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h"))).select(
+        "id", "text", "addition", "next_hashes")
