@@ -24,10 +24,12 @@ from pyspark.sql.window import Window as W
 from .tokens import encoder
 
 DICTIONARY_BYTES = 64 << 10
-#: The dictionary is trained on at most so many documents, of at most so many characters each.
+#: The dictionary is trained on about so many documents, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
+#: Texts encoded together.
+GROUP = 2048
 
 SEGMENTS = ("part int, segment int, first_id {id}, last_id {id}, doc_ids array<{id}>, frame_ends array<bigint>, "
             "counts array<bigint>, total bigint, dictionary_hash string, blob binary")
@@ -46,9 +48,12 @@ def _zstd_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def _sample(docs: DataFrame) -> list[str]:
-    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS))
-    return [r[0] for r in short.select("text", F.xxhash64("id", F.lit("dictionary")).alias("h"))
-            .orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    """About SAMPLE_DOCS short texts, chosen by a hash of the text; twice as many at most."""
+    parts = 1 << 40
+    cut = int(parts * min(1.0, SAMPLE_DOCS / max(1, docs.count())))
+    chosen = docs.filter(F.pmod(F.xxhash64("text", F.lit("dictionary")), F.lit(parts)) < cut)
+    short = chosen.filter(F.length("text").between(1, SAMPLE_CHARS)).limit(2 * SAMPLE_DOCS)
+    return sorted(r[0] for r in short.select("text").collect())
 
 
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
@@ -94,8 +99,8 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             fields = fields or _arrow_schema(batch.schema.field(0).type)
             size = 0
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, GROUP):
+                rows = batch.slice(at, GROUP)
                 ids, ends = worker.encode(rows.column(1))
                 low = ids.astype(f"<u{width}")
                 last = np.array([end_id], f"<u{width}").tobytes()

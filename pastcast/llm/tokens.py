@@ -16,11 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered in a worker; the memory is emptied when it has more.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: Pieces encoded in one call to the library.
 JOINED = 1000
 #: Texts are encoded in groups of about so many bytes, or one by one if longer.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 
 # A blank with white space before it, and white space or the end after it, is inside a run whose
 # cut depends on more than its neighbours. The classes hold all that any library calls white space.
