@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .tokens import encoder
 
+#: Texts counted together; bounds the memory of a task.
+GROUP = 1024
 RULES = ("start", "end", "largest", "split")
 
 
@@ -91,33 +93,35 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text, sizes = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(None).cast("array<int>")
     slim = df.select(F.col(id_col).alias("id"), text.alias("text"), sizes.alias("sizes"))
 
+    def count_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        doc_ends = offsets[1:] - offsets[0]
+        if fields:
+            ends = np.concatenate([np.cumsum(s) for s in batch.column(2).to_pylist()]).astype(np.int64)
+            docs = np.repeat(np.arange(len(texts)), len(fields))
+            ends += np.concatenate([[0], doc_ends[:-1]])[docs]
+        else:
+            ends, docs = _line_ends(data, doc_ends)
+        worker = encoder(tokenizer)
+        ids, _ = worker.encode(batch.column(1))
+        counts, crossing = allocate(np.cumsum(worker.byte_lengths[ids]), ends, rule)
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        starts = np.concatenate([[0], ends[:-1]])
+        doc_starts = np.concatenate([[0], doc_ends[:-1]])
+        first = np.searchsorted(docs, docs)
+        return pa.RecordBatch.from_arrays([
+            batch.column(0).take(pa.array(docs)), pa.array(np.arange(len(docs)) - first, pa.int32()),
+            pa.array(chars[starts] - chars[doc_starts[docs]], pa.int64()),
+            pa.array(chars[ends] - chars[doc_starts[docs]], pa.int64()),
+            pa.array(counts), pa.array(crossing, pa.int64())],
+            ["id", "section", "start_char", "end_char", "n_tokens", "n_crossing"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column(1).cast(pa.large_binary())
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-            doc_ends = offsets[1:] - offsets[0]
-            if fields:
-                ends = np.concatenate([np.cumsum(s) for s in batch.column(2).to_pylist()]).astype(np.int64)
-                docs = np.repeat(np.arange(len(texts)), len(fields))
-                ends += np.concatenate([[0], doc_ends[:-1]])[docs]
-            else:
-                ends, docs = _line_ends(data, doc_ends)
-            worker = encoder(tokenizer)
-            ids, _ = worker.encode(batch.column(1))
-            counts, crossing = allocate(np.cumsum(worker.byte_lengths[ids]), ends, rule)
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            starts = np.concatenate([[0], ends[:-1]])
-            doc_starts = np.concatenate([[0], doc_ends[:-1]])
-            first = np.searchsorted(docs, docs)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(docs)), pa.array(np.arange(len(docs)) - first, pa.int32()),
-                pa.array(chars[starts] - chars[doc_starts[docs]], pa.int64()),
-                pa.array(chars[ends] - chars[doc_starts[docs]], pa.int64()),
-                pa.array(counts), pa.array(crossing, pa.int64())],
-                ["id", "section", "start_char", "end_char", "n_tokens", "n_crossing"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, GROUP):
+                yield count_batch(whole.slice(begin, GROUP))
 
     kind = dict(slim.dtypes)["id"]
     out = slim.mapInArrow(count, f"id {kind}, section int, start_char bigint, end_char bigint, n_tokens double, n_crossing bigint")
