@@ -1,6 +1,7 @@
 """Shared helpers: tables in the shared folder, distributed running sums."""
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -61,15 +62,14 @@ def running_sum(df: DataFrame, order: Sequence[Column], weight: Column, label: s
             .drop("__part", "__w", "__sum", "__shift"))
 
 
-def block_offsets(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: Column,
-                  rows_per_block: int = 20_000) -> DataFrame:
+def block_offsets(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: Column) -> DataFrame:
     """Adds ``before``: the sum of ``weight`` over the earlier rows of the same ``group``.
 
     Within a group the order is by (hash block of ``order``, ``order``): any fixed order serves, and
-    hash blocks split a group of any size over tasks. ``df`` must be cheap to read twice and its
+    hash blocks split a group of any size over tasks, as many blocks as rows in each. ``df`` must be cheap to read twice and its
     rows distinct in ``group`` and ``order``; ``group`` columns must not be null.
     """
-    blocks = max(1, df.count() // rows_per_block + 1)
+    blocks = math.isqrt(df.count()) + 1
     keyed = df.withColumn("__w", weight.cast("long")).withColumn(
         "__block", F.pmod(F.xxhash64(F.lit("block"), *[F.col(c) for c in order]), F.lit(blocks)))
     totals = keyed.groupBy(*group, "__block").agg(F.sum("__w").alias("__total"))

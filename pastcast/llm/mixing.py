@@ -23,6 +23,8 @@ BLOCK = 128
 SHARD_BLOCKS = 4096
 #: Slots that one row is exploded into at a time.
 RUN = 4096
+#: Slots a task draws.
+TASK_SLOTS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -86,7 +88,7 @@ def draw_slots(sources: DataFrame, seed: int) -> DataFrame:
     runs = (sources.filter("draws > 0")
             .select("source_no", "first_draw", "draws", "blocks",
                     F.explode(F.sequence(F.lit(0).cast("long"), div(F.col("draws") - 1, RUN))).alias("run"))
-            .repartition("source_no", "run"))
+            .repartition(int(total // TASK_SLOTS) + 1, "source_no", "run"))  # a set number: what follows grows, AQE can't tell
     each = runs.select("source_no", "first_draw", "blocks", F.explode(F.sequence(
         F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("draws")) - 1)).alias("draw"))
     turn = div(F.col("draw"), F.col("blocks"))
@@ -115,7 +117,8 @@ def mix(sized: DataFrame, seed: int = 8, **how) -> tuple[DataFrame, DataFrame, D
     documents, sources = lay_out(sized, **how)
     documents = materialise(documents, "laid")
     counts = draw_slots(sources, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
-    return documents, sources, pieces(documents, sources).join(counts, ["source_no", "block"])
+    # Both sides come from explode, whose growth Spark's size estimates leave out: no broadcast here.
+    return documents, sources, pieces(documents, sources).hint("merge").join(counts, ["source_no", "block"])
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
