@@ -23,6 +23,8 @@ from .components import connected_components
 
 #: Fingerprints with one key are compared within cells of at most about twice so many.
 CELL = 2048
+#: Groups up to SMALL rows are compared all at once by distance; larger ones in strips of STRIP rows.
+SMALL, STRIP = 32, 64
 #: Words hashed at a time; bounds the memory a long text takes.
 WORDS_AT_ONCE = 1 << 16
 
@@ -107,38 +109,69 @@ def _keys(fp: Column, max_bits: int) -> Column:
     return F.array(*keys)
 
 
+class _Links:
+    """Rows joined by checked pairs; ``root`` is each row's first row."""
+
+    def __init__(self, segment: np.ndarray, fp: np.ndarray, max_bits: int):
+        self.segment, self.fp, self.max_bits = segment, fp, max_bits
+        self.root = np.arange(len(fp))
+        ring = segments(max_bits)
+        self.chains = np.zeros((len(ring), len(ring)), np.uint64)  # by first segment and chain length
+        for i in range(len(ring)):
+            mask = 0
+            for length in range(len(ring)):
+                mask |= _mask(*ring[(i + length) % len(ring)])
+                self.chains[i, length] = mask
+
+    def check(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the pairs that stay within the budget of every chain from their segment on."""
+        differ = self.fp[a] ^ self.fp[b]
+        for length in range(1, self.max_bits + 1):  # the chain's budget is a bit less than its length
+            fits = np.bitwise_count(differ & self.chains[self.segment[a], length - 1]) <= length - 1
+            a, b, differ = a[fits], b[fits], differ[fits]
+        good = np.bitwise_count(differ) <= self.max_bits
+        self.join(a[good], b[good])
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
+        while len(a):
+            left, right = root[a], root[b]
+            apart = left != right
+            if not apart.any():
+                return
+            a, b, left, right = a[apart], b[apart], left[apart], right[apart]
+            np.minimum.at(root, np.maximum(left, right), np.minimum(left, right))
+            low, high = min(a.min(), b.min(), left.min(), right.min()), len(root)
+            while True:
+                jumped = root[root[low:high]]
+                if (jumped == root[low:high]).all():
+                    break
+                root[low:high] = jumped
+
+
 def link_rows(group: np.ndarray, segment: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
-    """For each row the first row it is connected to by links within its group (rows sorted by group)."""
-    ring = segments(max_bits)
-    n = len(fp)
-    root = np.arange(n)
-    chains = np.zeros((len(ring), len(ring)), np.uint64)  # by first segment and chain length
-    for i in range(len(ring)):
-        mask = 0
-        for length in range(len(ring)):
-            mask |= _mask(*ring[(i + length) % len(ring)])
-            chains[i, length] = mask
-    at, step = np.arange(n), 0
-    while True:
-        step += 1
+    """For each row the first row it is connected to by links within its group (rows sorted by group).
+
+    Pairs that are connected already are not looked at again.
+    """
+    links, n = _Links(segment, fp, max_bits), len(fp)
+    starts = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)) if n else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, n))
+    small = np.repeat(sizes <= SMALL, sizes)
+    at = np.flatnonzero(small)
+    for step in range(1, SMALL):  # all small groups together, by distance
         at = at[at + step < n]
         at = at[group[at] == group[at + step]]
-        if not len(at):
-            return root
-        a = at[root[at] != root[at + step]]
-        differ = fp[a] ^ fp[a + step]
-        for length in range(1, len(ring)):  # the chain's budget is a bit less than its length
-            fits = np.bitwise_count(differ & chains[segment[a], length - 1]) <= length - 1
-            a, differ = a[fits], differ[fits]
-        a = a[np.bitwise_count(differ) <= max_bits]
-        b = a + step
-        while True:
-            left, right = root[a], root[b]
-            if (left == right).all():
-                break
-            np.minimum.at(root, np.maximum(left, right), np.minimum(left, right))
-            while (root != root[root]).any():
-                root = root[root]
+        links.check(at, at + step)
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        own = _Links(segment[start:start + size], fp[start:start + size], max_bits)
+        for row in range(0, size, STRIP):
+            strip = own.root[row:row + STRIP]
+            a, b = np.nonzero(strip[:, None] != own.root[None, row:])
+            ahead = b > a
+            own.check(a[ahead] + row, b[ahead] + row)
+        links.root[start:start + size] = own.root + start
+    return links.root
 
 
 def link_fingerprints(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
