@@ -38,9 +38,9 @@ BLOCK = 8
 #: Test items are indexed in slices of about so many words, a pass over the texts for each.
 SLICE_WORDS = 2_000_000
 #: (passage, block) sums held at a time.
-CELLS = 4_000_000
+CELLS = 50_000
 #: Texts read together.
-GROUP = 1024
+GROUP = 512
 
 
 def words_of(text: str | None) -> list[str]:

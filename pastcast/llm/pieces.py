@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces remembered in a worker.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _NOTHING = -(1 << 63)
 
 

@@ -72,6 +72,7 @@ def _product() -> dict:
 
 
 _TABLE = _product()
+_PLAIN = ((OTHER, 0.0, False), (OTHER, 0.0, True))
 
 
 def read_clause(symbols: list[int], weights: list[float]) -> np.ndarray:
@@ -108,9 +109,11 @@ class Grammar:
                     symbol, weight = INSULT, max(best, weight)
                 elif seed[0] != OTHER and symbol == OTHER:
                     symbol, weight = seed
-            if len(self.known) > 500_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
-            found = self.known[piece] = symbol, weight, piece == "\n" or bool(_END.search(piece))
+            ends = piece == "\n" or bool(_END.search(piece))
+            # Most pieces say nothing: they share two entries.
+            found = self.known[piece] = (symbol, weight, ends) if symbol != OTHER else _PLAIN[ends]
         return found
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -160,22 +163,19 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Weights of the features that tell: of beginnings that cover the same documents the longest."""
     odds = {f: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))) for f, (t, c) in counts.items()}
+    longer: Counter = Counter()  # the most documents of any feature that is one sign longer
+    for g, (t, _) in counts.items():
+        longer[g[:-1]] = max(longer[g[:-1]], t)
     chosen: dict[str, float] = {}
     for f in sorted((f for f in counts if odds[f] >= STEM_ODDS and counts[f][0] >= STEM_DOCS), key=lambda f: (len(f), f)):
         word = f.rstrip("$")
         if any(word[:k] in chosen for k in PREFIXES):
             continue  # a shorter beginning stands for it
-        longer = max((counts[g][0] for g in (w for w in _extensions(f, counts))), default=0)
-        if longer < 0.95 * counts[f][0]:
+        if f.endswith("$") or longer[f] < 0.95 * counts[f][0]:
             chosen[f] = min(odds[f], 6.0)
     return chosen
 
 
-def _extensions(f: str, counts: dict) -> Iterator[str]:
-    if not f.endswith("$"):
-        yield from (g for g in counts if len(g) == len(f) + 1 and g.startswith(f))
-
-
 def word_features(text: str) -> set[str]:
     """Words, marked by ``$``, and beginnings of words."""
     found = set()
