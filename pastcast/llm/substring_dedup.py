@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import div, materialise
 from .components import connected_components
@@ -272,6 +273,16 @@ def _compared(docs: DataFrame, ties: DataFrame) -> DataFrame:
             .filter(F.col("similarity") >= SIMILARITY))
 
 
+def _touching(found: DataFrame) -> DataFrame:
+    """Folds the rows of one (id, other, shift) that overlap or are next to each other."""
+    pair = W.partitionBy("id", "other", "shift").orderBy("first")
+    reached = F.max("end").over(pair.rowsBetween(W.unboundedPreceding, -1))
+    cut = found.withColumn("new", F.coalesce(F.col("first") > reached, F.lit(True)).cast("int"))
+    return (cut.withColumn("island", F.sum("new").over(pair.rowsBetween(W.unboundedPreceding, W.currentRow)))
+            .groupBy("id", "other", "shift", "island")
+            .agg(F.min("first").alias("first"), F.max("end").alias("end"), F.min("similarity").alias("similarity")).drop("island"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, match_<id>, first_word, end_word, match_first_word, similarity, group_id): a row for each passage of
     fifty words or more that a document shares with the one it is tied to, and one the other way round.
@@ -295,10 +306,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = _compared(slim, ties.filter("NOT same").join(known, ["id", "other"], "left_anti"))
     near = near.select("id", "other", F.col("start").alias("first"), (F.col("start") + TOKENS + SHINGLE - 1).alias("end"),
                        F.col("other_start").alias("other_first"), "similarity")
-    # Windows of one passage lie at one distance in both texts.
-    passages = materialise(
-        equal.union(near).groupBy("id", "other", (F.col("first") - F.col("other_first")).alias("shift"))
-        .agg(F.min("first").alias("first"), F.max("end").alias("end"), F.min("similarity").alias("similarity")), "passages")
+    # Windows of one passage lie at one distance in both texts and touch each other.
+    turned, shift = F.col("id") > F.col("other"), F.col("first") - F.col("other_first")
+    found = equal.union(near).select(
+        F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), F.when(turned, -shift).otherwise(shift).alias("shift"),
+        F.when(turned, F.col("other_first")).otherwise(F.col("first")).alias("first"),
+        F.when(turned, F.col("end") - shift).otherwise(F.col("end")).alias("end"), "similarity")
+    passages = materialise(_touching(found), "passages")
     stars = connected_components(passages.select(F.col("id").alias("u"), F.col("other").alias("v")).distinct())
     there = F.col("first") - F.col("shift")
     size = F.col("end") - F.col("first")

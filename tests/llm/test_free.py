@@ -444,6 +444,21 @@ def test_near_passages_are_found(spark):
     assert len(got) >= 0.9 * pairs
 
 
+def spans(rows, first, second):
+    """(first_word, end_word, match_first_word, similarity) of a document's passages in another, by place."""
+    return sorted((r.first_word, r.end_word, r.match_first_word, r.similarity) for r in rows if (r.doc_id, r.match_doc_id) == (first, second))
+
+
+def test_passages_apart_at_one_shift_stay_apart(spark):
+    rng = random.Random(5)
+    head, foot = prose(rng, 70, 10_000), prose(rng, 60, 10_000)
+    rows = [(i, f"{head} {prose(rng, 90, 10_000)} {foot}", "a") for i in range(2)]
+    got = substring_dedup.repeated_passages(as_docs(spark, rows)).collect()
+    assert spans(got, 0, 1) == spans(got, 1, 0)
+    assert all(end <= 75 or first >= 155 for first, end, _, _ in spans(got, 0, 1))
+    assert {first < 75 for first, _, _, _ in spans(got, 0, 1)} == {True, False}
+
+
 def test_word_coder_sees_the_words():
     coder = WordCoder(lambda w: hash(w) & 0xFFFF)
     texts = ["A b,\n(c) -- d\t\x0be", None, "", "--", " x  "]
