@@ -8,9 +8,10 @@ joined as intervals of passage starts; all passages of a joint window share the
 the two minima. Across documents, joint windows with the same signature are grouped.
 
 Passages of a group are verified. Windows with the same tokens are the same passage; in each group
-they are tied to the first of them. The first ones of different content are compared token by
-token, with the group's first and with their neighbour, and tied if at least SIMILARITY of
-the tokens of both are common. Ties make components; no group is ever expanded into its pairs.
+they are tied to the first of them. The first ones of different content are compared, each with all
+that it is not connected to, at every passage over their common minimum, and tied if at least
+SIMILARITY of the tokens of both are common. Large groups are cut into cells of two blocks. Ties make
+components; a group's pairs are compared in memory and only a spanning forest of them comes out.
 """
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import div, materialise
+from .common import materialise
 from .components import connected_components
 from .pieces import WordCoder
 
@@ -35,6 +36,12 @@ BANDS = 3
 FUNCTIONS = 2 * BANDS
 #: Texts read together, and texts whose equal windows are tied before the shuffle.
 GROUP = 1024
+#: Texts whose windows' surroundings are cut out together.
+AROUND = 64
+#: Windows with one signature are compared within cells of at most about twice so many.
+CELL = 2048
+#: Groups up to SMALL windows are compared all at once by distance; pairs and windows read at a time.
+SMALL, COMPARED, WINDOWS = 8, 2048, 4096
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,10 +146,6 @@ def _last(place: Column) -> Column:
     return _first(place) + F.shiftright(place, 8).bitwiseAND(F.lit(255))
 
 
-def _centre(place: Column) -> Column:
-    return _first(place) + place.bitwiseAND(F.lit(255))
-
-
 def document_windows(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, signature, place, content) of all joint windows of the texts, a row per text and signature.
 
@@ -173,7 +176,9 @@ def document_windows(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, .
 
 
 _WINDOW = "route bigint, signature bigint, content bigint, id bigint, place bigint, other bigint, other_place bigint"
-_TIE = "id bigint, place bigint, other bigint, other_place bigint, same boolean"
+_TIE = "signature bigint, content bigint, id bigint, place bigint, other bigint, other_place bigint"
+_AROUND = "signature bigint, id bigint, centre bigint, before int, after int, run binary"
+_LINK = "id bigint, first bigint, end bigint, other bigint, other_first bigint, similarity double"
 
 
 def _hash_word(word: str) -> int:
@@ -204,14 +209,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _TIE from windows sorted by signature and content. A group may go on over batches: its first
-    row and the first row of its content are all that is kept of it."""
-    names = ["id", "place", "other", "other_place", "same"]
+    """Rows of _TIE from windows sorted by signature and content: windows tied to the first of their content, and,
+    with other_place -1, the first of each content where a signature has several. A group may go on over
+    batches: its first row and the first row of its content are all that is kept of it."""
+    names = ["signature", "content", "id", "place", "other", "other_place"]
     held = np.empty((4, 0), np.int64)  # signature, content, id, place
     for batch in batches:
         tied = batch.column(6).to_numpy() >= 0
-        here = [batch.column(i).to_numpy() for i in (3, 4, 5, 6)]
-        out = [[x[tied] for x in here] + [np.ones(tied.sum(), bool)]]
+        out = [[batch.column(i).to_numpy()[tied] for i in range(1, 7)]]
         rows = np.concatenate([held, np.stack([batch.column(i).to_numpy()[~tied] for i in (1, 2, 3, 4)])], axis=1)
         n, known = rows.shape[1], held.shape[1]
         if n:
@@ -221,56 +226,244 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = new.copy()
             other[1:] |= rows[1, 1:] != rows[1, :-1]
             group, content = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(other, at, 0))
-            previous = np.concatenate([[0], content[:-1]])  # first row of the content before, where a new one begins
             fresh = at >= known
-            for some, to, same in ((fresh & ~other, content, True), (fresh & other & ~new, group, False),
-                                   (fresh & other & ~new & (previous != group), previous, False)):
-                a, b = at[some], to[some]
-                out.append([rows[2, a], rows[3, a], rows[2, b], rows[3, b], np.full(len(a), same)])
+            a, b = at[fresh & ~other], content[fresh & ~other]
+            out.append([*rows[:, a], rows[2, b], rows[3, b]])
+            more = at[fresh & other & ~new]
+            first = np.unique(group[more])
+            if known == 2:  # with a second content held, the group's first row is out already
+                first = first[first > 0]
+            heads = np.concatenate([first, more])
+            out.append([*rows[:, heads], rows[2, heads], np.full(len(heads), -1)])
             held = rows[:, sorted({int(group[-1]), int(content[-1])})]
         columns = [np.concatenate(x) for x in zip(*out)]
-        keep = columns[0] != columns[2]
+        keep = (columns[2] != columns[4]) | (columns[5] < 0)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names)
 
 
-def _compared(docs: DataFrame, ties: DataFrame) -> DataFrame:
-    """(id, start, other, other_start, similarity): passages of ties of different content, compared."""
-    # The passage is aligned by the common minimum: as far before it in both texts as both windows allow.
-    low = F.greatest(*[_centre(F.col(c)) - _last(F.col(c)) for c in ("place", "other_place")])
-    high = F.least(*[_centre(F.col(c)) - _first(F.col(c)) for c in ("place", "other_place")])
-    ahead = div(low + high, 2)
-    pairs = materialise(ties.select(
-        "id", "other", F.greatest(_centre(F.col("place")) - ahead, F.lit(0)).alias("start"),
-        F.greatest(_centre(F.col("other_place")) - ahead, F.lit(0)).alias("other_start")).distinct(), "compare")
-    needed = pairs.select("id", "start").union(pairs.select("other", "other_start")).distinct()
-    # At most a start for each word of a text.
-    wanted = needed.groupBy("id").agg(F.collect_list("start").alias("starts"))
+def _around(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of _AROUND: the tokens up to TOKENS - 1 before and after the centre of each window."""
+    # At most a few windows for each word of a text.
+    wanted = heads.groupBy("id").agg(F.collect_list(F.struct("signature", "content", "place")).alias("wants"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(_hash_word)
         for batch in batches:
-            for begin in range(0, batch.num_rows, GROUP):
-                rows = batch.slice(begin, GROUP)
+            for begin in range(0, batch.num_rows, AROUND):
+                rows = batch.slice(begin, AROUND)
                 codes, ends = coder.code(rows.column(1))
-                ids, starts, runs = [], [], []
-                for i, (own, wants) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2).to_pylist())):
-                    values = tokens(codes[(ends[i - 1] if i else 0):ends[i]]).view(np.int64)
-                    for s in wants:
-                        ids.append(own)
-                        starts.append(s)
-                        runs.append(np.unique(values[s:s + TOKENS]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()),
-                                                  pa.array(runs, pa.list_(pa.int64()))], ["id", "start", "run"])
-
-    runs = materialise(docs.join(wanted, "id").select("id", "text", "starts").mapInArrow(
-        cut, "id bigint, start bigint, run array<bigint>").groupBy("id", "start").agg(F.first("run").alias("run")), "runs")
-    theirs = runs.select(F.col("id").alias("other"), F.col("start").alias("other_start"), F.col("run").alias("other_run"))
-    common = F.size(F.array_intersect("run", "other_run"))
-    return (pairs.join(runs, ["id", "start"]).join(theirs, ["other", "other_start"])
-            .withColumn("common", common)
-            .select("id", "start", "other", "other_start",
-                    (F.col("common") / (F.size("run") + F.size("other_run") - F.col("common"))).alias("similarity"))
-            .filter(F.col("similarity") >= SIMILARITY))
+                out = []
+                for i, own in enumerate(rows.column(0).to_pylist()):
+                    values = tokens(codes[(ends[i - 1] if i else 0):ends[i]])
+                    wants = rows.column(2)[i].values
+                    signature, content, place = (wants.field(k).to_numpy() for k in range(3))
+                    first = place >> 16
+                    last, centre = first + ((place >> 8) & 255), first + (place & 255)
+                    # Rows may share an id: the window is of the text that has its content.
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+                    mine = np.flatnonzero(last + TOKENS <= len(values))
+                    mine = mine[sums[last[mine] + TOKENS] - sums[first[mine]] == content[mine].view(np.uint64)]
+                    if not len(mine):
+                        continue
+                    centre = centre[mine]
+                    index = centre[:, None] + np.arange(1 - TOKENS, TOKENS)
+                    run = np.where((index >= 0) & (index < len(values)), values[np.clip(index, 0, len(values) - 1)], np.uint64(0))
+                    out.append((signature[mine], np.full(len(mine), own), centre, np.minimum(centre, TOKENS - 1),
+                                np.minimum(len(values) - 1 - centre, TOKENS - 1), run))
+                if not out:
+                    continue
+                signature, ids, centre, before, after, run = (np.concatenate(x) for x in zip(*out))
+                offsets = np.arange(len(run) + 1, dtype=np.int32) * (run.shape[1] * 8)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(signature), pa.array(ids), pa.array(centre), pa.array(before, pa.int32()), pa.array(after, pa.int32()),
+                    pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(run))])],
+                    ["signature", "id", "centre", "before", "after", "run"])
+
+    return docs.join(wanted, "id").select("id", "text", "wants").mapInArrow(cut, _AROUND)
+
+
+class Surroundings:
+    """Windows by their tokens around the common minimum, the centre: ``run`` has 2 * TOKENS - 1 columns, of which
+    ``before`` ahead of the middle one and ``after`` behind it are tokens."""
+
+    def __init__(self, run: np.ndarray, before: np.ndarray, after: np.ndarray):
+        self.run, self.before, self.after = run, before, after
+        place = np.arange(1 - TOKENS, TOKENS)
+        self.real = (place >= -before[:, None]) & (place <= after[:, None])
+        ordered = np.sort(np.where(self.real, run, np.uint64((1 << 64) - 1)), axis=1)
+        self.distinct = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) - ~self.real.all(axis=1)
+        repeats = before + after + 1 - self.distinct
+        self.plain = repeats == 0
+        # The fewest tokens that a similar passage has in common with one of this window.
+        self.need = -(-4 * np.maximum(1, TOKENS - repeats) // 5)
+        flags = np.zeros((len(run), 1024), bool)
+        flags[np.broadcast_to(np.arange(len(run))[:, None], run.shape)[self.real], (run[self.real] & np.uint64(1023)).astype(np.int64)] = True
+        self.bits = np.packbits(flags, axis=1).view(np.uint64)
+
+    def may(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        """False only for pairs without similar passages: too many tokens of one are none of the other."""
+        one, two = self.bits[a], self.bits[b]
+        alone = self.distinct[a] - np.bitwise_count(one & ~two).sum(axis=-1, dtype=np.int64) >= self.need[a]
+        return alone & (self.distinct[b] - np.bitwise_count(two & ~one).sum(axis=-1, dtype=np.int64) >= self.need[b])
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(linked, first, last, similarity) of pairs: every passage over the centre at one distance from it in both is
+        compared. first and last are starts, from the run's first column: of the similar passages that begin and
+        end with the same token, or else of the one most alike."""
+        m, starts = len(a), np.arange(TOKENS)
+        alike = np.zeros((m, TOKENS))
+        fast = self.plain[a] & self.plain[b]
+        if fast.any():
+            alike[fast] = self._plain_similarity(a[fast], b[fast])
+        slow = np.flatnonzero(~fast)
+        for s in starts if len(slow) else ():
+            one, two = (np.sort(self.run[x[slow], s:s + TOKENS], axis=1) for x in (a, b))
+            sizes = [1 + (x[:, 1:] != x[:, :-1]).sum(axis=1) for x in (one, two, np.sort(np.concatenate([one, two], axis=1), axis=1))]
+            alike[slow, s] = (sizes[0] + sizes[1] - sizes[2]) / sizes[2]
+        low = TOKENS - 1 - np.minimum(self.before[a], self.before[b])
+        high = np.minimum(self.after[a], self.after[b])
+        good = (alike >= SIMILARITY) & (starts >= low[:, None]) & (starts <= high[:, None])
+        even = self.run[a] == self.run[b]
+        closed = good & even[:, :TOKENS] & even[:, TOKENS - 1:]
+        best = np.argmax(np.where(good, alike, -1), axis=1)
+        whole = closed.any(axis=1)
+        first = np.where(whole, np.argmax(closed, axis=1), best)
+        last = np.where(whole, TOKENS - 1 - np.argmax(closed[:, ::-1], axis=1), best)
+        similarity = np.where(whole, np.where(closed, alike, 2).min(axis=1), alike[np.arange(m), best])
+        return good.any(axis=1), first, last, similarity
+
+    def _plain_similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Similarity by start, of windows without repeated tokens."""
+        m, width = len(a), 2 * TOKENS - 1
+        both = np.concatenate([self.run[a], self.run[b]], axis=1)
+        real = np.concatenate([self.real[a], self.real[b]], axis=1)
+        order = np.argsort(both, axis=1, kind="stable")
+        both, real = np.take_along_axis(both, order, 1), np.take_along_axis(real, order, 1)
+        pair, k = np.nonzero((both[:, 1:] == both[:, :-1]) & real[:, 1:] & real[:, :-1])
+        i, j = order[pair, k], order[pair, k + 1] - width
+        begin, stop = np.maximum(0, np.maximum(i, j) - TOKENS + 1), np.minimum(TOKENS - 1, np.minimum(i, j)) + 1
+        some = begin < stop
+        pair, begin, stop = pair[some], begin[some], stop[some]
+        size = m * (TOKENS + 1)
+        steps = (np.bincount(pair * (TOKENS + 1) + begin, minlength=size) - np.bincount(pair * (TOKENS + 1) + stop, minlength=size))
+        common = np.cumsum(steps.reshape(m, TOKENS + 1), axis=1)[:, :TOKENS]
+        return common / (2 * TOKENS - common)
+
+
+def link_windows(around: Surroundings, group: np.ndarray, block: np.ndarray, ids: np.ndarray) -> list[tuple]:
+    """(a, b, first, last, similarity) of similar passages that connect the windows of each group; windows are
+    sorted by group. In a group of two blocks the pairs between them are compared, else all; never two
+    windows of one text, nor windows that are connected already."""
+    n, out = len(group), []
+    root = np.arange(n)
+    begins = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)) if n else np.empty(0, np.int64)
+    sizes = np.diff(np.append(begins, n))
+    lowest, highest = (f.reduceat(block, begins) if n else block for f in (np.minimum, np.maximum))
+    mixed = np.repeat(lowest != highest, sizes)
+
+    def check(a, b):
+        a, b = (x[(ids[a] != ids[b]) & (root[a] != root[b]) & ~(mixed[a] & (block[a] == block[b]))] for x in (a, b))
+        for at in range(0, len(a), COMPARED):
+            p, q = a[at:at + COMPARED], b[at:at + COMPARED]
+            near = around.may(p, q) & (root[p] != root[q])
+            p, q = p[near], q[near]
+            if not len(p):
+                continue
+            linked, *rest = around.compare(p, q)
+            p, q, rest = p[linked], q[linked], [x[linked] for x in rest]
+            forest = np.zeros(len(p), bool)
+            for k, (x, y) in enumerate(zip(p.tolist(), q.tolist())):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                while root[y] != y:
+                    root[y] = y = root[root[y]]
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    forest[k] = True
+            out.append((p[forest], q[forest], *(x[forest] for x in rest)))
+
+    def flatten(low, high):
+        while not np.array_equal(jumped := root[root[low:high]], root[low:high]):
+            root[low:high] = jumped
+
+    small = np.repeat(sizes <= SMALL, sizes)
+    at = np.flatnonzero(small)
+    for step in range(1, SMALL):  # all small groups together, by distance
+        at = at[at + step < n]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        check(at, at + step)
+        flatten(0, n)
+    for begin, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        for row in range(begin, begin + size - 1):
+            rest = np.arange(row + 1, begin + size)
+            before = len(out)
+            check(np.full(len(rest), row), rest)
+            if len(out) > before:
+                flatten(begin, begin + size)
+    return out
+
+
+def _near(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of _LINK: similar passages that connect the windows of different content of each signature.
+
+    A signature with more than CELL of them is cut into blocks; every pair of blocks is a cell.
+    """
+    blocks = (heads.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+              .select("signature", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64(F.lit("block"), "id", "centre"), F.col("blocks")).cast("int")
+    celled = (_around(docs, heads).join(blocks, "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+              .withColumn("block", block).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("signature", (F.least("block", "beside") * F.col("blocks") + F.greatest("block", "beside")).alias("cell"),
+                      "block", "id", "centre", "before", "after", "run"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 * TOKENS - 1
+        held = None
+
+        def edges(signature, cell, block, ids, centre, before, after, run):
+            new = np.ones(len(signature), bool)
+            new[1:] = (signature[1:] != signature[:-1]) | (cell[1:] != cell[:-1])
+            found = link_windows(Surroundings(run, before, after), np.cumsum(new), block, ids)
+            found.append((np.empty(0, np.int64),) * 4 + (np.empty(0),))
+            a, b, first, last, similarity = (np.concatenate(x) for x in zip(*found))
+            first = first - TOKENS + 1
+            begin = centre[a] + first
+            end = centre[a] + last - TOKENS + 1 + TOKENS + SHINGLE - 1
+            columns = [ids[a], begin, end, ids[b], centre[b] + first, similarity]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "first", "end", "other", "other_first", "similarity"])
+
+        for batch in batches:
+            data = batch.column(7)
+            spots = np.frombuffer(data.buffers()[1], np.int32)[data.offset:data.offset + len(data) + 1]
+            run = np.frombuffer(data.buffers()[2], np.uint8)[spots[0]:spots[-1]].view(np.uint64).reshape(-1, width) if len(data) else np.empty((0, width), np.uint64)
+            rows = [batch.column(i).to_numpy().astype(np.int64) for i in range(7)] + [run]
+            if not len(rows[0]):
+                continue
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            # The last group may go on in the next batch.
+            apart = (rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1])
+            last = len(apart) - int(np.argmax(apart[::-1])) if apart.any() else 0
+            held = [r[last:].copy() for r in rows]
+            for part in _whole_groups(rows, last):
+                yield edges(*part)
+        if held is not None:
+            yield edges(*held)
+
+    dealt = celled.repartition("signature", "cell").sortWithinPartitions("signature", "cell")
+    return dealt.mapInArrow(link, _LINK)
+
+
+def _whole_groups(rows: list[np.ndarray], stop: int) -> Iterator[list[np.ndarray]]:
+    """The rows up to ``stop`` in parts of about WINDOWS rows that cut no group."""
+    new = np.flatnonzero((np.diff(rows[0][:stop], prepend=0) != 0) | (np.diff(rows[1][:stop], prepend=0) != 0))
+    begin = 0
+    while begin < stop:
+        k = np.searchsorted(new, begin + WINDOWS)
+        end = int(new[k]) if k < len(new) else stop
+        yield [r[begin:end] for r in rows]
+        begin = end
 
 
 def _touching(found: DataFrame) -> DataFrame:
@@ -300,12 +493,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = slim.mapInArrow(_windows, _WINDOW).repartition("route").sortWithinPartitions("signature", "content", "id")
     ties = materialise(dealt.mapInArrow(_ties, _TIE), "ties")
     end = lambda c: _last(F.col(c)) + TOKENS + SHINGLE - 1
-    equal = ties.filter("same").select("id", "other", _first(F.col("place")).alias("first"), end("place").alias("end"),
+    equal = ties.filter("other_place >= 0").select("id", "other", _first(F.col("place")).alias("first"), end("place").alias("end"),
                                        _first(F.col("other_place")).alias("other_first"), F.lit(1.0).alias("similarity"))
     known = equal.select("id", "other").distinct()
-    near = _compared(slim, ties.filter("NOT same").join(known, ["id", "other"], "left_anti"))
-    near = near.select("id", "other", F.col("start").alias("first"), (F.col("start") + TOKENS + SHINGLE - 1).alias("end"),
-                       F.col("other_start").alias("other_first"), "similarity")
+    near = _near(slim, ties.filter("other_place < 0")).join(known, ["id", "other"], "left_anti").select(
+        "id", "other", "first", "end", "other_first", "similarity")
     # Windows of one passage lie at one distance in both texts and touch each other.
     turned, shift = F.col("id") > F.col("other"), F.col("first") - F.col("other_first")
     found = equal.union(near).select(

@@ -459,6 +459,36 @@ def test_passages_apart_at_one_shift_stay_apart(spark):
     assert {first < 75 for first, _, _, _ in spans(got, 0, 1)} == {True, False}
 
 
+def test_many_contents_of_one_signature(spark):
+    """Variants of one passage, and a frequent line under fifty words that lies in a longer passage of a few."""
+    rng, rows = random.Random(8), []
+    around = lambda words: " ".join([prose(rng, 40, 10_000), *words, prose(rng, 40, 10_000)])
+    for k in range(4):
+        base = prose(rng, 52, 10_000).split()
+        rows.append((100 * k, around(base), "a"))
+        for own in range(1, 31):
+            variant = list(base)
+            variant[rng.randrange(52)] = f"edit{own}"
+            rows.append((100 * k + own, around(variant), "a"))
+    line = prose(rng, 40, 10_000).split()
+    long = [prose(rng, 6, 10_000), *line, prose(rng, 6, 10_000)]
+    rows += [(1000 + i, around(line), "a") for i in range(150)] + [(2000 + i, around(long), "a") for i in range(5)]
+    got = substring_dedup.repeated_passages(as_docs(spark, rows)).collect()
+    group = {r.doc_id: r.group_id for r in got}
+    assert sum(group.get(i) == i // 100 * 100 for i, _, _ in rows if i < 1000) >= 112  # of 124
+    assert [group.get(2000 + i) for i in range(5)] == [2000] * 5
+    assert not [i for i in group if 1000 <= i < 2000]
+
+
+def test_large_groups_are_cut_and_stay_connected(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CELL", 4)
+    rng = random.Random(9)
+    passage = prose(rng, 80, 10_000)
+    rows = [(i, f"{prose(rng, 40, 10_000)} {passage} {prose(rng, 40, 10_000)}", "a") for i in range(40)]
+    got = substring_dedup.repeated_passages(as_docs(spark, rows)).collect()
+    assert {(r.doc_id, r.group_id) for r in got} == {(i, 0) for i in range(40)}
+
+
 def test_word_coder_sees_the_words():
     coder = WordCoder(lambda w: hash(w) & 0xFFFF)
     texts = ["A b,\n(c) -- d\t\x0be", None, "", "--", " x  "]
