@@ -483,7 +483,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Words are lower-cased and stripped of what is neither letter nor digit. Ids are whole numbers.
     A document has a row if any of its passages repeats in another, and group_id is the smallest id
     that such rows reach. Equal passages are always tied (similarity 1); others need a common
-    signature, which two passages of similarity 0.8 have in a window with a chance over 0.95. Rows
+    signature, which two passages of similarity 0.8 have in a window with a chance over 0.95, and
+    are compared at every start over their common minimum. Rows
     with a null id or text, and texts of under fifty words, have no passage. Rows that repeat an id
     are read as one document, and passages repeated inside a document are not reported. An empty
     table gives an empty result. Other columns are not read.

@@ -489,6 +489,26 @@ def test_large_groups_are_cut_and_stay_connected(spark, monkeypatch):
     assert {(r.doc_id, r.group_id) for r in got} == {(i, 0) for i in range(40)}
 
 
+def test_short_passages_within_other_text(spark):
+    """Passages of 50 to 60 words, equal and with one word edited, prose before and after them."""
+    rng, rows, places = random.Random(10), [], {}
+    for k in range(240):
+        n, edited = 50 + k % 11, k >= 120
+        base = prose(rng, n, 10_000).split()
+        for own in range(2):
+            words = list(base)
+            if edited:
+                words[n // 2] = f"edit{own}"
+            places[2 * k + own] = (at := rng.randrange(30, 90), n)
+            rows.append((2 * k + own, " ".join([prose(rng, at, 10_000), *words, prose(rng, 60, 10_000)]), "a"))
+    got = substring_dedup.repeated_passages(as_docs(spark, rows)).collect()
+    found = [spans(got, 2 * k, 2 * k + 1) for k in range(240)]
+    for k in range(120):
+        (at, n), (there, _) = places[2 * k], places[2 * k + 1]
+        assert found[k] == [(at, at + n, there, 1.0)], k
+    assert sum(map(bool, found[120:])) >= 108
+
+
 def test_word_coder_sees_the_words():
     coder = WordCoder(lambda w: hash(w) & 0xFFFF)
     texts = ["A b,\n(c) -- d\t\x0be", None, "", "--", " x  "]
