@@ -496,9 +496,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     end = lambda c: _last(F.col(c)) + TOKENS + SHINGLE - 1
     equal = ties.filter("other_place >= 0").select("id", "other", _first(F.col("place")).alias("first"), end("place").alias("end"),
                                        _first(F.col("other_place")).alias("other_first"), F.lit(1.0).alias("similarity"))
-    known = equal.select("id", "other").distinct()
-    near = _near(slim, ties.filter("other_place < 0")).join(known, ["id", "other"], "left_anti").select(
-        "id", "other", "first", "end", "other_first", "similarity")
+    near = _near(slim, ties.filter("other_place < 0")).select("id", "other", "first", "end", "other_first", "similarity")
     # Windows of one passage lie at one distance in both texts and touch each other.
     turned, shift = F.col("id") > F.col("other"), F.col("first") - F.col("other_first")
     found = equal.union(near).select(

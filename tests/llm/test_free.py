@@ -509,6 +509,21 @@ def test_short_passages_within_other_text(spark):
     assert sum(map(bool, found[120:])) >= 108
 
 
+def test_near_passages_besides_equal_ones(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(10):
+        equal, near = prose(rng, 80, 10_000), prose(rng, 90, 10_000).split()
+        for own in range(2):
+            near[45] = f"edit{own}"
+            rows.append((2 * k + own, f"{equal} {prose(rng, 60 + own, 10_000)} {' '.join(near)}", "a"))
+    got = substring_dedup.repeated_passages(as_docs(spark, rows)).collect()
+    for k in range(10):
+        ours = spans(got, 2 * k, 2 * k + 1)
+        assert any(first < 80 and end >= 75 and alike == 1 for first, end, _, alike in ours)
+        assert any(first >= 130 and end <= 235 and there == first + 1 for first, end, there, _ in ours), ours
+
+
 def test_word_coder_sees_the_words():
     coder = WordCoder(lambda w: hash(w) & 0xFFFF)
     texts = ["A b,\n(c) -- d\t\x0be", None, "", "--", " x  "]
