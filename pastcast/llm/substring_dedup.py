@@ -147,7 +147,8 @@ def _last(place: Column) -> Column:
 
 
 def document_windows(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, signature, place, content) of all joint windows of the texts, a row per text and signature.
+    """(text, signature, place, content) of all joint windows of the texts, a row per text, signature
+    and content.
 
     ``codes`` are word hashes end to end. content is the sum of the tokens of all its passages.
     """
@@ -167,11 +168,11 @@ def document_windows(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, .
         content = sums[last + TOKENS] - sums[first]
         out.append((text, _mixed(signature + np.uint64(band)), _pack(first - begin, last - begin, centre - begin), content))
     text, signature, place, content = (np.concatenate(x) for x in zip(*out))
-    # A passage repeated inside a text counts once.
-    order = np.lexsort((place, signature, text))
+    # A passage repeated inside a text counts once; others that share its signature stay.
+    order = np.lexsort((place, content, signature, text))
     text, signature, place, content = text[order], signature[order], place[order], content[order]
     new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (signature[1:] != signature[:-1])
+    new[1:] = (text[1:] != text[:-1]) | (signature[1:] != signature[:-1]) | (content[1:] != content[:-1])
     return text[new], signature[new], place[new], content[new]
 
 

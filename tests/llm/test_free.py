@@ -524,6 +524,19 @@ def test_near_passages_besides_equal_ones(spark):
         assert any(first >= 130 and end <= 235 and there == first + 1 for first, end, there, _ in ours), ours
 
 
+def test_windows_of_one_signature_keep_their_contents():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 2 ** 60, 60)
+    variant = passage.copy()
+    variant[30] = 7
+    codes = np.concatenate([passage, rng.integers(0, 2 ** 60, 60), variant, rng.integers(0, 2 ** 60, 60), passage])
+    _, signature, place, content = substring_dedup.document_windows(codes, np.array([len(codes)]))
+    first = place >> 16
+    both = {s for s in signature if len(set(content[signature == s])) > 1}
+    assert any((first[signature == s] < 70).any() and ((first[signature == s] > 100) & (first[signature == s] < 180)).any() for s in both)
+    assert len(set(zip(signature, content))) == len(signature)  # what repeats counts once
+
+
 def test_word_coder_sees_the_words():
     coder = WordCoder(lambda w: hash(w) & 0xFFFF)
     texts = ["A b,\n(c) -- d\t\x0be", None, "", "--", " x  "]
