@@ -239,6 +239,8 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = rows[:, sorted({int(group[-1]), int(content[-1])})]
         columns = [np.concatenate(x) for x in zip(*out)]
         keep = (columns[2] != columns[4]) | (columns[5] < 0)
+        for x in columns[:2]:  # of use in the rows of groups alone
+            x[columns[5] >= 0] = 0
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names)
 
 
@@ -283,6 +285,20 @@ def _around(docs: DataFrame, heads: DataFrame) -> DataFrame:
     return docs.join(wanted, "id").select("id", "text", "wants").mapInArrow(cut, _AROUND)
 
 
+def repeats(run: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """By row and start: how many tokens of the passage, from place start to start + TOKENS - 1, are there at an
+    earlier column of it too. ``place`` is each column's, ascending."""
+    order = np.argsort(run, axis=1, kind="stable")
+    run = np.take_along_axis(run, order, 1)
+    row, k = np.nonzero(run[:, 1:] == run[:, :-1])
+    begin = np.maximum(0, place[order[row, k + 1]] - TOKENS + 1)
+    stop = np.minimum(TOKENS - 1, place[order[row, k]]) + 1
+    some = begin < stop
+    row, size = row[some] * (TOKENS + 1), len(run) * (TOKENS + 1)
+    steps = np.bincount(row + begin[some], minlength=size) - np.bincount(row + stop[some], minlength=size)
+    return np.cumsum(steps.reshape(len(run), TOKENS + 1), axis=1)[:, :TOKENS]
+
+
 class Surroundings:
     """Windows by their tokens around the common minimum, the centre: ``run`` has 2 * TOKENS - 1 columns, of which
     ``before`` ahead of the middle one and ``after`` behind it are tokens."""
@@ -293,10 +309,11 @@ class Surroundings:
         self.real = (place >= -before[:, None]) & (place <= after[:, None])
         ordered = np.sort(np.where(self.real, run, np.uint64((1 << 64) - 1)), axis=1)
         self.distinct = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) - ~self.real.all(axis=1)
-        repeats = before + after + 1 - self.distinct
-        self.plain = repeats == 0
+        self.repeats = repeats(run, np.arange(2 * TOKENS - 1))
         # The fewest tokens that a similar passage has in common with one of this window.
-        self.need = -(-4 * np.maximum(1, TOKENS - repeats) // 5)
+        starts = np.arange(TOKENS)
+        inside = (starts >= TOKENS - 1 - before[:, None]) & (starts <= after[:, None])
+        self.need = -(-4 * (TOKENS - np.where(inside, self.repeats, 0).max(axis=1, initial=0)) // 5)
         flags = np.zeros((len(run), 1024), bool)
         flags[np.broadcast_to(np.arange(len(run))[:, None], run.shape)[self.real], (run[self.real] & np.uint64(1023)).astype(np.int64)] = True
         self.bits = np.packbits(flags, axis=1).view(np.uint64)
@@ -312,15 +329,9 @@ class Surroundings:
         compared. first and last are starts, from the run's first column: of the similar passages that begin and
         end with the same token, or else of the one most alike."""
         m, starts = len(a), np.arange(TOKENS)
-        alike = np.zeros((m, TOKENS))
-        fast = self.plain[a] & self.plain[b]
-        if fast.any():
-            alike[fast] = self._plain_similarity(a[fast], b[fast])
-        slow = np.flatnonzero(~fast)
-        for s in starts if len(slow) else ():
-            one, two = (np.sort(self.run[x[slow], s:s + TOKENS], axis=1) for x in (a, b))
-            sizes = [1 + (x[:, 1:] != x[:, :-1]).sum(axis=1) for x in (one, two, np.sort(np.concatenate([one, two], axis=1), axis=1))]
-            alike[slow, s] = (sizes[0] + sizes[1] - sizes[2]) / sizes[2]
+        both = np.stack([self.run[a], self.run[b]], axis=2).reshape(m, -1)
+        common = repeats(both, np.arange(both.shape[1]) // 2) - self.repeats[a] - self.repeats[b]
+        alike = common / (2 * TOKENS - self.repeats[a] - self.repeats[b] - common)
         low = TOKENS - 1 - np.minimum(self.before[a], self.before[b])
         high = np.minimum(self.after[a], self.after[b])
         good = (alike >= SIMILARITY) & (starts >= low[:, None]) & (starts <= high[:, None])
@@ -333,23 +344,6 @@ class Surroundings:
         similarity = np.where(whole, np.where(closed, alike, 2).min(axis=1), alike[np.arange(m), best])
         return good.any(axis=1), first, last, similarity
 
-    def _plain_similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Similarity by start, of windows without repeated tokens."""
-        m, width = len(a), 2 * TOKENS - 1
-        both = np.concatenate([self.run[a], self.run[b]], axis=1)
-        real = np.concatenate([self.real[a], self.real[b]], axis=1)
-        order = np.argsort(both, axis=1, kind="stable")
-        both, real = np.take_along_axis(both, order, 1), np.take_along_axis(real, order, 1)
-        pair, k = np.nonzero((both[:, 1:] == both[:, :-1]) & real[:, 1:] & real[:, :-1])
-        i, j = order[pair, k], order[pair, k + 1] - width
-        begin, stop = np.maximum(0, np.maximum(i, j) - TOKENS + 1), np.minimum(TOKENS - 1, np.minimum(i, j)) + 1
-        some = begin < stop
-        pair, begin, stop = pair[some], begin[some], stop[some]
-        size = m * (TOKENS + 1)
-        steps = (np.bincount(pair * (TOKENS + 1) + begin, minlength=size) - np.bincount(pair * (TOKENS + 1) + stop, minlength=size))
-        common = np.cumsum(steps.reshape(m, TOKENS + 1), axis=1)[:, :TOKENS]
-        return common / (2 * TOKENS - common)
-
 
 def link_windows(around: Surroundings, group: np.ndarray, block: np.ndarray, ids: np.ndarray) -> list[tuple]:
     """(a, b, first, last, similarity) of similar passages that connect the windows of each group; windows are
@@ -494,6 +488,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("id").isNotNull() & F.col("text").isNotNull())
     dealt = slim.mapInArrow(_windows, _WINDOW).repartition("route").sortWithinPartitions("signature", "content", "id")
     ties = materialise(dealt.mapInArrow(_ties, _TIE), "ties")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the windows' shuffle once its plan is collected
     end = lambda c: _last(F.col(c)) + TOKENS + SHINGLE - 1
     equal = ties.filter("other_place >= 0").select("id", "other", _first(F.col("place")).alias("first"), end("place").alias("end"),
                                        _first(F.col("other_place")).alias("other_first"), F.lit(1.0).alias("similarity"))
