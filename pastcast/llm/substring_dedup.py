@@ -178,7 +178,7 @@ def document_windows(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, .
 
 _WINDOW = "route bigint, signature bigint, content bigint, id bigint, place bigint, other bigint, other_place bigint"
 _TIE = "signature bigint, content bigint, id bigint, place bigint, other bigint, other_place bigint"
-_AROUND = "signature bigint, id bigint, centre bigint, before int, after int, run binary"
+_AROUND = "signature bigint, blocks int, id bigint, centre bigint, before int, after int, run binary"
 _LINK = "id bigint, first bigint, end bigint, other bigint, other_first bigint, similarity double"
 
 
@@ -245,9 +245,9 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _around(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Rows of _AROUND: the tokens up to TOKENS - 1 before and after the centre of each window."""
+    """Rows of _AROUND: the lower 32 bits of the tokens up to TOKENS - 1 before and after each window's centre."""
     # At most a few windows for each word of a text.
-    wanted = heads.groupBy("id").agg(F.collect_list(F.struct("signature", "content", "place")).alias("wants"))
+    wanted = heads.groupBy("id").agg(F.collect_list(F.struct("signature", "content", "place", "blocks")).alias("wants"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(_hash_word)
@@ -259,7 +259,7 @@ def _around(docs: DataFrame, heads: DataFrame) -> DataFrame:
                 for i, own in enumerate(rows.column(0).to_pylist()):
                     values = tokens(codes[(ends[i - 1] if i else 0):ends[i]])
                     wants = rows.column(2)[i].values
-                    signature, content, place = (wants.field(k).to_numpy() for k in range(3))
+                    signature, content, place, blocks = (wants.field(k).to_numpy() for k in range(4))
                     first = place >> 16
                     last, centre = first + ((place >> 8) & 255), first + (place & 255)
                     # Rows may share an id: the window is of the text that has its content.
@@ -270,17 +270,17 @@ def _around(docs: DataFrame, heads: DataFrame) -> DataFrame:
                         continue
                     centre = centre[mine]
                     index = centre[:, None] + np.arange(1 - TOKENS, TOKENS)
-                    run = np.where((index >= 0) & (index < len(values)), values[np.clip(index, 0, len(values) - 1)], np.uint64(0))
-                    out.append((signature[mine], np.full(len(mine), own), centre, np.minimum(centre, TOKENS - 1),
+                    run = np.where((index >= 0) & (index < len(values)), values[np.clip(index, 0, len(values) - 1)], np.uint64(0)).astype(np.uint32)
+                    out.append((signature[mine], blocks[mine], np.full(len(mine), own), centre, np.minimum(centre, TOKENS - 1),
                                 np.minimum(len(values) - 1 - centre, TOKENS - 1), run))
                 if not out:
                     continue
-                signature, ids, centre, before, after, run = (np.concatenate(x) for x in zip(*out))
-                offsets = np.arange(len(run) + 1, dtype=np.int32) * (run.shape[1] * 8)
+                signature, blocks, ids, centre, before, after, run = (np.concatenate(x) for x in zip(*out))
+                offsets = np.arange(len(run) + 1, dtype=np.int32) * (run.shape[1] * run.itemsize)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(signature), pa.array(ids), pa.array(centre), pa.array(before, pa.int32()), pa.array(after, pa.int32()),
+                    pa.array(signature), pa.array(blocks), pa.array(ids), pa.array(centre), pa.array(before, pa.int32()), pa.array(after, pa.int32()),
                     pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(run))])],
-                    ["signature", "id", "centre", "before", "after", "run"])
+                    ["signature", "blocks", "id", "centre", "before", "after", "run"])
 
     return docs.join(wanted, "id").select("id", "text", "wants").mapInArrow(cut, _AROUND)
 
@@ -307,7 +307,7 @@ class Surroundings:
         self.run, self.before, self.after = run, before, after
         place = np.arange(1 - TOKENS, TOKENS)
         self.real = (place >= -before[:, None]) & (place <= after[:, None])
-        ordered = np.sort(np.where(self.real, run, np.uint64((1 << 64) - 1)), axis=1)
+        ordered = np.sort(np.where(self.real, run, ~run.dtype.type(0)), axis=1)
         self.distinct = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) - ~self.real.all(axis=1)
         self.repeats = repeats(run, np.arange(2 * TOKENS - 1))
         # The fewest tokens that a similar passage has in common with one of this window.
@@ -315,7 +315,7 @@ class Surroundings:
         inside = (starts >= TOKENS - 1 - before[:, None]) & (starts <= after[:, None])
         self.need = -(-4 * (TOKENS - np.where(inside, self.repeats, 0).max(axis=1, initial=0)) // 5)
         flags = np.zeros((len(run), 1024), bool)
-        flags[np.broadcast_to(np.arange(len(run))[:, None], run.shape)[self.real], (run[self.real] & np.uint64(1023)).astype(np.int64)] = True
+        flags[np.broadcast_to(np.arange(len(run))[:, None], run.shape)[self.real], (run[self.real] & run.dtype.type(1023)).astype(np.int64)] = True
         self.bits = np.packbits(flags, axis=1).view(np.uint64)
 
     def may(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
@@ -405,10 +405,14 @@ def _near(docs: DataFrame, heads: DataFrame) -> DataFrame:
 
     A signature with more than CELL of them is cut into blocks; every pair of blocks is a cell.
     """
-    blocks = (heads.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
-              .select("signature", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")))
+    blocks = materialise(heads.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+                         .select("signature", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")), "blocks")
+    # The windows' shuffle is not needed any more: Spark removes it once its plan is collected.
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    # A row of blocks stands for over CELL windows.
+    heads = heads.join(F.broadcast(blocks), "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64(F.lit("block"), "id", "centre"), F.col("blocks")).cast("int")
-    celled = (_around(docs, heads).join(blocks, "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    celled = (_around(docs, heads)
               .withColumn("block", block).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("signature", (F.least("block", "beside") * F.col("blocks") + F.greatest("block", "beside")).alias("cell"),
                       "block", "id", "centre", "before", "after", "run"))
@@ -432,7 +436,7 @@ def _near(docs: DataFrame, heads: DataFrame) -> DataFrame:
         for batch in batches:
             data = batch.column(7)
             spots = np.frombuffer(data.buffers()[1], np.int32)[data.offset:data.offset + len(data) + 1]
-            run = np.frombuffer(data.buffers()[2], np.uint8)[spots[0]:spots[-1]].view(np.uint64).reshape(-1, width) if len(data) else np.empty((0, width), np.uint64)
+            run = np.frombuffer(data.buffers()[2], np.uint8)[spots[0]:spots[-1]].view(np.uint32).reshape(-1, width) if len(data) else np.empty((0, width), np.uint32)
             rows = [batch.column(i).to_numpy().astype(np.int64) for i in range(7)] + [run]
             if not len(rows[0]):
                 continue
@@ -488,7 +492,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("id").isNotNull() & F.col("text").isNotNull())
     dealt = slim.mapInArrow(_windows, _WINDOW).repartition("route").sortWithinPartitions("signature", "content", "id")
     ties = materialise(dealt.mapInArrow(_ties, _TIE), "ties")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the windows' shuffle once its plan is collected
     end = lambda c: _last(F.col(c)) + TOKENS + SHINGLE - 1
     equal = ties.filter("other_place >= 0").select("id", "other", _first(F.col("place")).alias("first"), end("place").alias("end"),
                                        _first(F.col("other_place")).alias("other_first"), F.lit(1.0).alias("similarity"))
