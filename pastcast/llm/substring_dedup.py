@@ -269,8 +269,7 @@ def _around(docs: DataFrame, heads: DataFrame) -> DataFrame:
                     if not len(mine):
                         continue
                     centre = centre[mine]
-                    index = centre[:, None] + np.arange(1 - TOKENS, TOKENS)
-                    run = np.where((index >= 0) & (index < len(values)), values[np.clip(index, 0, len(values) - 1)], np.uint64(0)).astype(np.uint32)
+                    run = np.pad(values.astype(np.uint32), TOKENS - 1)[centre[:, None] + np.arange(2 * TOKENS - 1)]
                     out.append((signature[mine], blocks[mine], np.full(len(mine), own), centre, np.minimum(centre, TOKENS - 1),
                                 np.minimum(len(values) - 1 - centre, TOKENS - 1), run))
                 if not out:
@@ -392,7 +391,11 @@ def link_windows(around: Surroundings, group: np.ndarray, block: np.ndarray, ids
         flatten(0, n)
     for begin, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         for row in range(begin, begin + size - 1):
-            rest = np.arange(row + 1, begin + size)
+            rest = row + 1 + np.flatnonzero((root[row + 1:begin + size] != root[row]) & (ids[row + 1:begin + size] != ids[row]))
+            if not len(rest):
+                if (root[begin:begin + size] == root[begin]).all():
+                    break
+                continue
             before = len(out)
             check(np.full(len(rest), row), rest)
             if len(out) > before:
