@@ -511,17 +511,17 @@ def test_short_passages_within_other_text(spark):
 
 def test_near_passages_besides_equal_ones(spark):
     rng = random.Random(6)
-    rows = []
-    for k in range(10):
-        equal, near = prose(rng, 80, 10_000), prose(rng, 90, 10_000).split()
-        for own in range(2):
-            near[45] = f"edit{own}"
-            rows.append((2 * k + own, f"{equal} {prose(rng, 60 + own, 10_000)} {' '.join(near)}", "a"))
+    rows, pairs = [], [rng.sample(range(10 ** 6), 2) for _ in range(60)]
+    for pair in pairs:
+        equal, near = prose(rng, 80, 10_000), prose(rng, 60, 10_000).split()
+        for own, i in enumerate(pair):
+            near[30] = f"edit{own}"
+            rows.append((i, f"{equal} {prose(rng, 60 + own, 10_000)} {' '.join(near)}", "a"))
+    rng.shuffle(rows)
     got = substring_dedup.repeated_passages(as_docs(spark, rows)).collect()
-    for k in range(10):
-        ours = spans(got, 2 * k, 2 * k + 1)
-        assert any(first < 80 and end >= 75 and alike == 1 for first, end, _, alike in ours)
-        assert any(first >= 130 and end <= 235 and there == first + 1 for first, end, there, _ in ours), ours
+    ours = [spans(got, *pair) for pair in pairs]
+    assert all((0, 80, 0, 1.0) in found for found in ours)
+    assert sum(any(first >= 135 and there == first + 1 for first, _, there, _ in found) for found in ours) >= 54
 
 
 def test_windows_of_one_signature_keep_their_contents():
