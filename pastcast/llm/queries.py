@@ -132,3 +132,46 @@ def op2(spark, sf_dir):
 def op6(spark, sf_dir):
     from .substring_dedup import repeated_passages
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hnsw")
+def op11(spark, sf_dir):
+    from .hnsw import nearest
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op12_prefix_trie", r"""
+WITH placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                       md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tid,
+                       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+                FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, n, xor(list_reduce(list_concat([4294967295::BIGINT],
+                 list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+                 lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)::BIGINT[]),
+                 lambda c, k: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295::BIGINT) % 4 AS h
+          FROM (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id)),
+lent AS (SELECT c.conv_id, c.h, c.base, least(c.h, coalesce(b.n, 0)) AS lent FROM convs c LEFT JOIN convs b ON c.base = b.conv_id),
+turns AS (SELECT l.conv_id, p.pos, p.tid, p.words FROM lent l JOIN placed p ON p.conv_id = l.base AND p.pos <= l.lent
+          UNION ALL SELECT l.conv_id, p.pos - l.h + l.lent, p.tid, p.words FROM lent l JOIN placed p ON p.conv_id = l.conv_id AND p.pos > l.h),
+paths AS (SELECT conv_id, pos AS depth, string_agg(tid, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path, words FROM turns
+          UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+nodes AS (SELECT p.path, p.depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(p.words) AS words, max(l.n) = p.depth AS leaf,
+                 sha256(coalesce(string_agg(CASE WHEN l.n = p.depth THEN p.conv_id::VARCHAR END, ',' ORDER BY p.conv_id), '')) AS ends_sha256
+          FROM paths p JOIN lengths l USING (conv_id) GROUP BY p.path, p.depth),
+below AS (SELECT a.path, sum(CASE WHEN d.leaf THEN 1 ELSE 0 END) AS n_leaves, sum((d.n_convs - 1) * d.words) AS saved_tokens
+          FROM nodes a JOIN nodes d ON starts_with(d.path, a.path) GROUP BY a.path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND starts_with(c.path, n.path)) AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND starts_with(n.path, p.path)""")
+def op12(spark, sf_dir):
+    from .prefix_trie import prefix_trie, rebuilt, turns_in_order
+    turns = turns_in_order(table(spark, sf_dir, "conversations"))
+    return prefix_trie(*rebuilt(turns)).drop("n_ends")
+
+
+@query("op13_repair")
+def op13(spark, sf_dir):
+    from .repair import damaged, repair_report
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))
