@@ -82,21 +82,24 @@ def lag_ignore_nulls(col: str, n: int, partition: Sequence[str], order: Sequence
     return F.expr(f"lag({q(col)}, {n}) IGNORE NULLS OVER ({spec})")
 
 
-def cumulative(partition: Sequence[str], order: Sequence[str],
-               lookback_days: int | None = None):
-    """Frame over all earlier days (strict).
-
-    Without a lookback the frame is ``ROWS UNBOUNDED PRECEDING .. CURRENT ROW``
-    over (day, side): evaluated incrementally in one pass, and strict because a
-    probe sorts before same-day history. With a lookback it is
-    ``RANGE BETWEEN lookback PRECEDING AND 1 PRECEDING`` over the day number:
-    the lower bound is inclusive, the upper strict.
-    """
-    if lookback_days is None:
-        return (Window.partitionBy(*partition).orderBy(*order)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (Window.partitionBy(*partition).orderBy(DAY)
-            .rangeBetween(-int(lookback_days), -1))
+def cumulative(partition: Sequence[str], order: Sequence[str | Column]):
+    """Frame over all earlier rows of (day, side): evaluated incrementally in one
+    pass, and strict because a probe sorts before same-day history."""
+    return (Window.partitionBy(*partition).orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+#: Keys of targets that are sent to every task to cut a history down; more of them are joined by a shuffle.
+SENT_KEYS = 1_000_000
+
+
+def only_keys(rows: DataFrame, key: str, targets: DataFrame, target_key: str | None = None,
+              sent_keys: int = SENT_KEYS) -> DataFrame:
+    """The ``rows`` whose ``key`` some target has: what a job for few targets reads of a long history never
+    reaches a shuffle. The targets' keys are counted first; at most ``sent_keys`` are broadcast."""
+    keys = targets.select(F.col(target_key or key).alias(key)).where(F.col(key).isNotNull()).distinct()
+    few = len(keys.limit(sent_keys + 1).groupBy().agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= sent_keys).take(1))
+    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -21,6 +21,14 @@ Physical plan (see ``asof.py`` for the why):
 * contest statistics (z-score, field size) are a grouped aggregate joined
   back on the contest key, so a huge contest is never one window partition.
 * the per-probe results are attached to targets with equi-joins.
+
+With a lookback of L days there are two probes, at the day and L days earlier. Sums over the
+frame are the difference of two running sums. The least dividend, which has no difference, is the
+least of two running minima: days are cut into blocks of L, and the frame is the end of one block and the
+beginning of the next.
+
+``reduce_history`` keeps only the history of the targets' entities and riders, for scoring
+jobs whose targets are few beside the history.
 """
 from __future__ import annotations
 
@@ -29,10 +37,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.scalars import norm_key
 from ..schema import ALL_FEATURES, feature_type, last_n_names
-from .asof import (DAY, SIDE, cumulative, day_number, lag_ignore_nulls, merge_top_k,
+from .asof import (DAY, SIDE, cumulative, day_number, lag_ignore_nulls, merge_top_k, only_keys,
                    require_columns, salted_top_k, union_all, unique_columns)
 
 ALL_GROUPS = frozenset({"entity", "venue", "band", "rider", "contest"})
@@ -62,38 +71,20 @@ def _tiebreak(df: DataFrame, tiebreak: Sequence[str]) -> list[Column]:
     return [F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(0)]
 
 
-def point_in_time_features(
-    history: DataFrame,
-    targets: DataFrame,
-    *,
-    entity: str = "entity_id",
-    date: str = "event_date",
-    venue: str = "venue_id",
-    distance: str = "distance_m",
-    kg: str = "load_kg",
-    pos: str = "finish_pos",
-    dividend: str = "dividend",
-    rider: str = "rider_id",
-    target_rider: str | None = None,
-    tiebreak: Sequence[str] = ("contest_id", "px"),
-    last_n: int = 3,
-    lookback_days: int | None = None,
-    band_m: int = 100,
-    groups: Iterable[str] = ALL_GROUPS,
-    salt_buckets: int = 64,
-    contest_cols: Sequence[str] | None = None,
-) -> DataFrame:
-    groups = frozenset(groups)
-    if history is None:
-        raise RuntimeError("history is required: features are computed against an explicit history")
-    require_columns(history, [entity, date, venue, pos, kg, distance], "history")
-    require_columns(targets, [entity, date, distance, venue, kg], "targets")
-    k = int(last_n)
-    L = lookback_days
+def _count(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(0)).cast("long")
+
+
+def _rate(num: Column, den: Column) -> Column:
+    return F.try_divide(num.cast("double"), den.cast("double"))
 
-    # ---------------------------------------------------------------- history
+
+def history_rows(history: DataFrame, *, entity: str = "entity_id", date: str = "event_date", venue: str = "venue_id",
+                 distance: str = "distance_m", kg: str = "load_kg", pos: str = "finish_pos", dividend: str = "dividend",
+                 rider: str = "rider_id", tiebreak: Sequence[str] = ("contest_id", "px")) -> DataFrame:
+    """The columns of history that states are made of; rows without a position, entity or day go."""
     tb = _tiebreak(history, tiebreak)
-    H = (history.where(F.col(pos).isNotNull())
+    return (history.where(F.col(pos).isNotNull())
          .select(_key(history, entity).alias("_e"),
                  day_number(date).alias(DAY),
                  F.year(F.col(date)).alias("_yr"),
@@ -106,9 +97,11 @@ def point_in_time_features(
                  tb[0].alias("_tb0"), tb[1].alias("_tb1"))
          .where(F.col("_e").isNotNull() & F.col(DAY).isNotNull()))
 
-    # ---------------------------------------------------------------- targets
-    t_rider = target_rider or rider
-    Tgt = targets.select(
+
+def target_rows(targets: DataFrame, *, entity: str = "entity_id", date: str = "event_date", venue: str = "venue_id",
+                distance: str = "distance_m", kg: str = "load_kg", rider: str = "rider_id") -> DataFrame:
+    """The targets with their keys: entity, day, year, venue, distance, load, rider."""
+    return targets.select(
         "*",
         _key(targets, entity).alias("_e"),
         day_number(date).alias(DAY),
@@ -116,12 +109,12 @@ def point_in_time_features(
         F.col(venue).cast("int").alias("_v"),
         F.col(distance).cast("int").alias("_td"),
         F.nanvl(F.col(kg).cast("double"), F.lit(None).cast("double")).alias("_tk"),
-        _key(targets, t_rider).alias("_r"),
+        _key(targets, rider).alias("_r"),
     )
-    probes = (Tgt.where(F.col("_e").isNotNull() & F.col(DAY).isNotNull())
-              .select("_e", DAY, "_yr", "_v", "_td").distinct())
 
-    # ---------------------------------------------- (entity, day) history state
+
+def day_states(H: DataFrame, k: int, salt_buckets: int) -> DataFrame:
+    """One row of partial states per (entity, day) of ``history_rows``."""
     p = F.col("_pos")
     day_aggs = [
         F.count(F.lit(1)).alias("n"),
@@ -141,7 +134,7 @@ def point_in_time_features(
     }
     partial = salted_top_k(H, ["_e", DAY, "_yr"], ["_tb0", "_tb1"], max(k, 3),
                            salt_buckets, day_aggs, topk)
-    ehist = (partial.groupBy("_e", DAY, "_yr").agg(
+    return (partial.groupBy("_e", DAY, "_yr").agg(
         F.sum("n").alias("e_n"), F.sum("w1").alias("e_w1"), F.sum("w2").alias("e_w2"),
         F.sum("w3").alias("e_w3"), F.sum("dsum").alias("e_dsum"), F.sum("dn").alias("e_dn"),
         F.sum("vsum").alias("e_vsum"), F.sum("vn").alias("e_vn"), F.min("vmin").alias("e_vmin"),
@@ -156,91 +149,9 @@ def point_in_time_features(
                 F.when(F.size("_dtop") > 0, F.col("_dtop")).alias("e_dtop"))
         .withColumn(SIDE, F.lit(1)))
 
-    frames = [probes.withColumn(SIDE, F.lit(0)).withColumn("_kind", F.lit(0))
-              .withColumn("_gkk", F.lit(1)).withColumn("_gk", F.col("_v")),
-              ehist.withColumn("_kind", F.lit(1))]
-
-    # ------------------------ (entity, venue | distance, day) history counts
-    if "venue" in groups or "band" in groups:
-        vb = (H.groupBy("_e", DAY, "_yr", "_v", "_dist")
-              .agg(F.count(F.lit(1)).alias("g_n"), F.count_if(p.between(1, 3)).alias("g_s")))
-        gk = []
-        if "venue" in groups:
-            gk.append(F.struct(F.lit(1).alias("kk"), F.col("_v").alias("k")))
-        if "band" in groups:
-            gk.append(F.struct(F.lit(2).alias("kk"), F.col("_dist").alias("k")))
-        vb = (vb.select("_e", DAY, "_yr", "g_n", "g_s", F.explode(F.array(*gk)).alias("_g"))
-              .select("_e", DAY, "_yr", "g_n", "g_s", F.col("_g.kk").alias("_gkk"),
-                      F.col("_g.k").alias("_gk"))
-              .withColumn(SIDE, F.lit(1)).withColumn("_kind", F.lit(2)))
-        frames.append(vb)
-    if "band" in groups:
-        # probe expansion: the entity's distinct history distances within the
-        # band, found with an equi-join on (entity, band bucket) + exact filter
-        hd = (H.where(F.col("_dist").isNotNull()).select("_e", "_dist").distinct()
-              .withColumn("_bk", F.floor(F.col("_dist") / band_m)))
-        tb_ = F.floor(F.col("_td") / band_m)
-        bprobe = (probes.where(F.col("_td").isNotNull()).select("_e", DAY, "_yr", "_td").distinct()
-                  .withColumn("_bk", F.explode(F.array(tb_ - 1, tb_, tb_ + 1)))
-                  .join(hd, ["_e", "_bk"])
-                  .where(F.abs(F.col("_dist") - F.col("_td")) <= band_m)
-                  .select("_e", DAY, "_yr", "_td", F.lit(2).alias("_gkk"),
-                          F.col("_dist").alias("_gk"))
-                  .withColumn(SIDE, F.lit(0)).withColumn("_kind", F.lit(3)))
-        frames.append(bprobe)
-
-    # _kg = 0 for entity rows (probes + day states), 1 for venue/band rows: the
-    # entity windows order by it first, so entity rows are contiguous and
-    # ``lag ... IGNORE NULLS`` never walks over venue/band rows; career, lag
-    # and year windows all need the same sort [_e, _kg, _yr, _day, _side].
-    # Two unions keyed by the same probe: entity state (probes + entity-day
-    # rows) and venue / band state (probes + venue|distance-day rows + band
-    # probes). The entity windows then only see entity rows, so their sort and
-    # the lag ... IGNORE NULLS scans stay small; both sides come out hash
-    # partitioned by entity and meet again on the probe key.
-    UE = union_all(frames[:2])
-    order = ["_yr", DAY, SIDE]
-    wE = cumulative(["_e"], order, L)
-    wY = cumulative(["_e", "_yr"], [DAY, SIDE], L)
-    lag = lambda c, i: lag_ignore_nulls(c, i, ["_e"], order)
-
-    cols = [
-        F.sum("e_n").over(wE).alias("c_n"), F.sum("e_w1").over(wE).alias("c_w1"),
-        F.sum("e_w2").over(wE).alias("c_w2"), F.sum("e_w3").over(wE).alias("c_w3"),
-        F.sum("e_dsum").over(wE).alias("c_dsum"), F.sum("e_dn").over(wE).alias("c_dn"),
-        F.sum("e_vsum").over(wE).alias("c_vsum"), F.sum("e_vn").over(wE).alias("c_vn"),
-        F.min("e_vmin").over(wE).alias("c_vmin"), F.max("e_win").over(wE).alias("c_win"),
-        F.sum("e_n").over(wY).alias("y_n"), F.sum("e_w1").over(wY).alias("y_w1"),
-        F.sum("e_w2").over(wY).alias("y_w2"), F.sum("e_w3").over(wY).alias("y_w3"),
-        lag("e_first", 1).alias("l_first"),
-        *[lag("e_top", i).alias(f"l_top{i}") for i in range(1, k + 1)],
-        *[lag("e_dtop", i).alias(f"l_dtop{i}") for i in range(1, 4)],
-    ]
-    W = UE.select("_kind", "_e", DAY, "_yr", "_v", "_td", *cols)
-
-    if len(frames) > 2:
-        UG = union_all([frames[0]] + frames[2:])
-        wG = cumulative(["_e", "_gkk", "_gk"], [DAY, SIDE], L)
-        G = UG.select("_kind", "_e", DAY, "_v", "_td",
-                      F.sum("g_n").over(wG).alias("g_cn"), F.sum("g_s").over(wG).alias("g_cs"))
-        if "band" in groups:
-            from pyspark.sql.window import Window
-            wb = Window.partitionBy("_e", DAY, "_td")
-            G = (G.withColumn("b_n", F.sum(F.when(F.col("_kind") == 3, F.col("g_cn"))).over(wb))
-                  .withColumn("b_s", F.sum(F.when(F.col("_kind") == 3, F.col("g_cs"))).over(wb)))
-        gcols = [c for c in ("g_cn", "g_cs", "b_n", "b_s") if c in G.columns]
-        G = G.where(F.col("_kind") == 0).select("_e", DAY, "_v", "_td", *gcols)
-        # both sides are hash partitioned by entity after their windows: stack
-        # them and fold per probe key (an aggregate clustered on the entity)
-        wcols = [c for c in W.columns if c not in ("_kind", "_e", DAY, "_yr", "_v", "_td")]
-        stacked = (W.where(F.col("_kind") == 0).drop("_kind")
-                   .unionByName(G, allowMissingColumns=True))
-        W = (stacked.groupBy("_e", DAY, "_v", "_td")
-             .agg(F.first("_yr", ignorenulls=True).alias("_yr"),
-                  *[F.first(c, ignorenulls=True).alias(c) for c in wcols + gcols])
-             .withColumn("_kind", F.lit(0)))
-    P = W.where(F.col("_kind") == 0)
 
+def state_features(k: int, L: int | None, venue: bool, band: bool) -> list[Column]:
+    """The features of a probe (_e, DAY, _v, _td) from its state: c_* career, y_* year, l_* last runs, g_* venue, b_* band."""
     d = F.col(DAY)
     fresh = (lambda s: s.isNotNull()) if L is None else (lambda s: s.isNotNull() & (s >= d - L))
     last = F.col("l_first")
@@ -259,8 +170,7 @@ def point_in_time_features(
         return F.when(F.size(a) > 0,
                       F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a))
 
-    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    rate = lambda num, den: F.try_divide(num.cast("double"), den.cast("double"))
+    z, rate = _count, _rate
     avg_name, best_name = last_n_names(k)
     fcols = [
         F.col("_e").alias("f_e"), F.col(DAY).alias("f_day"), F.col("_v").alias("f_v"),
@@ -284,40 +194,22 @@ def point_in_time_features(
         (F.col("_td") - rate(F.col("c_dsum"), F.col("c_dn"))).alias("dist_diff_from_avg"),
         F.when(last_ok, last["kg"]).alias("_last_kg"),
     ]
-    if "venue" in groups:
+    if venue:
         has_v = F.col("_v").isNotNull()
         fcols += [F.when(has_v, z("g_cn")).otherwise(F.lit(0).cast("long")).alias("track_runs"),
                   F.when(has_v, rate(F.col("g_cs"), F.col("g_cn"))).alias("track_show_rate")]
-    if "band" in groups:
+    if band:
         has_d = F.col("_td").isNotNull()
         fcols += [F.when(has_d, z("b_n")).otherwise(F.lit(0).cast("long")).alias("dist_bucket_runs"),
                   F.when(has_d, rate(F.col("b_s"), F.col("b_n"))).alias("dist_bucket_show_rate")]
-    feats = P.select(*fcols)
-
-    # ------------------------------------------------ attach to the targets
-    out = Tgt.join(
-        feats,
-        (Tgt["_e"] == feats["f_e"]) & (Tgt[DAY] == feats["f_day"])
-        & Tgt["_v"].eqNullSafe(feats["f_v"]) & Tgt["_td"].eqNullSafe(feats["f_td"]),
-        "left")
+    return fcols
 
-    if "rider" in groups:
-        rh = (H.where(F.col("_r").isNotNull()).groupBy("_r", DAY)
-              .agg(F.count(F.lit(1)).alias("r_n"), F.count_if(p.between(1, 3)).alias("r_s"))
-              .withColumn(SIDE, F.lit(1)))
-        rp = (Tgt.where(F.col("_r").isNotNull() & F.col(DAY).isNotNull())
-              .select("_r", DAY).distinct().withColumn(SIDE, F.lit(0)))
-        wR = cumulative(["_r"], [DAY, SIDE], None)  # Q5: never lookback-limited
-        rf = (union_all([rp, rh])
-              .select("_r", DAY, SIDE, F.sum("r_n").over(wR).alias("cr_n"),
-                      F.sum("r_s").over(wR).alias("cr_s"))
-              .where(F.col(SIDE) == 0)
-              .select(F.col("_r").alias("fr_r"), F.col(DAY).alias("fr_day"),
-                      z("cr_n").alias("jockey_career_runs"),
-                      rate(F.col("cr_s"), F.col("cr_n")).alias("jockey_career_show_rate")))
-        out = out.join(rf, (out["_r"] == rf["fr_r"]) & (out[DAY] == rf["fr_day"]), "left")
 
-    if "contest" in groups:
+def contract(out: DataFrame, targets: DataFrame, Tgt: DataFrame, feats: DataFrame, rf: DataFrame | None, k: int,
+             contest_cols: Sequence[str] | None, contest: bool = True) -> DataFrame:
+    """The output contract: the columns of ``targets`` and every feature, of targets joined with their features."""
+    avg_name, best_name = last_n_names(k)
+    if contest:
         # Q6/Q7: contest = (date, venue, distance); NULL keys form their own group;
         # n_field counts non-null kg. A grouped aggregate + equi-join, not a window.
         ckeys = [DAY, "_v", "_td"] if contest_cols is None else list(contest_cols)
@@ -336,7 +228,7 @@ def point_in_time_features(
         "racetrack_id": F.col("_v"),
         "weight_change_from_last": F.col("_tk") - F.col("_last_kg"),
     }
-    if "contest" in groups:
+    if contest:
         produced["weight_kg_zscore_in_race"] = F.try_divide(
             F.col("_tk") - F.col("_kmean"), F.nullif(F.col("_kstd"), F.lit(0.0)))
         produced["n_field"] = F.col("n_field")
@@ -344,7 +236,7 @@ def point_in_time_features(
         if opt_col not in targets.columns:
             produced[opt_col] = F.lit(None)
     sources = {c: feats[c] for c in feats.columns}
-    if "rider" in groups:
+    if rf is not None:
         sources.update({c: rf[c] for c in ("jockey_career_runs", "jockey_career_show_rate")})
     feature_cols = []
     names = [n for n in ALL_FEATURES
@@ -369,6 +261,192 @@ def point_in_time_features(
     return unique_columns(out.select(*keep, *feature_cols))
 
 
+def point_in_time_features(
+    history: DataFrame,
+    targets: DataFrame,
+    *,
+    entity: str = "entity_id",
+    date: str = "event_date",
+    venue: str = "venue_id",
+    distance: str = "distance_m",
+    kg: str = "load_kg",
+    pos: str = "finish_pos",
+    dividend: str = "dividend",
+    rider: str = "rider_id",
+    target_rider: str | None = None,
+    tiebreak: Sequence[str] = ("contest_id", "px"),
+    last_n: int = 3,
+    lookback_days: int | None = None,
+    band_m: int = 100,
+    groups: Iterable[str] = ALL_GROUPS,
+    salt_buckets: int = 64,
+    contest_cols: Sequence[str] | None = None,
+    reduce_history: bool = False,
+) -> DataFrame:
+    groups = frozenset(groups)
+    if history is None:
+        raise RuntimeError("history is required: features are computed against an explicit history")
+    require_columns(history, [entity, date, venue, pos, kg, distance], "history")
+    require_columns(targets, [entity, date, distance, venue, kg], "targets")
+    k = int(last_n)
+    L = None if lookback_days is None else int(lookback_days)
+    if L is not None and L < 1:
+        raise ValueError("a lookback has at least one day")
+
+    H = history_rows(history, entity=entity, date=date, venue=venue, distance=distance, kg=kg, pos=pos,
+                     dividend=dividend, rider=rider, tiebreak=tiebreak)
+
+    Tgt = target_rows(targets, entity=entity, date=date, venue=venue, distance=distance, kg=kg,
+                      rider=target_rider or rider)
+    HR = H
+    if reduce_history:
+        H, HR = only_keys(H, "_e", Tgt), only_keys(H, "_r", Tgt) if "rider" in groups else H
+    probes = (Tgt.where(F.col("_e").isNotNull() & F.col(DAY).isNotNull())
+              .select("_e", DAY, "_yr", "_v", "_td").distinct())
+
+    # ---------------------------------------------- (entity, day) history state
+    p = F.col("_pos")
+    ehist = day_states(H, k, salt_buckets)
+
+    # rows by kind: 0 probes, 1 day states, 2 venue | distance counts, 3 band probes,
+    # 4 and 5 the second probes of a lookback (of 0 and 3)
+    frames = {0: probes.withColumn(SIDE, F.lit(0)).withColumn("_kind", F.lit(0))
+              .withColumn("_gkk", F.lit(1)).withColumn("_gk", F.col("_v")),
+              1: ehist.withColumn("_kind", F.lit(1))}
+    # with a lookback, a second probe at the first day of the frame; ``_pd`` is the day a probe is for
+    back = lambda f, kind: (f.withColumn("_pd", F.col(DAY)).withColumn(DAY, F.col(DAY) - L)
+                            .withColumn("_yr", F.year(F.date_from_unix_date(DAY))).withColumn("_kind", F.lit(kind)))
+
+    # ------------------------ (entity, venue | distance, day) history counts
+    if "venue" in groups or "band" in groups:
+        vb = (H.groupBy("_e", DAY, "_yr", "_v", "_dist")
+              .agg(F.count(F.lit(1)).alias("g_n"), F.count_if(p.between(1, 3)).alias("g_s")))
+        gk = []
+        if "venue" in groups:
+            gk.append(F.struct(F.lit(1).alias("kk"), F.col("_v").alias("k")))
+        if "band" in groups:
+            gk.append(F.struct(F.lit(2).alias("kk"), F.col("_dist").alias("k")))
+        vb = (vb.select("_e", DAY, "_yr", "g_n", "g_s", F.explode(F.array(*gk)).alias("_g"))
+              .select("_e", DAY, "_yr", "g_n", "g_s", F.col("_g.kk").alias("_gkk"),
+                      F.col("_g.k").alias("_gk"))
+              .withColumn(SIDE, F.lit(1)).withColumn("_kind", F.lit(2)))
+        frames[2] = vb
+    if "band" in groups:
+        # probe expansion: the entity's distinct history distances within the
+        # band, found with an equi-join on (entity, band bucket) + exact filter
+        hd = (H.where(F.col("_dist").isNotNull()).select("_e", "_dist").distinct()
+              .withColumn("_bk", F.floor(F.col("_dist") / band_m)))
+        tb_ = F.floor(F.col("_td") / band_m)
+        bprobe = (probes.where(F.col("_td").isNotNull()).select("_e", DAY, "_yr", "_td").distinct()
+                  .withColumn("_bk", F.explode(F.array(tb_ - 1, tb_, tb_ + 1)))
+                  .join(hd, ["_e", "_bk"])
+                  .where(F.abs(F.col("_dist") - F.col("_td")) <= band_m)
+                  .select("_e", DAY, "_yr", "_td", F.lit(2).alias("_gkk"),
+                          F.col("_dist").alias("_gk"))
+                  .withColumn(SIDE, F.lit(0)).withColumn("_kind", F.lit(3)))
+        frames[3] = bprobe
+    if L is not None:
+        frames[4] = back(frames[0], 4)
+        if 3 in frames:
+            frames[5] = back(frames[3], 5)
+
+    # Two unions keyed by the same probe: entity state (probes + entity-day
+    # rows) and venue / band state (probes + venue|distance-day rows + band
+    # probes). The entity windows then only see entity rows, so their sort and
+    # the lag ... IGNORE NULLS scans stay small; both sides come out hash
+    # partitioned by entity and meet again on the probe key.
+    frames = {kind: f if "_pd" in f.columns else f.withColumn("_pd", F.col(DAY)) for kind, f in frames.items()}
+    UE = union_all([frames[kind] for kind in (0, 1, 4) if kind in frames])
+    order = ["_yr", DAY, SIDE]
+    wE = cumulative(["_e"], order)
+    wY = cumulative(["_e", "_yr"], [DAY, SIDE])
+    lag = lambda c, i: lag_ignore_nulls(c, i, ["_e"], order)
+
+    sums = {"c_n": "e_n", "c_w1": "e_w1", "c_w2": "e_w2", "c_w3": "e_w3", "c_dsum": "e_dsum", "c_dn": "e_dn",
+            "c_vsum": "e_vsum", "c_vn": "e_vn"}
+    years = {"y_n": "e_n", "y_w1": "e_w1", "y_w2": "e_w2", "y_w3": "e_w3"}
+    cols = [
+        *[F.sum(c).over(wE).alias(n) for n, c in sums.items()],
+        F.min("e_vmin").over(wE).alias("c_vmin"), F.max("e_win").over(wE).alias("c_win"),
+        *[F.sum(c).over(wY).alias(n) for n, c in years.items()],
+        lag("e_first", 1).alias("l_first"),
+        *[lag("e_top", i).alias(f"l_top{i}") for i in range(1, k + 1)],
+        *[lag("e_dtop", i).alias(f"l_dtop{i}") for i in range(1, 4)],
+    ]
+    if L is not None:
+        # the block that a probe's last or first day of the frame, or a day of history, is in
+        day = F.when(F.col("_kind") == 0, F.col(DAY) - 1).otherwise(F.col(DAY))
+        UE = UE.withColumn("_blk", day - F.pmod(day, F.lit(L)))
+        cols[len(sums)] = F.when(F.col("_kind") == 0, F.min("e_vmin").over(cumulative(["_e", "_blk"], [DAY, SIDE]))).otherwise(
+            F.min("e_vmin").over(cumulative(["_e", "_blk"], [F.col(DAY).desc(), F.col(SIDE).desc()]))).alias("c_vmin")
+    ids = ["_kind", "_e", "_pd", "_yr", "_v", "_td"]
+    W = UE.select(*ids, *cols).where(F.col("_kind") != 1)
+    key = ["_e", "_pd", "_v", "_td"]
+    gcols = []
+    if "venue" in groups or "band" in groups:
+        UG = union_all([frames[kind] for kind in (0, 2, 3, 4, 5) if kind in frames])
+        wG = cumulative(["_e", "_gkk", "_gk"], [DAY, SIDE])
+        G = UG.select("_kind", "_e", "_pd", "_v", "_td",
+                      F.sum("g_n").over(wG).alias("g_cn"), F.sum("g_s").over(wG).alias("g_cs")).where(F.col("_kind") != 2)
+        # a probe for a distance has no venue: its counts belong to all probes of that entity, day and distance
+        if "band" in groups:
+            wb = Window.partitionBy("_e", "_pd", "_td")
+            sign = F.when(F.col("_kind") == 3, 1).when(F.col("_kind") == 5, -1)
+            G = (G.withColumn("b_n", F.sum(sign * F.col("g_cn")).over(wb))
+                  .withColumn("b_s", F.sum(sign * F.col("g_cs")).over(wb)))
+        G = G.where(F.col("_kind").isin(0, 4))
+        gcols = [c for c in ("g_cn", "g_cs", "b_n", "b_s") if c in G.columns]
+        # both sides are hash partitioned by entity after their windows: stack
+        # them and fold per probe key (an aggregate clustered on the entity)
+        W = W.unionByName(G, allowMissingColumns=True)
+    if gcols or L is not None:
+        at = lambda kind, c: F.first(F.when(F.col("_kind") == kind, F.col(c)), ignorenulls=True)
+        zero = lambda x: F.coalesce(x, F.lit(0))
+
+        def folded(c):
+            if L is None or c.startswith(("l_", "b_", "_yr")):
+                return at(0, c)
+            if c == "c_vmin":
+                return F.least(at(0, c), at(4, c))
+            if c == "c_win":
+                return F.when(at(0, c) >= F.col("_pd") - L, at(0, c))
+            if c in years:
+                return zero(at(0, c)) - F.when(at(4, "_yr") == at(0, "_yr"), zero(at(4, c))).otherwise(0)
+            return zero(at(0, c)) - zero(at(4, c))
+        states = [c for c in W.columns if c not in ids]
+        W = W.groupBy(*key).agg(*[folded(c).alias(c) for c in ["_yr", *states]])
+    else:
+        W = W.drop("_kind")
+    P = W.withColumnRenamed("_pd", DAY)
+
+    feats = P.select(*state_features(k, L, "venue" in groups, "band" in groups))
+
+    # ------------------------------------------------ attach to the targets
+    out = Tgt.join(
+        feats,
+        (Tgt["_e"] == feats["f_e"]) & (Tgt[DAY] == feats["f_day"])
+        & Tgt["_v"].eqNullSafe(feats["f_v"]) & Tgt["_td"].eqNullSafe(feats["f_td"]),
+        "left")
+
+    if "rider" in groups:
+        rh = (HR.where(F.col("_r").isNotNull()).groupBy("_r", DAY)
+              .agg(F.count(F.lit(1)).alias("r_n"), F.count_if(p.between(1, 3)).alias("r_s"))
+              .withColumn(SIDE, F.lit(1)))
+        rp = (Tgt.where(F.col("_r").isNotNull() & F.col(DAY).isNotNull())
+              .select("_r", DAY).distinct().withColumn(SIDE, F.lit(0)))
+        wR = cumulative(["_r"], [DAY, SIDE])  # Q5: never lookback-limited
+        rf = (union_all([rp, rh])
+              .select("_r", DAY, SIDE, F.sum("r_n").over(wR).alias("cr_n"),
+                      F.sum("r_s").over(wR).alias("cr_s"))
+              .where(F.col(SIDE) == 0)
+              .select(F.col("_r").alias("fr_r"), F.col(DAY).alias("fr_day"),
+                      _count("cr_n").alias("jockey_career_runs"),
+                      _rate(F.col("cr_s"), F.col("cr_n")).alias("jockey_career_show_rate")))
+        out = out.join(rf, (out["_r"] == rf["fr_r"]) & (out[DAY] == rf["fr_day"]), "left")
+
+    return contract(out, targets, Tgt, feats, rf if "rider" in groups else None, k, contest_cols, "contest" in groups)
+
+
 def training_frame(history: DataFrame, **kw) -> DataFrame:
     """K5: the labelled history featurised against itself, with ``label``."""
     lab = history.where(F.col(kw.get("pos", "finish_pos")).isNotNull())

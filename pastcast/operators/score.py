@@ -120,7 +120,7 @@ def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, sc
                        F.col("kg").alias("load_kg"), "post_position", "horse_age", "sex_code",
                        norm_name("rider_name").alias("rider_id")))
     # a card is not a request: no entry or group rule applies, ranks go by entry, never by name
-    f = point_in_time_features(history, targets, contest_cols=["file", "contest_no"])
+    f = point_in_time_features(history, targets, contest_cols=["file", "contest_no"], reduce_history=True)
     ranked = rank_in_contest(scorer(f), ["file", "contest_no"], "p", ["entry_pos"])
     return nest_results(ranked, ["file", "contest_no"], ["entity_id", "p", "post_position", "rank"],
                         order="rank")

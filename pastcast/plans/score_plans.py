@@ -51,7 +51,7 @@ def scored_targets(spark, sf_dir):
     """L1: validate requests -> features of each contest against the frozen history -> p."""
     frozen, targets = score_binding(spark, sf_dir)
     valid, _ = split_requests(targets)
-    return M(point_in_time_features(frozen, valid, contest_cols=CONTEST))
+    return M(point_in_time_features(frozen, valid, contest_cols=CONTEST, reduce_history=True))
 
 
 # A binding in which every entry rule has rows on both sides.

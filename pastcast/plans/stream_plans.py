@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import score as SC
-from ..operators.features import point_in_time_features
 from ..operators.split import cutoff_value, quantile_cutoff
+from ..operators.state import keep_state
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import history, table
 from ..streaming import jobs as J
@@ -66,19 +66,22 @@ SELECT contest_id, px, entity_id, round(p, 6) AS p,
        row_number() OVER (PARTITION BY contest_id ORDER BY p DESC, px) AS rank FROM s
 """)
 def _stream_score(spark, sf_dir):
+    """Three micro-batches of requests against a state that is aggregated once and kept."""
     allr = history(spark, sf_dir)
     lab = allr.where(F.col("finish_pos").isNotNull())
     c = cutoff_value(quantile_cutoff(lab, 0.2))
-    frozen = lab.where(F.col("event_date") < c).checkpoint(eager=True)   # Q12: state frozen at the cutoff
+    kept = keep_state(lab, c, _run_dir(spark, "kept"))                   # Q12: state frozen at the cutoff
     targets_dir = _run_dir(spark, "score-src")
-    allr.where(F.col("finish_pos").isNull() & (F.col("event_date") >= c)).write.parquet(targets_dir)
+    # a contest is a request: it comes whole, in one file
+    (allr.where(F.col("finish_pos").isNull() & (F.col("event_date") >= c)).repartition(3, "contest_id")
+     .write.parquet(targets_dir))
     tschema = spark.read.parquet(targets_dir).schema
 
     def score_batch(batch):
         valid, _ = split_requests(batch)
-        s = SC.rank_in_contest(SC.DEMO_SCORER(point_in_time_features(frozen, valid, contest_cols=["contest_id"])),
+        s = SC.rank_in_contest(SC.DEMO_SCORER(kept.score_rows(batch.sparkSession, valid, contest_cols=["contest_id"])),
                                ["contest_id"], "p", ["px"])
         return s.select("contest_id", "px", "entity_id", "p", F.col("rank").cast("long"))
 
-    out = J.stream_score(spark, targets_dir, tschema, _run_dir(spark, "score"), score_batch)
+    out = J.stream_score(spark, targets_dir, tschema, _run_dir(spark, "score"), score_batch, max_files=1)
     return rounded(out.drop("batch_id"))

@@ -8,10 +8,16 @@ declarative join over the TPC-H-like tables (definition fixed by FIXTURES.md
 """
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ensure_checkpoint_dir
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -71,28 +77,33 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     modification time of every source file, then every job reads that table with column pruning and filter
     pushdown instead of re-running the join in each plan branch.
     """
-    import hashlib
+    return read_through(spark, f"history_{source_key(spark, sf_dir)}", lambda: history_view(spark, sf_dir)).select(
+        *[c.split()[0] for c in HISTORY_TABLE_SCHEMA.split(", ")])
+
 
-    from ..session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+def source_key(spark: SparkSession, sf_dir: str, *more: str) -> str:
+    """A key of the tables that ``runs`` reads: path, length and modification time of every file, and ``more``."""
     src = sf_dir.rstrip("/")
     sig = "|".join(x for n in ("lineitem", "orders", "customer", "nation")
                    for x in _fs_files(spark, f"{src}/{n}.parquet"))
-    key = hashlib.md5(f"{src}|{sig}".encode()).hexdigest()[:16]
-    path = f"{base}/tables/history_{key}"
+    return hashlib.md5("|".join([src, sig, *more]).encode()).hexdigest()[:16]
+
+
+def read_through(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` under the shared ``spark.checkpoint.dir``; written from ``build()`` if it is not there yet."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
     if not _fs_exists(spark, f"{path}/_SUCCESS"):
         # write aside, then publish with one directory rename (atomic on HDFS and
         # local disks): a concurrent job never sees a half-written table
-        import uuid
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        history_view(spark, sf_dir).write.mode("overwrite").parquet(tmp)
+        build().write.mode("overwrite").parquet(tmp)
         src_p, fs = _fs_path(spark, tmp)
         dst_p, _ = _fs_path(spark, path)
         if not fs.exists(dst_p) and not fs.rename(src_p, dst_p):
-            raise RuntimeError(f"could not publish history table at {path}")
+            raise RuntimeError(f"could not publish the table at {path}")
         if fs.exists(src_p):
             fs.delete(src_p, True)   # another job published first; drop our copy
-    return spark.read.schema(HISTORY_TABLE_SCHEMA).parquet(path)
+    return spark.read.parquet(path)
 
 
 def _fs_path(spark: SparkSession, path: str):

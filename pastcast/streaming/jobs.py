@@ -86,10 +86,11 @@ def stream_daily_counts(spark: SparkSession, source: str, schema: T.StructType,
 
 
 def stream_score(spark: SparkSession, source: str, schema: T.StructType, out: str,
-                 score_batch: Callable[[DataFrame], DataFrame], glob: str = "*.parquet") -> DataFrame:
-    """M3: score arriving targets against a frozen history inside
-    ``foreachBatch`` (the batch scoring job, reused as is)."""
-    s = file_stream(spark, source, schema, glob)
+                 score_batch: Callable[[DataFrame], DataFrame], glob: str = "*.parquet",
+                 max_files: int | None = None) -> DataFrame:
+    """M3: score arriving targets inside ``foreachBatch``, against a state that is kept outside the stream
+    (``operators.state``): a micro-batch never reads the history."""
+    s = file_stream(spark, source, schema, glob, max_files)
     data = os.path.join(out, "data")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
