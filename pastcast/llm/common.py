@@ -1,10 +1,14 @@
 """Shared helpers: tables in the shared folder, distributed running sums."""
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -40,6 +44,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of a string column each, or one row if that has more."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def give_back() -> None:
+    """Give freed memory of this worker back to the machine: the next task, of any stage, finds it there."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def dealt_in_order(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
     """``df`` dealt by ranges of ``order`` and written, with the range number in ``__part`` (ascending)."""
     return materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), label)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes, give_back
 from .pieces import WordCoder, strip_word
 
 K1, B = 1.2, 0.75
@@ -39,8 +40,8 @@ BLOCK = 8
 SLICE_WORDS = 2_000_000
 #: (passage, block) sums held at a time.
 CELLS = 50_000
-#: Texts read together.
-GROUP = 512
+#: Texts are searched in groups of about so many bytes.
+GROUP_BYTES = 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -222,8 +223,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         def look(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             coder = _coder(index)
             for batch in batches:
-                for begin in range(0, batch.num_rows, GROUP):
-                    rows = batch.slice(begin, GROUP)
+                for rows in by_bytes(batch, 1, GROUP_BYTES):
                     hits = list(search(index, *coder.code(rows.column(1))))
                     ids = rows.column(0)
                     yield pa.RecordBatch.from_arrays([
@@ -245,10 +245,11 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item
         def keep(batches: Iterator[pa.RecordBatch], index=index, at=at) -> Iterator[pa.RecordBatch]:
             coder = _coder(index)
             for batch in batches:
-                for begin in range(0, batch.num_rows, GROUP):
-                    rows = batch.slice(begin, GROUP)
+                for rows in by_bytes(batch, at, GROUP_BYTES):
                     leaky = {h[0] for h in search(index, *coder.code(rows.column(at)))}
                     yield rows.filter(pa.array([i not in leaky for i in range(rows.num_rows)], pa.bool_()))
+            del coder
+            give_back()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces remembered in a worker.
-REMEMBERED = 150_000
+#: Bytes of the pieces remembered in a worker, what one takes beside its characters, and how long it may be.
+MEMORY_BYTES, PIECE_BYTES, PIECE_LENGTH = 32 << 20, 150, 64
 _NOTHING = -(1 << 63)
 
 
@@ -30,12 +30,24 @@ class WordCoder:
     """
 
     def __init__(self, number: Callable[[str], int]):
-        self.number, self.known = number, {}
+        self.number, self.known, self.size = number, {}, 0
 
     def _look_up(self, piece: str) -> int:
         word = strip_word(piece)
         return self.number(word) if word else _NOTHING
 
+    def _entry(self, piece: str) -> int:
+        found = self.known.get(piece)
+        if found is None:
+            found = self._look_up(piece)
+            if len(piece) <= PIECE_LENGTH:
+                self.size += len(piece) + PIECE_BYTES
+                if self.size > MEMORY_BYTES:
+                    self.known.clear()
+                    self.size = len(piece) + PIECE_BYTES
+                self.known[piece] = found
+        return found
+
     def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, ends): the words' numbers end to end, and where each text's words end."""
         spaced = texts.fill_null("").cast(pa.large_string())
@@ -47,13 +59,7 @@ class WordCoder:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        pieces = coded.dictionary.to_pylist()
-        for piece in pieces:
-            if piece not in self.known:
-                self.known[piece] = self._look_up(piece)
-        entries = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        entries = np.fromiter(map(self._entry, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         numbers = entries[coded.indices.to_numpy()]
         real = numbers != _NOTHING
         return numbers[real], np.concatenate([[0], np.cumsum(real)])[ends]

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import by_bytes, give_back
 from .tokens import encoder
 
 DICTIONARY_BYTES = 64 << 10
@@ -28,8 +29,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
-#: Texts encoded together.
-GROUP = 2048
+#: Texts encoded together, by bytes.
+GROUP_BYTES = 4 << 20
 
 SEGMENTS = ("part int, segment int, first_id {id}, last_id {id}, doc_ids array<{id}>, frame_ends array<bigint>, "
             "counts array<bigint>, total bigint, dictionary_hash string, blob binary")
@@ -51,9 +52,9 @@ def _sample(docs: DataFrame) -> list[str]:
     """About SAMPLE_DOCS short texts, chosen by a hash of the text; twice as many at most."""
     parts = 1 << 40
     cut = int(parts * min(1.0, SAMPLE_DOCS / max(1, docs.count())))
-    chosen = docs.filter(F.pmod(F.xxhash64("text", F.lit("dictionary")), F.lit(parts)) < cut)
-    short = chosen.filter(F.length("text").between(1, SAMPLE_CHARS)).limit(2 * SAMPLE_DOCS)
-    return sorted(r[0] for r in short.select("text").collect())
+    h = F.pmod(F.xxhash64("text", F.lit("dictionary")), F.lit(parts))
+    short = docs.select("text", h.alias("h")).filter(F.col("h") < cut).filter(F.length("text").between(1, SAMPLE_CHARS))
+    return sorted(r[0] for r in short.orderBy("h", "text").limit(2 * SAMPLE_DOCS).select("text").collect())
 
 
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
@@ -99,8 +100,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             fields = fields or _arrow_schema(batch.schema.field(0).type)
             size = 0
-            for at in range(0, batch.num_rows, GROUP):
-                rows = batch.slice(at, GROUP)
+            for rows in by_bytes(batch, 1, GROUP_BYTES):
                 ids, ends = worker.encode(rows.column(1))
                 low = ids.astype(f"<u{width}")
                 last = np.array([end_id], f"<u{width}").tobytes()
@@ -116,6 +116,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                         size = 0
             if names:
                 yield flush()
+        give_back()
 
     order = [F.col("id"), F.xxhash64("text")]
     (slim.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, schema)

@@ -5,6 +5,9 @@ the characters on both sides are not white space. So a text can be cut at those
 encoded once each by the library, and their ids put together: the same ids as for the whole text,
 which the tests hold against whole-text encoding. Texts are big and pieces repeat, so most of the
 work is Arrow's split and dictionary encoding and NumPy's gather.
+
+A text that holds an added token's string (``<|endoftext|>``) goes to the library whole, which finds it there.
+The memory of pieces is bounded in bytes, and long pieces (text without blanks) are never kept.
 """
 from __future__ import annotations
 
@@ -15,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered in a worker; the memory is emptied when it has more.
-REMEMBERED = 800_000
-#: Pieces encoded in one call to the library.
-JOINED = 1000
+#: Bytes of the pieces remembered in a worker; the memory is emptied when it would be more.
+MEMORY_BYTES = 112 << 20
+#: What a piece takes beside its characters (a string, an entry, a number), and how long it may be to be remembered.
+PIECE_BYTES, PIECE_LENGTH = 150, 64
+#: Pieces joined for the library, and joined strings of one call.
+JOINED, CALL = 1000, 16
 #: Texts are encoded in groups of about so many bytes, or one by one if longer.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 # A blank with white space before it, and white space or the end after it, is inside a run whose
 # cut depends on more than its neighbours. The classes hold all that any library calls white space.
@@ -42,7 +47,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
         # Bytes that each id stands for; the vocabulary writes each byte as one character.
         self.byte_lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -51,6 +56,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
+        self.size = 0
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of slot i: ends[i] up to ends[i + 1]
 
@@ -58,13 +64,15 @@ class Encoder:
         """Encode new pieces. Those that start with a blank can be joined, for one call in place of many."""
         plain, other = [], []
         for p in pieces:
-            (plain if p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace() else other).append(p)
-        texts = ["".join(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)]
-        got = self.tokenizer.encode_batch(texts + other, add_special_tokens=False)
-        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(g.ids, np.uint32) for g in got)])
+            (plain if p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace() and len(p) <= PIECE_LENGTH else other).append(p)
+        texts = ["".join(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)] + other
+        got = [np.empty(0, np.uint32)]
+        for i in range(0, len(texts), CALL):  # the library's results are many times the ids
+            got += [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch(texts[i:i + CALL], add_special_tokens=False)]
+        ids = np.concatenate(got)
         # Each id stands for a known number of bytes, so a joined piece ends at the id that ends with it.
-        id_ends = np.cumsum(self.byte_lengths[ids])
-        ends = np.searchsorted(id_ends, np.cumsum([len(p.encode()) for p in plain + other])) + 1
+        id_ends = np.concatenate([[0], np.cumsum(self.byte_lengths[ids])])
+        ends = np.searchsorted(id_ends, np.cumsum([len(p.encode()) for p in plain + other]))
         n, at = len(self.slots), self.ends[len(self.slots)]
         if at + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, max(at + len(ids), 2 * len(self.ids)))
@@ -74,13 +82,24 @@ class Encoder:
         self.ends[n + 1:n + 1 + len(pieces)] = at + ends
         self.slots.update(zip(plain + other, range(n, n + len(pieces))))
 
-    def _find(self, pieces: list[str]) -> np.ndarray:
+    def _find(self, pieces: list[str]) -> tuple[np.ndarray, list[str]]:
+        """(slots, long): the slots of the pieces, and which of them are to be dropped after use."""
         missing = [p for p in dict.fromkeys(pieces) if p not in self.slots]
-        if len(self.slots) + len(missing) > REMEMBERED:
+        new = sum(len(p) + PIECE_BYTES for p in missing if len(p) <= PIECE_LENGTH)
+        if self.size + new > MEMORY_BYTES and self.slots:
             self._forget()
-            missing = list(dict.fromkeys(pieces))
-        self._learn(missing)
-        return np.fromiter((self.slots[p] for p in pieces), np.int64, len(pieces))
+            return self._find(pieces)
+        self.size += new
+        self._learn([p for p in missing if len(p) <= PIECE_LENGTH])
+        long = [p for p in missing if len(p) > PIECE_LENGTH]
+        self._learn(long)
+        return np.fromiter((self.slots[p] for p in pieces), np.int64, len(pieces)), long
+
+    def _drop(self, long: list[str]) -> None:
+        for p in long:  # they have the last slots
+            del self.slots[p]
+        if long and len(self.ids) > 1 << 22:
+            self.ids = self.ids[:max(1 << 20, int(self.ends[len(self.slots)]))].copy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of a string array; null counts as empty."""
@@ -97,6 +116,10 @@ class Encoder:
         return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.cumsum(joined)
 
     def _encode_group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.added:
+            holds = np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False))
+            if len(holds):
+                return self._around(texts, holds)
         parts = pc.split_pattern(texts, " ")
         runs = np.flatnonzero(pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False))
         bounds = parts.offsets.to_numpy()
@@ -104,25 +127,15 @@ class Encoder:
         coded = parts.flatten().dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         heads = bounds[:-1]  # the first piece of a text has no blank before it
-        head_codes = codes[heads]
-        known = self._find([" " + w for w in words] + [words[c] for c in head_codes])
-        slots = known[codes]
-        slots[heads] = known[len(words):]
+        cut = [_CUT.split(texts[int(r)].as_py()) for r in runs]
+        known, long = self._find([" " + w for w in words] + [words[c] for c in codes[heads]]
+                                 + [p if i == 0 else " " + p for c in cut for i, p in enumerate(c)])
+        slots = known[:len(words)][codes]
+        slots[heads] = known[len(words):len(words) + len(heads)]
+        special = known[len(words) + len(heads):]
         each = np.diff(bounds)
         if len(runs):
-            cut = [_CUT.split(texts[int(r)].as_py()) for r in runs]
-            flat = [p if i == 0 else " " + p for c in cut for i, p in enumerate(c)]
-            room = len(set(flat)) + len(words) + len(heads)
-            if room + len(self.slots) > REMEMBERED:  # both lookups must see one memory
-                self._forget()
-                known = self._find([" " + w for w in words] + [words[c] for c in head_codes] + flat)
-                slots = known[:len(words)][codes]
-                slots[heads] = known[len(words):len(words) + len(heads)]
-                special = known[len(words) + len(heads):]
-            else:
-                special = self._find(flat)
-            pieces, at = [], 0
-            rest = 0
+            pieces, at, rest = [], 0, 0
             for r, c in zip(runs, cut):
                 pieces += [slots[at:bounds[r]], special[rest:rest + len(c)]]
                 at, rest, each[r] = bounds[r + 1], rest + len(c), len(c)
@@ -131,10 +144,25 @@ class Encoder:
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.ends[slots] - ends + lengths, lengths)]
+        self._drop(long)
         sums = np.concatenate([[0], ends])
         stops = np.cumsum(each)
         return ids, sums[stops] - sums[stops - each]
 
+    def _around(self, texts: pa.Array, holds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold added tokens one by one by the library, those between them as ever."""
+        ids, counts, at = [], [], 0
+        for i in [*holds.tolist(), len(texts)]:
+            if i > at:
+                got, count = self._encode_group(texts.slice(at, i - at))
+                ids.append(got)
+                counts.append(count)
+            if i < len(texts):
+                ids.append(np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32))
+                counts.append(np.array([len(ids[-1])]))
+            at = i + 1
+        return np.concatenate(ids), np.concatenate(counts)
+
 
 _ENCODERS: dict[str | None, Encoder] = {}
 

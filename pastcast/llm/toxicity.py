@@ -29,11 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes, give_back
+from .pieces import MEMORY_BYTES, PIECE_BYTES, PIECE_LENGTH
+
 #: About so many labelled rows are learned from, chosen by a hash of their id.
 SAMPLE_ROWS = 16_000
 #: A stem needs so many toxic documents of the sample, and such log odds against the others.
 STEM_DOCS, STEM_ODDS = 5, 2.5
 SEED_WEIGHT = 2.0
+#: Texts are read in groups of about so many bytes.
+GROUP_BYTES = 4 << 20
 THRESHOLD = 0.7
 _HASH_RANGE = 1_000_000
 
@@ -50,6 +55,8 @@ SEEDS = {
     REPORTED: "said says called calls wrote claims claimed quoted reported dit disait écrit sagte sagt schrieb dijo dice escribió",
 }
 KINDS = ("asserted", "targeted", "negated", "reported", "threat")
+# White space but the blank and the newline: it parts words as a blank does.
+_SPACE = r"[\t\x{0B}\f\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _END = re.compile(r"[.!?;:]$")
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 PREFIXES = range(3, 9)
@@ -96,6 +103,7 @@ class Grammar:
     def __post_init__(self):
         self.seeds = {w: (symbol, SEED_WEIGHT) for symbol, words in SEEDS.items() for w in words.split()}
         self.known: dict[str, tuple[int, float, bool]] = {}
+        self.size = 0
 
     def look_up(self, piece: str) -> tuple[int, float, bool]:
         """(symbol, weight, whether a clause ends here) of a piece of text between blanks."""
@@ -109,16 +117,23 @@ class Grammar:
                     symbol, weight = INSULT, max(best, weight)
                 elif seed[0] != OTHER and symbol == OTHER:
                     symbol, weight = seed
-            if len(self.known) > 150_000:
-                self.known.clear()
             ends = piece == "\n" or bool(_END.search(piece))
             # Most pieces say nothing: they share two entries.
-            found = self.known[piece] = (symbol, weight, ends) if symbol != OTHER else _PLAIN[ends]
+            found = (symbol, weight, ends) if symbol != OTHER else _PLAIN[ends]
+            if len(piece) <= PIECE_LENGTH:
+                self.size += len(piece) + PIECE_BYTES
+                if self.size > MEMORY_BYTES:
+                    self.known.clear()
+                    self.size = len(piece) + PIECE_BYTES
+                self.known[piece] = found
         return found
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """A row per text: a constant, log(1 + emissions) by kind, and all emissions a hundred words."""
-        texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " \n ")
+        texts = texts.fill_null("").cast(pa.large_string())
+        if pc.any(pc.match_substring_regex(texts, _SPACE)).as_py():
+            texts = pc.replace_substring_regex(texts, _SPACE, " ")
+        texts = pc.replace_substring(texts, "\n", " \n ")
         parts = pc.split_pattern(texts, " ")
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
@@ -200,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     h = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(_HASH_RANGE))
     cut = int(_HASH_RANGE * min(1.0, SAMPLE_ROWS / max(1, usable.count())))
     # The bound of the broadcast: the hash takes about SAMPLE_ROWS, the limit twice that at most.
-    sample = usable.withColumn("h", h).filter(F.col("h") < cut).limit(2 * SAMPLE_ROWS)
+    sample = usable.withColumn("h", h).filter(F.col("h") < cut).orderBy("h", "id", "label").limit(2 * SAMPLE_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").join(
         F.broadcast(sample), "id")
     rows = rows.select("text", "label", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).alias("half"))
@@ -244,23 +259,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Grammar(stems(slice(0, 2)), fit_curve(np.array([r["x"] for r in fitted]), np.array([r["label"] for r in fitted])))
 
 
-def score_texts(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, grammar: Grammar, text_col: str = "text", score_col: str = "score",
+                predicted_col: str = "predicted") -> DataFrame:
     """Every row of ``docs`` with score (0 to 1) and predicted (1 if the score is THRESHOLD or more).
 
-    Null and empty texts match no clause and get the curve's lowest end. Columns named score and
-    predicted are replaced; the others stay.
+    Null and empty texts match no clause and get the curve's lowest end. Columns that have the names of
+    the two new ones are replaced; the others stay.
     """
     from pyspark.sql import types as T
-    kept = docs.drop("score", "predicted")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kept = docs.drop(score_col, predicted_col)
+    schema = T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
     at = kept.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                rows = batch.slice(begin, 1024)
+            for rows in by_bytes(batch, at, GROUP_BYTES):
                 score = grammar.score(rows.column(at))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
                                                  names=schema.names)
+        grammar.known.clear()
+        give_back()
 
     return kept.mapInArrow(judge, schema)

@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from pastcast.llm import components, decontamination, simhash, substring_dedup, token_counts, token_store, toxicity, url_filter
 from pastcast.llm.common import shared_path
 from pastcast.llm.pieces import WordCoder, strip_word
-from pastcast.llm.tokens import Encoder
+from pastcast.llm.tokens import Encoder, default_path
 
 from .conftest import as_docs, prose
 
@@ -60,6 +61,37 @@ def test_filter_urls(spark):
     assert url_filter.filter_urls(df.limit(0), url_filter.DOMAIN_RULES).count() == 0
 
 
+def test_piece_memories_are_bounded_by_bytes(monkeypatch):
+    from pastcast.llm import pieces, tokens
+    rng = random.Random(2)
+    long = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(70)) for _ in range(5000)]  # text without blanks
+    short = [f"w{rng.randrange(10 ** 9)}" for _ in range(20_000)]
+    texts = [" ".join(long[i:i + 50]) for i in range(0, 5000, 50)] + [" ".join(short[i:i + 100]) for i in range(0, 20_000, 100)]
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 200_000)
+    monkeypatch.setattr(pieces, "MEMORY_BYTES", 200_000)
+    monkeypatch.setattr(toxicity, "MEMORY_BYTES", 200_000)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 20_000)
+    encoder, coder, grammar = tokens.Encoder(), WordCoder(lambda w: zlib.crc32(w.encode())), toxicity.Grammar()
+    whole, at = Tokenizer.from_file(default_path()), 0
+    ids, ends = encoder.encode(pa.array(texts))
+    for text, end in zip(texts, ends):
+        assert ids[at:end].tolist() == whole.encode(text, add_special_tokens=False).ids
+        at = end
+    numbers, stops = coder.code(pa.array(texts))
+    assert numbers.tolist() == [zlib.crc32(strip_word(w).encode()) for t in texts for w in t.split(" ")] and stops[-1] == len(numbers)
+    grammar.features(pa.array(texts))
+    for known in (encoder.slots, coder.known, grammar.known):
+        assert max(map(len, known)) <= 64 and sum(len(p) + 150 for p in known) <= 200_000
+
+
+def test_all_white_space_parts_words():
+    grammar = toxicity.Grammar()
+    said = "you are a stupid idiot and a worthless moron"
+    plain = grammar.features(pa.array([said]))
+    for space in "\t\x0b\x0c\r\u00a0\u2003\u3000\x85":
+        assert (grammar.features(pa.array([said.replace(" ", space)])) == plain).all(), repr(space)
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return Encoder()
@@ -68,9 +100,11 @@ def encoder():
 def test_pieces_give_the_ids_of_whole_texts(encoder):
     rng = random.Random(3)
     alphabet = [*" \n\t  ab.é1'<\x85\u00a0\u3000\x1c", "  ", "日本", "🙂", "<|endoftext|>", "don't", " \n\n "]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["", None, " ", "\n"]
+    end = "<|endoftext|>"
+    texts = ["", None, " ", "\n", end, end * 2, f" {end}", f"a{end}b", f"{end}\n\n{end} ", "<|endoftext", "é" * 200]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
     ids, ends = encoder.encode(pa.array(texts))
-    whole = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    whole = Tokenizer.from_file(default_path()).encode_batch([t or "" for t in texts], add_special_tokens=False)
     begin = 0
     for t, w, end in zip(texts, whole, ends):
         assert ids[begin:end].tolist() == w.ids, repr(t)
@@ -79,7 +113,7 @@ def test_pieces_give_the_ids_of_whole_texts(encoder):
 
 
 def test_memory_of_pieces_is_bounded(encoder, monkeypatch):
-    monkeypatch.setattr("pastcast.llm.tokens.REMEMBERED", 50)
+    monkeypatch.setattr("pastcast.llm.tokens.MEMORY_BYTES", 8000)
     rng = random.Random(5)
     texts = [prose(rng, 60) + "\n \n  x  y" * (k % 2) for k in range(40)]
     for k in range(0, 40, 7):

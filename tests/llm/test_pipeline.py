@@ -70,3 +70,23 @@ def test_stages_one_by_one(spark, folder):
 def test_run_again_gives_the_same(spark, folder):
     once, again = (sorted(map(str, corpus_pipeline.run(spark, folder).collect())) for _ in range(2))
     assert once and once == again
+
+
+def test_stages_on_odd_tables(spark, folder, odd_docs, no_docs):
+    """Nulls, empty and very long texts, repeated ids, clashing columns, no rows at all."""
+    for docs in (odd_docs, no_docs):
+        columns, schema = docs.columns, docs.dtypes
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialise(stage(spark, docs, folder), name)
+            assert docs.columns == columns and docs.dtypes == schema
+            if name != "mixing":
+                assert {r.score for r in docs.collect()} <= {"x"}
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+        assert out.count() == docs.count()
+
+
+def test_toxicity_leaves_columns_of_its_names_alone(spark, folder):
+    docs = spark.createDataFrame([(1, "a calm text about rivers", 7.5, "yes"), (2, "you are a stupid worthless idiot and moron", 1.5, "no")],
+                                 "doc_id bigint, text string, score double, predicted string")
+    out = corpus_pipeline.toxicity(spark, docs, folder).collect()
+    assert [(r.doc_id, r.score, r.predicted) for r in out] == [(1, 7.5, "yes")]
