@@ -18,7 +18,9 @@ from pastcast.llm.toxicity import learn, score_texts
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, learned from the labels that may be learned from, does not reject."""
     grammar = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_texts(docs, grammar).filter("predicted = 0").select(*docs.columns)
+    # names that no column of the documents has
+    score, predicted = (f"{name}_{len(''.join(docs.columns))}" for name in ("toxicity", "rejected"))
+    return score_texts(docs, grammar, score_col=score, predicted_col=predicted).filter(f"{predicted} = 0").select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
