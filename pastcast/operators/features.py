@@ -447,6 +447,15 @@ def point_in_time_features(
     return contract(out, targets, Tgt, feats, rf if "rider" in groups else None, k, contest_cols, "contest" in groups)
 
 
+def event_ordinal(df: DataFrame, entity: str, date: str, name: str = "ordinal") -> DataFrame:
+    """how many rows of the entity lie on earlier days. Rows are counted by day before they are
+    ranked, so an entity's window has a row per day, and rows meet their day's rank by an equi-join."""
+    days = df.groupBy(entity, date).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(entity).orderBy(date).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = days.select(F.col(entity).alias("_oe"), F.col(date).alias("_od"), F.coalesce(earlier, F.lit(0)).cast("long").alias(name))
+    return df.join(ranks, df[entity].eqNullSafe(ranks["_oe"]) & df[date].eqNullSafe(ranks["_od"])).drop("_oe", "_od")
+
+
 def training_frame(history: DataFrame, **kw) -> DataFrame:
     """K5: the labelled history featurised against itself, with ``label``."""
     lab = history.where(F.col(kw.get("pos", "finish_pos")).isNotNull())

@@ -62,7 +62,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     ``(*by, qi, q, value)``. The value at 0-based rank r is the one with
     ``cum - n <= r < cum``: two conditional aggregates per probability find
     both, so there is no join and no value list is ever collected."""
-    vc = global_prefix(value_counts(df, col, by), col, ["_n"], by)
+    return quantiles_of_counts(value_counts(df, col, by), col, probs, by)
+
+
+def quantiles_of_counts(counts: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``exact_quantiles`` of values that are counted already: one row per (by, col), its count in ``_n``."""
+    vc = global_prefix(counts, col, ["_n"], by)
     n, v = F.col("tot__n"), F.col(col).cast("double")
     at = lambda r: F.max(F.when((F.col("cum__n") - F.col("_n") <= r) & (r < F.col("cum__n")), v))
     aggs, items = [], []

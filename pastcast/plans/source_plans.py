@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from ..schema import HISTORY_SCHEMA
 from ..session import ensure_checkpoint_dir
 from ..sources import calendar as CAL
 from ..sources import files as FS
+from ..sources.runlog import RunLog
 from ..sources.tables import HISTORY_SQL, history, table
 from .eval_plans import LAB_SQL
 from .feature_plans import eval_features, features_sql, rounded
@@ -223,15 +225,32 @@ log AS (SELECT run_id, 'search' AS parent_run_id, 'metric' AS kind, key, value F
 """
 
 
-def _run_log(spark, sf_dir):
-    # features computed once for both runs: reliable checkpoint, short lineage
+def _params(m: SC.LinearScorer) -> dict:
+    return {"intercept": m.intercept, **{f"coef.{c}": w for c, w in m.coef.items()}}
+
+
+def _logged(spark, sf_dir):
+    """A search and its two runs, appended to a stored log; then the job is repeated."""
     ensure_checkpoint_dir(spark)
+    # features computed once for both runs: reliable checkpoint, short lineage
     f = eval_features(spark, sf_dir).checkpoint(eager=True)
-    parts = []
-    for run, m in (("v1", V1), ("v2", V2)):
-        wide = _wide_metrics(m(f))
-        parts.append(CAL.run_log_rows(F.lit(run), F.lit("search"), "metric", wide, _RUN_KEYS))
-    return parts[0].unionByName(parts[1])
+    log = RunLog(spark, f"{_scratch(spark, 'run_log', sf_dir)}-{uuid.uuid4().hex[:12]}")
+    for again in range(2):
+        added = [log.append("search", {"runs": 2, "part": "test"})]
+        added += [log.append(run, _params(m), _wide_metrics(m(f)), parent="search") for run, m in (("v1", V1), ("v2", V2))]
+        if any(x == bool(again) for x in added):
+            raise RuntimeError("the log did not keep each run once")
+    return log.read()
+
+
+def _run_log(spark, sf_dir):
+    return _logged(spark, sf_dir).where("kind = 'metric'").select("run_id", "parent_run_id", "kind", "key", "value")
+
+
+_PARAMS_SQL = " UNION ALL ".join(
+    ["SELECT 'search' AS run_id, NULL AS parent_run_id, 'param' AS kind, 'runs' AS key, CAST(2 AS DOUBLE) AS value, '2' AS text",
+     "SELECT 'search', NULL, 'param', 'part', NULL, 'test'"]
+    + [f"SELECT '{run}', 'search', 'param', '{k}', CAST({v!r} AS DOUBLE), '{v}'" for run, m in (("v1", V1), ("v2", V2)) for k, v in _params(m).items()])
 
 
 def _wide_metrics(s):
@@ -241,11 +260,12 @@ def _wide_metrics(s):
     return a.join(b, "_all").select(*_RUN_KEYS)
 
 
-@register("run_log", _RUNLOG_SQL + """
-SELECT run_id, parent_run_id, kind, key, round(value, 6) AS value FROM log
+@register("run_log", _RUNLOG_SQL + f"""
+SELECT run_id, parent_run_id, kind, key, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS text FROM log
+UNION ALL SELECT run_id, parent_run_id, kind, key, round(value, 6), text FROM ({_PARAMS_SQL}) p
 """)
 def _run_log_q(spark, sf_dir):
-    return rounded(_run_log(spark, sf_dir))
+    return rounded(_logged(spark, sf_dir))
 
 
 @register("best_run", _RUNLOG_SQL + """

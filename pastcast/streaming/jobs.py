@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +51,10 @@ def stream_land(spark: SparkSession, source: str, schema: T.StructType, out: str
 
 def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, out: str,
                  keys: Sequence[str], event_time: str, delay: str = "1 hour",
-                 glob: str = "*.parquet") -> DataFrame:
+                 glob: str = "*.parquet", derive: dict[str, Column] | None = None) -> DataFrame:
     """M2: keep-first per key on a stream; state for a key is kept until the
-    watermark passes (event time + delay), then dropped."""
-    s, et = with_event_time(file_stream(spark, source, schema, glob), event_time)
+    watermark passes (event time + delay), then dropped. ``derive`` adds columns on the way in."""
+    s, et = with_event_time(file_stream(spark, source, schema, glob).withColumns(derive or {}), event_time)
     d = s.withWatermark(et, delay).dropDuplicatesWithinWatermark(list(keys))
     if et != event_time:
         d = d.drop(et)
@@ -66,23 +66,16 @@ def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, out: st
 def stream_daily_counts(spark: SparkSession, source: str, schema: T.StructType, out: str,
                         event_time: str, positive: Callable[[], F.Column], delay: str = "1 day",
                         glob: str = "*.parquet") -> DataFrame:
-    """M4: per-day volume and positive rate; rows later than the watermark are
-    dropped. Update mode into ``foreachBatch`` keeps every emitted version with
-    its batch id; the latest version per window is the answer."""
+    """M4: per-day volume and positive rate, each day emitted once, when the watermark (the latest event time of
+    earlier batches less ``delay``) has passed its end. Rows of a day that the watermark had passed
+    before their batch are late and dropped. Days that are still open stay in the state: the next run goes on there."""
     s, et = with_event_time(file_stream(spark, source, schema, glob), event_time)
     agg = (s.withWatermark(et, delay).groupBy(F.window(et, "1 day").alias("w"))
-           .agg(F.count(F.lit(1)).alias("n_events"), F.avg(positive().cast("double")).alias("rate")))
+           .agg(F.count(F.lit(1)).alias("n_events"), F.avg(positive().cast("double")).alias("rate"))
+           .select(F.col("w.start").cast("date").alias("day"), "n_events", "rate"))
     data = os.path.join(out, "data")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").cast("date").alias("day"), "n_events", "rate",
-                      F.lit(batch_id).alias("version"))
-         .write.mode("overwrite").parquet(f"{data}/batch_id={batch_id}"))  # a replayed batch replaces itself
-
-    _drain(agg.writeStream.outputMode("update").foreachBatch(sink), os.path.join(out, "_checkpoint"))
-    v = spark.read.parquet(data)
-    latest = v.groupBy("day").agg(F.max_by(F.struct("n_events", "rate"), "version").alias("m"))
-    return latest.select("day", "m.n_events", "m.rate")
+    _drain(agg.writeStream.format("parquet").option("path", data).outputMode("append"), os.path.join(out, "_checkpoint"))
+    return spark.read.schema("day DATE, n_events BIGINT, rate DOUBLE").parquet(data)
 
 
 def stream_score(spark: SparkSession, source: str, schema: T.StructType, out: str,
