@@ -94,22 +94,26 @@ def argmax_row(df: DataFrame, p: str = "p", ties: Sequence[str] = ()) -> DataFra
     return df.agg(F.max_by(F.struct(*df.columns), order).alias("_m")).select("_m.*")
 
 
-def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, scorer) -> DataFrame:
+def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, scorer, requested: DataFrame | None = None,
+                   served_at: Column | None = None) -> DataFrame:
     """L3: every contest of every day card in one job. cells(file, row, cells)
     -> contests (B15/B16) -> entries (B17) -> distance by modal vote over the
     card's readings(file, seq, text) (B19) zipped by contest order (B18) ->
     default distance for features (C12, the source value is kept) ->
     point-in-time features against the frozen ``history`` -> probability ->
-    rank within contest (F10) -> one nested record per contest (C11).
-    Empty contests have no entries and therefore no record."""
+    rank within contest (F10) -> one nested record per contest (C11): file, status,
+    contest_no, n_contests (of the card), start_time, distance_source_m, distance_used_m, n_entries, entries, the
+    model's name and version, served_at (now by default). Empty contests have no entries and
+    therefore no record. A ``requested`` file without a record has a row with status ``not_found`` instead."""
     from ..functions.scalars import norm_name
     from . import grid as G
     from .features import point_in_time_features
-    from .validate import default_fill, nest_results  # noqa: F401
+    from .validate import default_fill, nest_results
     contests = G.card_contests(cells)
     entries = G.entry_rows(contests)
     votes = G.modal_vote(readings, ["file", "seq"], "seq", "text")
     dist = G.ordinal_zip(contests, votes.select("file", "seq", F.col("value").alias("distance_m")))
+    heads = contests.where(F.col("row") == F.col("header_row")).select("file", "contest_no", "start_time")
     targets = (entries.join(dist, ["file", "contest_no"])
                .select("file", "contest_no", F.col("row").alias("entry_pos"),
                        norm_name("entity_name").alias("entity_id"),
@@ -122,5 +126,15 @@ def score_day_card(cells: DataFrame, readings: DataFrame, history: DataFrame, sc
     # a card is not a request: no entry or group rule applies, ranks go by entry, never by name
     f = point_in_time_features(history, targets, contest_cols=["file", "contest_no"], reduce_history=True)
     ranked = rank_in_contest(scorer(f), ["file", "contest_no"], "p", ["entry_pos"])
-    return nest_results(ranked, ["file", "contest_no"], ["entity_id", "p", "post_position", "rank"],
-                        order="rank")
+    records = nest_results(ranked.withColumnRenamed("distance_m", "distance_used_m"),
+                           ["file", "contest_no", "distance_source_m", "distance_used_m"],
+                           ["entity_id", "p", "post_position", "rank", "horse_age", "sex_code", "load_kg", "rider_id"], order="rank")
+    counts = records.groupBy("file").agg(F.count(F.lit(1)).alias("n_contests"))
+    out = (records.join(heads, ["file", "contest_no"]).join(counts, "file")
+           .select("file", F.lit("ok").alias("status"), "contest_no", "n_contests", "start_time", "distance_source_m", "distance_used_m",
+                   "n_entries", "entries"))
+    if requested is not None:
+        missing = requested.select("file").distinct().join(counts, "file", "left_anti")
+        out = out.unionByName(missing.withColumn("status", F.lit("not_found")), allowMissingColumns=True)
+    return out.withColumns({"model_name": F.lit(getattr(scorer, "name", "model")), "model_version": F.lit(getattr(scorer, "version", "")),
+                            "served_at": served_at if served_at is not None else F.current_timestamp()})

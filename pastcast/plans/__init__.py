@@ -4,6 +4,7 @@ from . import feature_plans  # noqa: F401
 from . import eval_plans  # noqa: F401
 from . import grid_plans  # noqa: F401
 from . import score_plans  # noqa: F401
+from . import sheet_plans  # noqa: F401
 from . import selection_plans  # noqa: F401
 from . import source_plans  # noqa: F401
 from . import stream_plans  # noqa: F401

@@ -47,21 +47,6 @@ def _cells_source(spark, sf_dir):
                                    F.max(F.size("cells")).alias("max_cells"))
 
 
-@register("leader_rows", f"""
-WITH c AS ({CELLS_SQL})
-SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '{LEADER_RE}')) AS n_leaders,
-       count(*) FILTER (WHERE coalesce(trim(cells[5]) <> '', false)
-                          AND coalesce(CAST(TRY_CAST(cells[2] AS DOUBLE) AS INTEGER) BETWEEN 1 AND 25, false)
-                          AND coalesce(TRY_CAST(cells[31] AS DOUBLE) BETWEEN 40 AND 70, false))
-         AS n_report_leaders
-FROM c GROUP BY doc_id
-""")
-def _leader_rows(spark, sf_dir):
-    c = doc_cells(spark, sf_dir)
-    return c.groupBy("doc_id").agg(F.count_if(F.col("line").rlike(LEADER_RE)).alias("n_leaders"),
-                                   F.count_if(G.is_leader()).alias("n_report_leaders"))
-
-
 BLOCK_SQL = f"""
 WITH c AS ({CELLS_SQL}),
 s AS (SELECT *, CASE WHEN regexp_matches(line, '{LEADER_RE}') THEN row END AS st FROM c),
@@ -81,21 +66,6 @@ def _block_segment(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("cells")).alias("n_cells"))
 
 
-@register("parse_audit", BLOCK_SQL + """
-SELECT doc_id, count(DISTINCT block_row) AS n_blocks,
-       count(*) FILTER (WHERE block_row IS NOT NULL) AS n_block_rows,
-       count(*) FILTER (WHERE block_row IS NULL) AS n_skipped
-FROM b GROUP BY doc_id
-""")
-def _parse_audit(spark, sf_dir):
-    c = doc_cells(spark, sf_dir)
-    seg = G.segment(c, ["file"], "row", F.col("line").rlike(LEADER_RE))
-    return seg.groupBy("doc_id").agg(
-        F.count_distinct("seg_start").alias("n_blocks"),
-        F.count_if(F.col("seg_start").isNotNull()).alias("n_block_rows"),
-        F.count_if(F.col("seg_start").isNull()).alias("n_skipped"))
-
-
 TOKENS_SQL = f"""
 WITH c AS ({CELLS_SQL}), t AS (SELECT doc_id, unnest(cells) AS tok FROM c)
 """
@@ -256,25 +226,6 @@ def _contest_segment(spark, sf_dir):
             .agg((F.count(F.lit(1)) - 1).alias("n_entries")))
 
 
-@register("lookback_scan", f"""
-WITH c AS ({CELLS_SQL}),
-h AS (SELECT file, row FROM c WHERE regexp_matches(line, '{LEADER_RE}')),
-t AS (SELECT file, row, regexp_extract(line, '(\\d{{1,2}}:\\d{{2}})', 1) AS tm FROM c
-      WHERE regexp_extract(line, '(\\d{{1,2}}:\\d{{2}})', 1) <> '')
-SELECT h.file, h.row, arg_min(t.tm, t.row) AS start_time
-FROM h LEFT JOIN t ON t.file = h.file AND t.row BETWEEN h.row - 5 AND h.row
-GROUP BY h.file, h.row
-""")
-def _lookback_scan(spark, sf_dir):
-    c = doc_cells(spark, sf_dir)
-    hdr = c.where(F.col("line").rlike(LEADER_RE)).select(
-        "file", F.col("row").alias("h_row"), F.explode(F.sequence(F.col("row") - 5, F.col("row"))).alias("row"))
-    tm = F.regexp_extract("line", r"(\d{1,2}:\d{2})", 1)
-    times = c.where(tm != "").select("file", "row", tm.alias("tm"))
-    return (hdr.join(times, ["file", "row"], "left").groupBy("file", F.col("h_row").alias("row"))
-            .agg(F.min_by("tm", F.when(F.col("tm").isNotNull(), F.col("row"))).alias("start_time")))
-
-
 @register("modal_vote", """
 WITH r AS (SELECT source, doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS k
            FROM (SELECT source, doc_id, regexp_extract_all(text, '(\\d{3,4})', 1) AS l FROM documents) x),

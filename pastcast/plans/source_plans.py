@@ -83,14 +83,14 @@ def _signature(spark, sf_dir):
 
 # ------------------------------------------------------------ A5 - A9
 @register("landing_plan", """
-SELECT d FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) w
-WHERE d NOT IN (SELECT DISTINCT CAST(ts AS DATE) FROM events WHERE event_type = 'error')
+WITH w AS (SELECT DISTINCT CAST(ts AS DATE) AS d, CAST(user_id % 50 AS INTEGER) AS venue_id FROM events)
+SELECT d, venue_id FROM w WHERE NOT EXISTS (
+  SELECT 1 FROM events e WHERE e.event_type = 'error' AND CAST(e.ts AS DATE) = w.d AND e.user_id % 50 = w.venue_id)
 """)
 def _landing_plan(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    wanted = ev.select(F.to_date("ts").alias("d")).distinct()
-    landed = ev.where(F.col("event_type") == "error").select(F.to_date("ts").alias("d"))
-    return FS.landing_plan(wanted, landed, ["d"])
+    # a document is wanted for every day and venue with events; it has landed where one is an error
+    ev = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("d"), (F.col("user_id") % 50).cast("int").alias("venue_id"))
+    return FS.landing_plan(ev.select("d", "venue_id").distinct(), ev.where(F.col("event_type") == "error"), ["d", "venue_id"])
 
 
 # day records built from events: a BOM on click rows, malformed dates on error rows
