@@ -202,7 +202,7 @@ def indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[BlockMaxIn
 
 
 def _coder(index: BlockMaxIndex) -> WordCoder:
-    return WordCoder(lambda w: index.terms.get(w, -1))
+    return WordCoder(lambda words: np.fromiter((index.terms.get(w, -1) for w in words), np.int64, len(words)))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -1,4 +1,8 @@
-"""Words of many texts at once: Arrow splits and numbers the pieces, Python sees each distinct one once."""
+"""Words of many texts at once: Arrow splits and numbers the pieces, Python sees each distinct one of a call once.
+
+Nothing is remembered from call to call: most pieces of a large corpus come once, and a memory of them would cost
+more than it saves.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -7,9 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of the pieces remembered in a worker, what one takes beside its characters, and how long it may be.
+#: Other memories of pieces: their bytes in a worker, what a piece takes beside its characters, how long it may be.
 MEMORY_BYTES, PIECE_BYTES, PIECE_LENGTH = 32 << 20, 150, 64
-_NOTHING = -(1 << 63)
 
 
 def strip_word(piece: str) -> str:
@@ -23,30 +26,13 @@ def strip_word(piece: str) -> str:
 
 
 class WordCoder:
-    """Numbers for the words of texts: ``number`` maps a stripped word to one, any whole number but the
-    least of 64 bits.
+    """Numbers for the words of texts: ``numbers`` maps a list of stripped words to as many whole numbers of 64 bits.
 
     Words without a letter or digit are left out altogether.
     """
 
-    def __init__(self, number: Callable[[str], int]):
-        self.number, self.known, self.size = number, {}, 0
-
-    def _look_up(self, piece: str) -> int:
-        word = strip_word(piece)
-        return self.number(word) if word else _NOTHING
-
-    def _entry(self, piece: str) -> int:
-        found = self.known.get(piece)
-        if found is None:
-            found = self._look_up(piece)
-            if len(piece) <= PIECE_LENGTH:
-                self.size += len(piece) + PIECE_BYTES
-                if self.size > MEMORY_BYTES:
-                    self.known.clear()
-                    self.size = len(piece) + PIECE_BYTES
-                self.known[piece] = found
-        return found
+    def __init__(self, numbers: Callable[[list[str]], np.ndarray]):
+        self.numbers = numbers
 
     def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, ends): the words' numbers end to end, and where each text's words end."""
@@ -59,7 +45,12 @@ class WordCoder:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        entries = np.fromiter(map(self._entry, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        numbers = entries[coded.indices.to_numpy()]
-        real = numbers != _NOTHING
+        # Most pieces begin and end with a letter or digit.
+        words = [p.lower() if p[:1].isalnum() and p[-1].isalnum() else strip_word(p) for p in coded.dictionary.to_pylist()]
+        entries, some = self.numbers(words), np.fromiter(map(bool, words), bool, len(words))
+        codes = coded.indices.to_numpy()
+        numbers = entries[codes]
+        if some.all():
+            return numbers, ends
+        real = some[codes]
         return numbers[real], np.concatenate([[0], np.cumsum(real)])[ends]

@@ -182,15 +182,14 @@ _AROUND = "signature bigint, blocks int, id bigint, centre bigint, before int, a
 _LINK = "id bigint, first bigint, end bigint, other bigint, other_first bigint, similarity double"
 
 
-def _hash_word(word: str) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+def _hash_words(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _WINDOW. Windows of equal signature and content within a group of texts are tied to the
     first here; ``other`` is set in those rows, and only the first goes to where its signature is dealt."""
-    coder = WordCoder(_hash_word)
+    coder = WordCoder(_hash_words)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for begin in range(0, batch.num_rows, GROUP):
@@ -250,7 +249,7 @@ def _around(docs: DataFrame, heads: DataFrame) -> DataFrame:
     wanted = heads.groupBy("id").agg(F.collect_list(F.struct("signature", "content", "place", "blocks")).alias("wants"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(_hash_word)
+        coder = WordCoder(_hash_words)
         for batch in batches:
             for begin in range(0, batch.num_rows, AROUND):
                 rows = batch.slice(begin, AROUND)
