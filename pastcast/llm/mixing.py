@@ -1,11 +1,12 @@
 """Mixing sources to target weights.
 
 Each source's documents are laid end to end and cut into blocks of a fixed number of words. The mix
-is a run of slots, one block each, cut into output shards. Which source a slot takes from is drawn
-by a pseudorandom permutation of all slots, so that a shard's counts by source are multinomial given
-the sources' totals, and the totals meet their targets to the block. A source's slots map to its
-blocks through pseudorandom permutations of the block numbers, a new one for each pass, so that no
-block is used more often than the passes go. Slots and documents meet in a join on the block.
+is a run of slots, one block each, cut into output shards. How many blocks of each source a shard gets is drawn
+first: a pseudorandom permutation deals all draws to places, so that a shard's counts by source are multinomial
+given the sources' totals, and the totals meet their targets to the block. A source's slots are then numbered
+along the shards by these counts, and a slot's number maps to a block through pseudorandom permutations of the
+block numbers, a new one for each pass, so that no block is used more often than the passes go. Slots and
+documents meet in a join on the block.
 """
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import WORD, block_offsets, div, materialise, running_sum
 from .feistel import permute, unpermute
@@ -83,20 +85,34 @@ def lay_out(sized: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
 
 
 def draw_slots(sources: DataFrame, seed: int) -> DataFrame:
-    """A row per slot of the mix: shard, slot (its place in the shard), source_no, block."""
+    """A row per slot of the mix: shard, slot (its place in the shard), source_no, number (the slots of its source
+    before it), block."""
     total = sources.agg(F.sum("draws")).first()[0] or 0
     runs = (sources.filter("draws > 0")
-            .select("source_no", "first_draw", "draws", "blocks",
+            .select("source_no", "first_draw", "draws",
                     F.explode(F.sequence(F.lit(0).cast("long"), div(F.col("draws") - 1, RUN))).alias("run"))
             .repartition(int(total // TASK_SLOTS) + 1, "source_no", "run"))  # a set number: what follows grows, AQE can't tell
-    each = runs.select("source_no", "first_draw", "blocks", F.explode(F.sequence(
-        F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("draws")) - 1)).alias("draw"))
-    turn = div(F.col("draw"), F.col("blocks"))
+    each = runs.select("source_no", F.explode(F.sequence(
+        F.col("first_draw") + F.col("run") * RUN, F.col("first_draw") + F.least((F.col("run") + 1) * RUN, F.col("draws")) - 1)).alias("draw"))
+    place = unpermute(F.col("draw"), F.lit(total), F.lit(seed))
+    dealt = materialise(each.select("source_no", place.alias("place")).select(
+        "source_no", div("place", SHARD_BLOCKS).alias("shard"), F.pmod("place", F.lit(SHARD_BLOCKS)).alias("slot")), "slots")
+    # The draw: blocks by shard and source. A source's slots are numbered by the counts of the shards before.
+    counts = shard_counts(dealt)
+    before = F.sum("n").over(W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    within = F.row_number().over(W.partitionBy("shard", "source_no").orderBy("slot")) - 1  # SHARD_BLOCKS rows at most
+    numbered = (dealt.withColumn("within", within).join(counts.withColumn("before", before).drop("n"), ["shard", "source_no"])
+                .join(sources.select("source_no", "blocks"), "source_no"))
+    number = (F.col("before") + F.col("within")).cast("long")
+    turn = div(number, F.col("blocks"))
     key = F.xxhash64(F.lit(seed), F.col("source_no"), turn)
-    placed = each.select("source_no", permute(F.col("draw") - turn * F.col("blocks"), F.col("blocks"), key).alias("block"),
-                         unpermute(F.col("first_draw") + F.col("draw"), F.lit(total), F.lit(seed)).alias("place"))
-    return placed.select(div("place", SHARD_BLOCKS).alias("shard"), F.pmod("place", F.lit(SHARD_BLOCKS)).alias("slot"),
-                         "source_no", "block")
+    return numbered.select("shard", "slot", "source_no", number.alias("number"),
+                           permute(number - turn * F.col("blocks"), F.col("blocks"), key).alias("block"))
+
+
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """(shard, source_no, n): the drawn counts; each shard's add up to its slots, each source's to its draws."""
+    return slots.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pieces(documents: DataFrame, sources: DataFrame) -> DataFrame:
@@ -109,14 +125,16 @@ def pieces(documents: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(sized: DataFrame, seed: int = 8, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, sources, used): ``used`` has the pieces the mix takes, with ``uses``, how often.
+    """(documents, sources, used): ``used`` has the pieces the mix takes, with ``uses``, how often, and where the first
+    of them goes: ``first_place`` (shard, slot).
 
     ``sized`` has id columns of any number, ``source_key`` and ``size``; documents without words
     take part with nothing. Equal rows are told apart by ``copy``. An empty table gives three.
     """
     documents, sources = lay_out(sized, **how)
     documents = materialise(documents, "laid")
-    counts = draw_slots(sources, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
+    counts = draw_slots(sources, seed).groupBy("source_no", "block").agg(
+        F.count(F.lit(1)).alias("uses"), F.min(F.struct("shard", "slot")).alias("first_place"))
     # Both sides come from explode, whose growth Spark's size estimates leave out: no broadcast here.
     return documents, sources, pieces(documents, sources).hint("merge").join(counts, ["source_no", "block"])
 

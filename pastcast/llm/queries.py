@@ -68,11 +68,12 @@ def op8(spark, sf_dir):
         "doc_id", source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size"))
     documents, sources, used = mix(sized)
     row = ["doc_id", "source_key", "size", "copy"]
-    taken = used.groupBy(*row).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    known = documents.select(*row).withColumn("taken", F.lit(0).cast("long")).unionByName(taken.select(*row, "taken"))
-    return (known.groupBy(*row).agg(F.sum("taken").alias("taken"))
+    taken = used.groupBy(*row).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"), F.min("first_place").alias("first_place"))
+    known = documents.select(*row).withColumn("taken", F.lit(0).cast("long")).unionByName(taken, allowMissingColumns=True)
+    return (known.groupBy(*row).agg(F.sum("taken").alias("taken"), F.min("first_place").alias("first_place"))
             .join(sources.select("source_key", "source_size", "target"), "source_key")
-            .select("doc_id", "size", "source_size", "target", "taken"))
+            .select("doc_id", "size", "source_size", "target", "taken", F.col("first_place.shard").alias("first_shard"),
+                    F.col("first_place.slot").alias("first_slot")))
 
 
 @query("op9_simhash")

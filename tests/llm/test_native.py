@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,38 @@ def test_mix_slots_fill_the_shards(spark, odd_docs):
     assert all(0 <= b < draws[s][1] for s, b in uses) and max(uses.values()) <= 2
 
 
+def test_mix_draws_counts_and_numbers_slots_by_them(spark, monkeypatch):
+    """Shards of eight slots: counts add up both ways, slots are numbered along the shards, numbers go through permutations."""
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
+    draws = {0: (90, 50), 1: (30, 40), 2: (0, 0), 3: (40, 20)}  # draws, blocks
+    firsts = dict(zip(draws, np.cumsum([0, *(d for d, _ in draws.values())]).tolist()))
+    sources = spark.createDataFrame([(k, firsts[k], d, b) for k, (d, b) in draws.items()], "source_no long, first_draw long, draws long, blocks long")
+    slots = mixing.draw_slots(sources, 8)
+    rows = sorted(slots.collect(), key=lambda r: (r.shard, r.slot))
+    assert [(r.shard, r.slot) for r in rows] == [(k // 8, k % 8) for k in range(160)]
+    # the draw by hand: the k-th draw of all goes to the place that the permutation of all slots names
+    places = spark.range(160).select("id", feistel.unpermute(F.col("id"), F.lit(160), F.lit(8)).alias("p")).collect()
+    owner = {r.p: max(k for k in draws if firsts[k] <= r.id and draws[k][0]) for r in places}
+    assert [r.source_no for r in rows] == [owner[k] for k in range(160)]
+    assert {(r.shard, r.source_no): r.n for r in mixing.shard_counts(slots).collect()} == Counter((p // 8, s) for p, s in owner.items())
+    for k, (d, b) in draws.items():
+        own = [r for r in rows if r.source_no == k]
+        assert [r.number for r in own] == list(range(d))
+        for turn in range(0, d, b or 1):
+            blocks = [r.block for r in own[turn:turn + b]]
+            assert len(set(blocks)) == len(blocks) and set(blocks) <= set(range(b)) and (len(blocks) < b or blocks != sorted(blocks))
+    spread = Counter(sum(r.source_no == 0 for r in rows[a:a + 8]) for a in range(0, 160, 8))
+    assert len(spread) >= 4  # not dealt evenly
+
+
+def test_mix_plan_holds_the_draw(spark, odd_docs):
+    from pastcast.llm.queries import QUERIES
+    assert QUERIES["op8_mixing"]
+    sized = odd_docs.select("doc_id", mixing.source_key(F.col("source")).alias("source_key"), mixing.word_count(F.col("text")).alias("size"))
+    plan = mixing.mix(sized)[2]._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard" in plan and "slot" in plan and "Window" in plan
+
+
 def test_mixed_documents_hold_the_words_taken(spark, odd_docs, no_docs):
     rows = mixing.mix_documents(odd_docs)
     assert rows.columns == odd_docs.columns
