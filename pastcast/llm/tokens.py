@@ -11,6 +11,7 @@ The memory of pieces is bounded in bytes, and long pieces (text without blanks)
 """
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -19,11 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of the pieces remembered in a worker; the memory is emptied when it would be more.
-MEMORY_BYTES = 112 << 20
+MEMORY_BYTES = 160 << 20
 #: What a piece takes beside its characters (a string, an entry, a number), and how long it may be to be remembered.
 PIECE_BYTES, PIECE_LENGTH = 150, 64
 #: Pieces joined for the library, and joined strings of one call.
-JOINED, CALL = 1000, 16
+JOINED, CALL = 1000, 32
 #: Texts are encoded in groups of about so many bytes, or one by one if longer.
 GROUP_BYTES = 4 << 20
 
@@ -47,7 +48,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # Bytes that each id stands for; the vocabulary writes each byte as one character.
         self.byte_lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -62,9 +63,8 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces. Those that start with a blank can be joined, for one call in place of many."""
-        plain, other = [], []
-        for p in pieces:
-            (plain if p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace() and len(p) <= PIECE_LENGTH else other).append(p)
+        joins = [p[0] == " " and not p[1:2].isspace() and not p[-1].isspace() if p else False for p in pieces]
+        plain, other = list(itertools.compress(pieces, joins)), [p for p, j in zip(pieces, joins) if not j]
         texts = ["".join(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)] + other
         got = [np.empty(0, np.uint32)]
         for i in range(0, len(texts), CALL):  # the library's results are many times the ids
@@ -72,7 +72,8 @@ class Encoder:
         ids = np.concatenate(got)
         # Each id stands for a known number of bytes, so a joined piece ends at the id that ends with it.
         id_ends = np.concatenate([[0], np.cumsum(self.byte_lengths[ids])])
-        ends = np.searchsorted(id_ends, np.cumsum([len(p.encode()) for p in plain + other]))
+        ordered = plain + other
+        ends = np.searchsorted(id_ends, np.cumsum(pc.binary_length(pa.array(ordered, pa.large_string())).to_numpy()))
         n, at = len(self.slots), self.ends[len(self.slots)]
         if at + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, max(at + len(ids), 2 * len(self.ids)))
@@ -80,20 +81,25 @@ class Encoder:
             self.ends = np.resize(self.ends, max(n + len(pieces) + 1, 2 * len(self.ends)))
         self.ids[at:at + len(ids)] = ids
         self.ends[n + 1:n + 1 + len(pieces)] = at + ends
-        self.slots.update(zip(plain + other, range(n, n + len(pieces))))
+        self.slots.update(zip(ordered, range(n, n + len(pieces))))
 
     def _find(self, pieces: list[str]) -> tuple[np.ndarray, list[str]]:
         """(slots, long): the slots of the pieces, and which of them are to be dropped after use."""
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.slots]
-        new = sum(len(p) + PIECE_BYTES for p in missing if len(p) <= PIECE_LENGTH)
+        found = list(map(self.slots.get, pieces))
+        missing = list(dict.fromkeys(itertools.compress(pieces, (x is None for x in found))))
+        if not missing:
+            return np.array(found, np.int64), []
+        sizes = list(map(len, missing))
+        long = [p for p, n in zip(missing, sizes) if n > PIECE_LENGTH] if max(sizes) > PIECE_LENGTH else []
+        new = PIECE_BYTES * (len(missing) - len(long)) + sum(sizes) - sum(map(len, long))
         if self.size + new > MEMORY_BYTES and self.slots:
             self._forget()
             return self._find(pieces)
         self.size += new
-        self._learn([p for p in missing if len(p) <= PIECE_LENGTH])
-        long = [p for p in missing if len(p) > PIECE_LENGTH]
-        self._learn(long)
-        return np.fromiter((self.slots[p] for p in pieces), np.int64, len(pieces)), long
+        self._learn([p for p, n in zip(missing, sizes) if n <= PIECE_LENGTH] if long else missing)
+        if long:
+            self._learn(long)
+        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces)), long
 
     def _drop(self, long: list[str]) -> None:
         for p in long:  # they have the last slots
@@ -117,9 +123,11 @@ class Encoder:
 
     def _encode_group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.added:
-            holds = np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False))
-            if len(holds):
-                return self._around(texts, holds)
+            holds = np.zeros(len(texts), bool)
+            for token in self.added:
+                holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+            if holds.any():
+                return self._around(texts, np.flatnonzero(holds))
         parts = pc.split_pattern(texts, " ")
         runs = np.flatnonzero(pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False))
         bounds = parts.offsets.to_numpy()
