@@ -11,7 +11,8 @@ and scores are sums over term lists in NumPy.
 An item retrieved for a passage is a leak if the five-word shingles of its question and those of its
 answer are found around the passage, at least OVERLAP of each. Question: the item without its last
 sentence; answer: the last sentence, but at least its last five words, and what is left of an
-item of one sentence is its question.
+item of one sentence is its question. One edit spoils most shingles of an answer of under SHORT words: such an
+answer also counts as found if OVERLAP of its words are there.
 """
 from __future__ import annotations
 
@@ -32,6 +33,8 @@ K1, B = 1.2, 0.75
 #: Share of an item's greatest possible score that a passage must reach to be looked at.
 THRESHOLD = 0.6
 SHINGLE, OVERLAP = 5, 0.8
+#: Answers of fewer words are compared by their words where their shingles differ.
+SHORT = 10
 #: Passages are TILE * 2 words and start every TILE words; longer items are indexed in units of TILE words.
 TILE = 64
 #: Items a block.
@@ -72,8 +75,10 @@ class BlockMaxIndex:
             question, answer = question_and_answer(text)
             words = question + answer
             codes = [self.terms.setdefault(w, len(self.terms)) for w in words]
-            self.parts.append((shingles(codes[:len(question)]), shingles(codes[len(question):]), len(words)))
+            asked, said = codes[:len(question)], codes[len(question):]
+            self.parts.append((shingles(asked), shingles(said), said if SHINGLE <= len(said) < SHORT else None, len(words)))
             for begin in range(0, len(words), TILE):
+                begin = max(0, min(begin, len(words) - TILE))  # the last unit is as long as the others
                 unit = words[begin:begin + TILE]
                 norm = K1 * (1 - B + B * len(unit) / mean)
                 weights = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm)
@@ -160,16 +165,22 @@ def search(index: BlockMaxIndex, codes: np.ndarray, ends: np.ndarray) -> Iterato
     which, unit, score = index.retrieve(pairs // (len(index.terms) + 1), pairs % (len(index.terms) + 1), len(text))
     best: dict[tuple[int, int], tuple] = {}
     starts = np.concatenate([[0], ends[:-1]])
+    known_there: dict[tuple[int, int], set] = {}  # the shingles of a stretch of words, once for all items found near it
     for p, u, s in zip(which.tolist(), unit.tolist(), score.tolist()):
         item, t = int(index.owner[u]), int(text[p])
-        question, answer, size = index.parts[item]
+        question, answer, short, size = index.parts[item]
         # The item may go on beyond the passage on either side.
         a, b = max(starts[t], first[p] - size), min(ends[t], stop[p] + size)
-        there = shingles(codes[a:b].tolist())
+        if (a, b) not in known_there:
+            known_there[a, b] = shingles(codes[a:b].tolist())
+        there = known_there[a, b]
         if size < SHINGLE:
-            there |= {tuple(codes[i:i + size].tolist()) for i in range(a, b - size + 1)}
+            there = there | {tuple(codes[i:i + size].tolist()) for i in range(a, b - size + 1)}
         shares = [len(part & there) / len(part) if part and len(next(iter(part))) == SHINGLE else
                   float(_contains(part, codes[a:b])) for part in (question, answer)]
+        if short is not None:  # one edit spoils most of its shingles: its words count
+            words = set(codes[a:b].tolist())
+            shares[1] = max(shares[1], sum(w in words for w in short) / len(short))
         if min(shares) >= OVERLAP and s > best.get((t, item), (0.0,))[0]:
             best[t, item] = (s, int(first[p] - starts[t]), int(stop[p] - starts[t]), *shares)
     for (t, item), rest in best.items():
