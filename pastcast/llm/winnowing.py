@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's units are its words, a word of over 16 characters being cut into several. Every run of K
-units is hashed; of each W consecutive hashes the smallest is kept, the rightmost of equal ones, with
+A text's units are its words. A word of over 16 characters is cut by its content, after each vowel,
+digit or letter of a script that is written without blanks (and after 16 characters at the latest), so that
+text without blanks falls into the same units again soon after a change. Every run of K units is hashed; of each W consecutive hashes the smallest is kept, the rightmost of equal ones, with
 its position. Two texts that share W + K - 1 units in a row therefore share a kept hash, and no match
 shorter than K units is ever reported.
 
@@ -20,7 +21,11 @@ from .common import dealt_in_order, div
 
 K = 5
 W = 12
-UNIT = r"[^\x20\x09-\x0D]{1,16}"
+_SOLID = r"[^\x20\x09-\x0D]"
+#: Where a long word is cut: vowels, digits, Thai, kana, Han, Hangul.
+_CUT = r"[aeiouAEIOU0-9\u0E00-\u0E7F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF]"
+UNIT = (rf"(?<!{_SOLID}){_SOLID}{{1,16}}(?!{_SOLID})|[^\x20\x09-\x0DaeiouAEIOU0-9\u0E00-\u0E7F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF]"
+        rf"{{0,15}}{_CUT}|{_SOLID}{{1,16}}")
 _LOW = (1 << 31) - 1
 
 

@@ -163,6 +163,19 @@ def brute_fingerprint(spark, text, k=winnowing.K, w=winnowing.W):
     return [(p, hashes[p]) for p in sorted(kept)]
 
 
+def test_text_without_blanks_keeps_its_fingerprint_after_a_change(spark):
+    rng = np.random.default_rng(3)
+    han = "".join(chr(0x4E00 + k) for k in rng.integers(0, 3000, 3000))
+    code = "".join(np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))[rng.integers(0, 64, 3000)])
+    for text in (han, code):
+        assert re.findall(winnowing.UNIT, text) and "".join(re.findall(winnowing.UNIT, text)) == text
+        rows = spark.createDataFrame([(text, text[:9] + "x" + text[9:], text[:1500] + "qq" + text[1500:])], "a string, b string, c string")
+        own = {n: winnowing.hashes(winnowing.fingerprint(F.col(n))) for n in "abc"}
+        near = rows.select(winnowing.likeness(own["a"], own["b"]).alias("b"), winnowing.likeness(own["a"], own["c"]).alias("c")).first()
+        assert near.b > 0.95 and near.c > 0.95
+    assert re.findall(winnowing.UNIT, "a word, and another-word!\n") == ["a", "word,", "and", "another-word!"]
+
+
 def test_winnowing_keeps_rightmost_minima(spark, odd_rows):
     texts = [t for _, t, _ in odd_rows if t is None or len(t) < 3000][:24] + ["a b a b a b a b a b a b a b a b a b a b a b a b"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
