@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .asof import DAY, day_number
-from .features import _rate, contract, day_states, history_rows, state_features, target_rows
+from .features import _rate, contract, day_states, history_rows, state_features, target_rows, with_contest
 
 #: Buckets of the tables; a cluster sets it to its shuffle partitions.
 BUCKETS = 16
@@ -56,7 +56,7 @@ class KeptState:
         rf = spark.table(self.riders).select(F.col("_r").alias("fr_r"), F.col("cr_n").alias("jockey_career_runs"),
                                              _rate(F.col("cr_s"), F.col("cr_n")).alias("jockey_career_show_rate"))
         out = out.join(rf, (out["_r"] == rf["fr_r"]) & out[DAY].isNotNull(), "left")
-        return contract(out, targets, Tgt, feats, rf, k, contest_cols)
+        return contract(with_contest(out, Tgt, contest_cols), targets, Tgt, feats, rf, k)
 
 
 def entity_states(H: DataFrame, k: int, salt_buckets: int = 64) -> DataFrame:

@@ -1,6 +1,7 @@
 """Feature invariants (the reference's seven) and hand-computed golden
 answers on the FIXTURES.md §1-2 micro history."""
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,24 @@ def test_same_day_ties_last_row_lowest_tiebreak(spark):
     r = point_in_time_features(h, t).collect()[0]
     assert r.last_finish_pos == 7 and r.weight_change_from_last == 2.0   # lowest tie-break = contest 10
     assert r.avg_finish_last3 == pytest.approx(4.5) and r.best_finish_last3 == 2
+
+
+def test_rows_of_an_entity_are_dealt_out_once(spark):
+    """Wide rows meet their features where these are: no aggregate, window or join on the entity and more keys moves them again."""
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = E.queries()["build_training_frame"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # targets, probes, places and states by entity alone; with more keys only what is aggregated first
+    assert not re.search(r"Exchange hashpartitioning\((f_e|_e#\d+L?, _(pd|gkk|td|day#\d+L?, coalesce))", plan)
+
+
+def test_hot_keys_are_aggregated_before_they_are_dealt_out(spark):
+    from pastcast.operators.asof import dealt_by, hot_keys
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, 7).otherwise(F.col("id")).alias("k"), (F.col("id") % 3).alias("g"))
+    states = lambda r: r.groupBy("k", "g").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(states(rows).collect())
+    for hot in (1, 500, 10_000):
+        assert sorted(dealt_by(rows, "k", hot_keys(rows, "k", hot), states).collect()) == want
