@@ -142,3 +142,22 @@ def test_two_writers_never_take_one_version(spark, tmp_path):
     reg = ModelRegistry(spark, f"{tmp_path}/reg")
     assert reg.versions().where("stage = 'production'").select("path").distinct().count() == 12
     assert reg.log().select("seq").distinct().count() == reg.log().count() == 24
+
+
+def test_tables_of_the_selection_and_the_split_are_made_once(spark):
+    """Counted values are read, not counted again; features go to one table, not by way of a checkpoint."""
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from pastcast.operators.selection import value_table
+    from pastcast.plans import ml_plans
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([(1.0, "a", 1), (2.0, "b", 0), (None, None, 1), (2.0, "a", 0)], "x DOUBLE, g STRING, label INT")
+    values = value_table(df, ["x"], ["g"], "label")
+    assert "Generate" not in plan(values) and "Aggregate" not in plan(values)
+    assert sorted((r.feature, r.x, r.pos, r.neg) for r in values.collect()) == [
+        ("g_a", 0.0, 0, 1), ("g_a", 1.0, 2, 1), ("g_b", 0.0, 2, 1), ("g_b", 1.0, 0, 1), ("x", 1.0, 1, 0), ("x", 2.0, 1, 2)]
+    runs = spark.range(40).select(
+        (F.col("id") % 4).alias("entity_id"), (F.col("id") % 3).alias("rider_id"), F.col("id").alias("contest_id"), F.col("id").cast("double").alias("px"),
+        F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")).alias("event_date"), F.lit(1).alias("venue_id"), F.lit(1000).alias("distance_m"),
+        F.lit(50.0).alias("load_kg"), (F.col("id") % 5 + 1).cast("int").alias("finish_pos"), F.lit(1.0).alias("dividend"), F.lit(1).alias("label"))
+    assert not any("Scan ExistingRDD" in plan(part) for part in ml_plans._frozen(spark, runs))
