@@ -5,6 +5,7 @@ import ctypes
 import math
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,20 @@ def by_bytes(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.Recor
         at = stop
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value) -> Iterator[None]:
+    """A session setting for the actions of a block; what it was before is set again after it."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Give freed memory of this worker back to the machine: the next task, of any stage, finds it there."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import by_bytes, give_back
+from .common import by_bytes, give_back, setting
 from .tokens import encoder
 
 DICTIONARY_BYTES = 64 << 10
@@ -29,7 +29,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
-#: Texts encoded together, by bytes.
+#: Texts encoded together, and sent to a worker in one batch, by bytes.
 GROUP_BYTES = 4 << 20
 
 SEGMENTS = ("part int, segment int, first_id {id}, last_id {id}, doc_ids array<{id}>, frame_ends array<bigint>, "
@@ -85,21 +85,20 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zstd_dictionary(dictionary))
         worker = encoder(tokenizer)
         names, frames, counts = [], [], []
-        fields = None
+        fields, size = None, 0
 
         def flush():
-            nonlocal segment
+            nonlocal segment, size
             row = {"part": part, "segment": segment, "first_id": names[0], "last_id": names[-1], "doc_ids": names[:],
                    "frame_ends": np.cumsum([len(f) for f in frames]).tolist(), "counts": counts[:], "total": sum(counts),
                    "dictionary_hash": digest, "blob": b"".join(frames)}
-            segment += 1
+            segment, size = segment + 1, 0
             for x in (names, frames, counts):
                 x.clear()
             return pa.RecordBatch.from_pylist([row], schema=fields)
 
         for batch in batches:
             fields = fields or _arrow_schema(batch.schema.field(0).type)
-            size = 0
             for rows in by_bytes(batch, 1, GROUP_BYTES):
                 ids, ends = worker.encode(rows.column(1))
                 low = ids.astype(f"<u{width}")
@@ -113,14 +112,16 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     begin = end
                     if size >= SEGMENT_BYTES:
                         yield flush()
-                        size = 0
-            if names:
-                yield flush()
+        if names:
+            yield flush()
+        worker.rest()
         give_back()
 
     order = [F.col("id"), F.xxhash64("text")]
-    (slim.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, schema)
-     .write.option("compression", "none").parquet(f"{path}/segments"))
+    # A batch of 10,000 long texts would be held by Spark, the worker and the pipe between them.
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", GROUP_BYTES):
+        (slim.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, schema)
+         .write.option("compression", "none").parquet(f"{path}/segments"))
 
 
 def _arrow_schema(kind: pa.DataType) -> pa.Schema:

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 
 #: Bytes of the pieces remembered in a worker; the memory is emptied when it would be more.
 MEMORY_BYTES = 160 << 20
+#: What a worker keeps of them from task to task: the next task, of any stage, needs the room.
+KEPT_BYTES = 48 << 20
 #: What a piece takes beside its characters (a string, an entry, a number), and how long it may be to be remembered.
 PIECE_BYTES, PIECE_LENGTH = 150, 64
 #: Pieces joined for the library, and joined strings of one call.
@@ -61,14 +63,19 @@ class Encoder:
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of slot i: ends[i] up to ends[i + 1]
 
+    def rest(self) -> None:
+        """The end of a task: more than KEPT_BYTES are not kept for the next one."""
+        if self.size > KEPT_BYTES:
+            self._forget()
+
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces. Those that start with a blank can be joined, for one call in place of many."""
         joins = [p[0] == " " and not p[1:2].isspace() and not p[-1].isspace() if p else False for p in pieces]
         plain, other = list(itertools.compress(pieces, joins)), [p for p, j in zip(pieces, joins) if not j]
         texts = ["".join(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)] + other
         got = [np.empty(0, np.uint32)]
-        for i in range(0, len(texts), CALL):  # the library's results are many times the ids
-            got += [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch(texts[i:i + CALL], add_special_tokens=False)]
+        for i in range(0, len(texts), CALL):  # the library's results are many times the ids; the fast ones have no offsets
+            got += [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch_fast(texts[i:i + CALL], add_special_tokens=False)]
         ids = np.concatenate(got)
         # Each id stands for a known number of bytes, so a joined piece ends at the id that ends with it.
         id_ends = np.concatenate([[0], np.cumsum(self.byte_lengths[ids])])

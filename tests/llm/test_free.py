@@ -185,6 +185,33 @@ def test_token_store_round_trip(spark, odd_docs, odd_rows, encoder):
     assert [np.frombuffer(bytes(r.ids), "<u4").tolist() for r in one] == [ids(t) for i, t, _ in odd_rows if i == 4]
 
 
+def test_large_memory_of_pieces_is_not_kept_after_a_task(encoder, monkeypatch):
+    encoder.encode(pa.array(["some words of a task"]))
+    encoder.rest()
+    assert encoder.slots
+    monkeypatch.setattr("pastcast.llm.tokens.KEPT_BYTES", 100)
+    encoder.rest()
+    assert not encoder.slots and encoder.size == 0
+    ids, ends = encoder.encode(pa.array(["some words of a task"]))
+    assert ids.tolist() == encoder.tokenizer.encode("some words of a task", add_special_tokens=False).ids
+
+
+def test_token_store_sends_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """A batch of long texts is bounded by bytes, a segment goes on over batches, and the setting is as before."""
+    monkeypatch.setattr("pastcast.llm.token_store.GROUP_BYTES", 1 << 16)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 4000).alias("text"))
+    seen = []
+    write = token_store.setting
+    monkeypatch.setattr(token_store, "setting", lambda spark, name, value: seen.append((name, value)) or write(spark, name, value))
+    token_store.write_store(docs, str(tmp_path / "store"))
+    assert seen == [(name, 1 << 16)] and spark.conf.get(name, None) == before
+    segments = spark.read.parquet(str(tmp_path / "store" / "segments"))
+    assert segments.selectExpr("sum(size(doc_ids))").first()[0] == 60
+    assert segments.count() == segments.select("part").distinct().count()
+
+
 def test_token_store_of_nothing_and_of_one(spark, no_docs):
     path = shared_path(spark, "test-store")
     token_store.write_store(no_docs, path)
