@@ -71,7 +71,7 @@ def _list_documents(spark, sf_dir):
 
 @register("signature_quarantine")
 def _signature(spark, sf_dir):
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf_dir))
+    files = FS.document_heads(spark, sf_dir, max(len(FS.PARQUET_MAGIC), len(FS.WORKBOOK_MAGIC)) // 2, "*.parquet")
     good, bad = FS.signature_quarantine(files, FS.PARQUET_MAGIC)
     wb_good, wb_bad = FS.signature_quarantine(files, FS.WORKBOOK_MAGIC)
     return (good.select(F.lit("parquet").alias("check"), F.lit("accepted").alias("outcome"), "path")

@@ -3,8 +3,11 @@ read-through cache, binary file listing with signature quarantine, landing
 plan, document path fields, CSV tables, dataset fingerprint."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +50,32 @@ def list_documents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
     return files.select("path", "length", "modificationTime").orderBy("path")
 
 
+#: File systems of which a task opens a file and reads its first bytes; of others Spark reads files whole.
+HEAD_SCHEMES = ("file", "hdfs")
+
+
+def document_heads(spark: SparkSession, root: str, n: int, glob: str = "*") -> DataFrame:
+    """A4: (path, length, content) of the files in ``root``, ``content`` being the first ``n`` bytes: a file of any
+    size costs a task these bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    scheme = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    if scheme not in HEAD_SCHEMES:
+        return files.select("path", "length", F.substring("content", 1, n).alias("content"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = pa.fs.LocalFileSystem()
+        for batch in batches:
+            heads = []
+            for path in batch.column(0).to_pylist():
+                place = (local, "/" + path.removeprefix("file:").lstrip("/")) if scheme == "file" else pa.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                with place[0].open_input_file(place[1]) as f:
+                    heads.append(f.read(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], ["path", "length", "content"])
+
+    return files.select("path", "length").mapInArrow(read, "path string, length bigint, content binary")
+
+
 def signature_quarantine(files: DataFrame, magic_hex: str = WORKBOOK_MAGIC):
     """A4: accept files whose first bytes equal ``magic_hex``; everything else
     goes to the rejects output with a reason. Only the first bytes are used."""

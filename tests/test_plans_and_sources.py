@@ -42,6 +42,19 @@ def test_signature_quarantine(spark, tmp_path):
     assert [r.reason for r in rej.collect()] == ["bad_signature"]
 
 
+def test_document_heads_are_a_few_bytes_of_files_of_any_size(spark, tmp_path):
+    (tmp_path / "a 50%.xls").write_bytes(bytes.fromhex("D0CF11E0") + b"x" * 9)
+    (tmp_path / "b.xls").write_bytes(b"PK")
+    with open(tmp_path / "c.xls", "wb") as f:
+        f.write(b"<!DO")
+        f.truncate(3 << 30)  # more than Spark reads as one value
+    files = FS.document_heads(spark, str(tmp_path), 4)
+    assert [(os.path.basename(r.path), r.length, bytes(r.content)) for r in files.orderBy("path").collect()] == [
+        ("a 50%.xls", 13, bytes.fromhex("D0CF11E0")), ("b.xls", 2, b"PK"), ("c.xls", 3 << 30, b"<!DO")]
+    ok, rej = FS.signature_quarantine(files)
+    assert (ok.count(), sorted(r["head"] for r in rej.collect())) == (1, ["3C21444F", "504B"])
+
+
 ORACLE_KEYS = ["build_training_frame", "asof_history", "asof_lookback", "binary_metrics", "calibration_bins",
                "block_segment", "dedup_keep_first", "score_batch_sql", "nest_results", "split_quantile",
                "runs_per_entity", "modal_vote", "stream_daily_counts"]
