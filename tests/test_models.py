@@ -161,3 +161,21 @@ def test_tables_of_the_selection_and_the_split_are_made_once(spark):
         F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")).alias("event_date"), F.lit(1).alias("venue_id"), F.lit(1000).alias("distance_m"),
         F.lit(50.0).alias("load_kg"), (F.col("id") % 5 + 1).cast("int").alias("finish_pos"), F.lit(1.0).alias("dividend"), F.lit(1).alias("label"))
     assert not any("Scan ExistingRDD" in plan(part) for part in ml_plans._frozen(spark, runs))
+
+
+def test_only_the_features_that_are_asked_for_are_written(spark, tmp_path, monkeypatch):
+    from pastcast.plans import ml_plans
+    made = []
+    monkeypatch.setattr(ml_plans, "read_through", lambda spark, name, build: made.append(name.split("_")[1]))
+    monkeypatch.setattr(ml_plans, "source_key", lambda spark, sf_dir: "key")
+    assert len(ml_plans._split_features(spark, "no folder", ("test",))) == 1
+    assert len(ml_plans._split_features(spark, "no folder")) == 2
+    assert made == ["test", "train", "test"]
+
+
+def test_tasks_of_features_are_small(spark):
+    """Rows of a shuffle above 16 MB are dealt out to more tasks (AQE gave a task 64 MB before)."""
+    from pastcast.operators.asof import TASK_BYTES, co_partition
+    co_partition(spark)
+    assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").rstrip("b")) == TASK_BYTES
+    assert TASK_BYTES <= 16 << 20
