@@ -4,14 +4,17 @@
 The workbook decoder itself is not rebuilt: a grid arrives as rows of string
 cells and every parsing step is a DataFrame expression. Segmentation
 (gaps-and-islands: "rows between two leader rows form a block") is
-``segment``: rows are cut into fixed-size chunks per file; a window per
+``segment``: files of at most CHUNK rows are a window each. The rows of larger
+ones are cut into fixed-size chunks by their number; a window per
 (file, chunk) finds the last start inside the chunk and a window over the
-per-chunk summaries (rows/CHUNK per file) carries the last start across chunk
-borders. No window ever spans a whole file, so one huge file is never one task.
+per-chunk summaries carries the last start across chunk
+borders. No window of rows ever spans a huge file, so it is never one task.
+What later steps need of a row's cells is read before rows are dealt out, so that no shuffle carries the cells.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,26 +76,30 @@ def segment(df: DataFrame, part: Sequence[str], order: str, is_start: Column,
             chunk: int = CHUNK) -> DataFrame:
     """Gaps-and-islands: adds ``seg_start`` (``order`` value of the last start
     row at or before this row; NULL before the first start) and ``seg_no``
-    (1-based number of that start within ``part``)."""
-    d = df.withColumn("_st", is_start).withColumn("_ck", F.floor(F.col(order) / chunk))
+    (1-based number of that start within ``part``). Rows without ``part`` or ``order`` go."""
+    d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*part, order]])).withColumn("_st", is_start)
+    # at most one part for so many rows: few enough to be sent to every task
+    large = d.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk).select(*part, F.lit(True).alias("_big"))
+    d = d.join(F.broadcast(large), list(part), "left").withColumn(
+        "_ck", F.when(F.col("_big"), F.floor(F.col(order) / chunk)).otherwise(F.lit(0).cast("long")))
     wi = (Window.partitionBy(*part, "_ck").orderBy(order)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summ = d.where("_big").groupBy(*part, "_ck").agg(F.max(F.when(F.col("_st"), F.col(order))).alias("_cl"),
+                                                     F.count_if(F.col("_st")).alias("_cn"))
     d = d.withColumn("_ls", F.max(F.when(F.col("_st"), F.col(order))).over(wi)) \
          .withColumn("_ln", F.sum(F.when(F.col("_st"), 1).otherwise(0)).over(wi))
-    summ = d.groupBy(*part, "_ck").agg(F.max(F.when(F.col("_st"), F.col(order))).alias("_cl"),
-                                       F.count_if(F.col("_st")).alias("_cn"))
     wc = Window.partitionBy(*part).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*part, "_ck", F.max("_cl").over(wc).alias("_prev"),
-                       F.coalesce(F.sum("_cn").over(wc), F.lit(0)).alias("_off"))
-    out = d.join(summ, [*part, "_ck"])
+    summ = summ.select(*part, "_ck", F.max("_cl").over(wc).alias("_prev"), F.sum("_cn").over(wc).alias("_off"))
+    out = d.join(summ, [*part, "_ck"], "left")
     return (out.withColumn("seg_start", F.coalesce(F.col("_ls"), F.col("_prev")))
-            .withColumn("seg_no", F.when(F.col("seg_start").isNotNull(), F.col("_off") + F.col("_ln")))
-            .drop("_st", "_ck", "_ls", "_ln", "_prev", "_off"))
+            .withColumn("seg_no", F.when(F.col("seg_start").isNotNull(), F.coalesce(F.col("_off"), F.lit(0)) + F.col("_ln")))
+            .drop("_st", "_big", "_ck", "_ls", "_ln", "_prev", "_off"))
 
 
 def is_leader(col: str = "cells") -> Column:
     """B1/Q23: col 1 an integer 1..25, col 4 non-blank text, col 30 a number in 40..70."""
-    pos = cell(LEADER_POS_COL, col).try_cast("double")
+    # the column of the dates: a date is no number, and a cast that fails takes long
+    pos = F.when(~F.contains(cell(LEADER_POS_COL, col), F.lit("/")), cell(LEADER_POS_COL, col)).try_cast("double")
     name = F.trim(cell(LEADER_NAME_COL, col))
     kg = cell(LEADER_KG_COL, col).try_cast("double")
     return (F.coalesce(name != "", F.lit(False))
@@ -108,34 +115,45 @@ def blocks(cells: DataFrame, leader: Column | None = None) -> DataFrame:
               .withColumnRenamed("seg_no", "block_no")
 
 
+def header_cells() -> dict[str, Column]:
+    """What ``block_headers`` reads of a row's cells."""
+    return {"_header": F.lower(F.trim(cell(COL_DATE))) == HEADER_WORD, "_name": F.trim(cell(LEADER_NAME_COL)),
+            "_post": cell(LEADER_POS_COL).try_cast("double").cast("int")}
+
+
 def block_headers(blk: DataFrame) -> DataFrame:
     """Per block the name (leader col 4) and the first header row; blocks
-    without a header or with a blank name are dropped."""
-    is_hdr = F.lower(F.trim(cell(COL_DATE))) == HEADER_WORD
+    without a header or with a blank name are dropped. Rows have ``cells`` or the ``header_cells``."""
+    if "_header" not in blk.columns:
+        blk = blk.withColumns(header_cells())
+    leads = F.col("row") == F.col("block_row")
     return (blk.groupBy("file", "block_row", "block_no").agg(
-        F.min(F.when(is_hdr, F.col("row"))).alias("header_row"),
-        F.max(F.when(F.col("row") == F.col("block_row"), F.trim(cell(LEADER_NAME_COL)))).alias("name"),
-        F.max(F.when(F.col("row") == F.col("block_row"),
-                     cell(LEADER_POS_COL).try_cast("double").cast("int"))).alias("post_position"))
+        F.min(F.when(F.col("_header"), F.col("row"))).alias("header_row"),
+        F.max(F.when(leads, F.col("_name"))).alias("name"),
+        F.max(F.when(leads, F.col("_post"))).alias("post_position"))
         .where(F.col("header_row").isNotNull() & F.col("name").isNotNull() & (F.col("name") != "")))
 
 
+def age_cell() -> dict[str, Column]:
+    """What ``block_meta`` reads of a row's cells: (age, sex) of the first age cell, NULL without one."""
+    text = lambda c: F.coalesce(cell(c), F.lit(""))
+    said = []
+    for c in AGE_COLS:
+        age = F.regexp_extract(text(c), AGE_PATTERN, 1)
+        sex1, sex2 = (F.regexp_extract(text(c - i), SEX_PATTERN, 1) for i in (1, 2))
+        sex = F.upper(F.nullif(F.when(sex1 != "", sex1).otherwise(sex2), F.lit("")))
+        said.append(F.when(age != "", F.struct(age.cast("int").alias("age"), sex.alias("sex"))))
+    return {"_said": F.coalesce(*said)}
+
+
 def block_meta(blk: DataFrame) -> DataFrame:
     """First age cell ``N a.`` in the 11 rows below the leader (cols 10-12,
-    row-major), sex one then two cells to its left."""
+    row-major), sex one then two cells to its left. Rows have ``cells`` or the ``age_cell``."""
+    if "_said" not in blk.columns:
+        blk = blk.withColumns(age_cell())
     near = blk.where((F.col("row") > F.col("block_row"))
-                     & (F.col("row") < F.col("block_row") + AGE_SCAN_ROWS))
-    cand = near.select("file", "block_row", "row", "cells",
-                       F.explode(F.array(*[F.lit(c) for c in AGE_COLS])).alias("c"))
-    agecell = F.get(F.col("cells"), F.col("c"))
-    age = F.regexp_extract(F.coalesce(agecell, F.lit("")), AGE_PATTERN, 1)
-    sex1 = F.regexp_extract(F.coalesce(F.get(F.col("cells"), F.col("c") - 1), F.lit("")), SEX_PATTERN, 1)
-    sex2 = F.regexp_extract(F.coalesce(F.get(F.col("cells"), F.col("c") - 2), F.lit("")), SEX_PATTERN, 1)
-    sex = F.upper(F.nullif(F.when(sex1 != "", sex1).otherwise(sex2), F.lit("")))
-    hits = cand.where(age != "").select("file", "block_row", "row", "c", age.cast("int").alias("age"),
-                                        sex.alias("sex"))
-    return hits.groupBy("file", "block_row").agg(
-        F.min_by(F.struct("age", "sex"), F.struct("row", "c")).alias("m")).select(
+                     & (F.col("row") < F.col("block_row") + AGE_SCAN_ROWS) & F.col("_said").isNotNull())
+    return near.groupBy("file", "block_row").agg(F.min_by("_said", "row").alias("m")).select(
         "file", "block_row", F.col("m.age").alias("horse_age"), F.col("m.sex").alias("sex_code"))
 
 
@@ -158,18 +176,13 @@ def parse_grid(cells: DataFrame):
     blocks / history rows / skipped counters. A bad row never fails the job.
     """
     spark = cells.sparkSession
-    blk = blocks(cells)
-    hdr = block_headers(blk)
-    meta = block_meta(blk)
-    data = (blk.join(hdr, ["file", "block_row", "block_no"])
-            .where(F.col("row") > F.col("header_row"))
-            .join(meta, ["file", "block_row"], "left"))
-    date = parse_ddmmyy(cell(COL_DATE))
-    abbr = F.trim(cell(COL_VENUE_ABBR))
+    # a column for each cell: what a cell is made of is worked out once, not for each step that reads it
+    width = range(max(COL_BODY_WEIGHT, LEADER_KG_COL, *AGE_COLS) + 1)
+    apart = cells.select("file", "row", *[cell(i).alias(f"_c{i}") for i in width]).withColumn("cells", F.array(*[f"_c{i}" for i in width]))
     pos_txt = F.regexp_extract(F.coalesce(cell(COL_POS), F.lit("")), POS_PATTERN, 1)
-    parsed = data.select(
-        "file", "row", "block_row", "name", "horse_age", "sex_code",
-        date.alias("event_date"), abbr.alias("venue_abbr"),
+    read = apart.select(
+        "file", "row", is_leader().alias("_leads"), *[c.alias(n) for n, c in (header_cells() | age_cell()).items()],
+        parse_ddmmyy(cell(COL_DATE)).alias("event_date"), F.trim(cell(COL_VENUE_ABBR)).alias("venue_abbr"),
         F.when(pos_txt != "", pos_txt.try_cast("int")).alias("finish_pos"),
         F.trim(cell(COL_WINNER)).alias("winner_name"),
         numeric_cell(cell(COL_KG)).alias("load_kg"),
@@ -177,8 +190,13 @@ def parse_grid(cells: DataFrame):
         time_to_seconds(cell(COL_TIME)).alias("total_time_s"),
         numeric_cell(cell(COL_DIVIDEND)).alias("dividend"),
         norm_name(F.coalesce(cell(COL_RIDER), F.lit(""))).alias("rider_id"),
-        numeric_cell(cell(COL_BODY_WEIGHT)).alias("body_weight_kg"),
-    )
+        numeric_cell(cell(COL_BODY_WEIGHT)).alias("body_weight_kg"))
+    blk = blocks(read, F.col("_leads"))
+    hdr = block_headers(blk)
+    meta = block_meta(blk)
+    data = (blk.drop("_leads", "_header", "_name", "_post", "_said").join(hdr, ["file", "block_row", "block_no"])
+            .where(F.col("row") > F.col("header_row")))
+    parsed = data.join(meta, ["file", "block_row"], "left")
     ok = parsed.where(F.col("event_date").isNotNull())
     rejects = parsed.where(F.col("event_date").isNull()).select(
         "file", "row", F.lit("no_date").alias("reason"))
@@ -193,10 +211,9 @@ def parse_grid(cells: DataFrame):
         .alias("horse_age"),
         F.lit(None).cast("int").alias("post_position")))
     nb = hdr.groupBy("file").agg(F.count(F.lit(1)).alias("n_blocks"))
-    nh = ok.groupBy("file").agg(F.count(F.lit(1)).alias("n_history"))
-    ns = rejects.groupBy("file").agg(F.count(F.lit(1)).alias("n_skipped"))
+    nd = data.groupBy("file").agg(F.count("event_date").alias("n_history"), F.count_if(F.col("event_date").isNull()).alias("n_skipped"))
     files = cells.select("file").distinct()
-    metrics = (files.join(nb, "file", "left").join(nh, "file", "left").join(ns, "file", "left")
+    metrics = (files.join(nb, "file", "left").join(nd, "file", "left")
                .fillna(0, ["n_blocks", "n_history", "n_skipped"]))
     return rows, rejects, metrics
 

@@ -132,3 +132,43 @@ def test_score_day_card_end_to_end(spark):
     names = [e.entity_id for e in out[0].entries]
     assert names == ["ALPHA", "BRAVO"]                        # ALPHA placed 1st before: ranked first
     assert [e.rank for e in out[0].entries] == [1, 2]
+
+
+def _brute_segment(rows):
+    out, seen = [], {}
+    for part, order, st in sorted(rows):
+        last, n = seen.get(part, (None, 0))
+        if st:
+            last, n = order, n + 1
+        seen[part] = (last, n)
+        out.append((part, order, last, n if n else None))
+    return sorted(out, key=str)
+
+
+def test_segment_of_sparse_rows_in_small_and_large_parts(spark):
+    """Rows far apart: a part of at most ``chunk`` rows is one chunk, larger ones carry the last start on."""
+    rows = [(p, o * 10 ** 12, st) for p, n in (("a", 3), ("b", 40), ("c", 0)) for o, st in
+            ((i, i % 7 == 2) for i in range(n))] + [("d", 5 * 10 ** 18, True), ("d", 1, False)]
+    df = spark.createDataFrame([*rows, (None, 1, True), ("a", None, True)], "p STRING, o BIGINT, st BOOLEAN")
+    got = G.segment(df, ["p"], "o", F.col("st"), chunk=4).select("p", "o", "seg_start", "seg_no").collect()
+    assert sorted(map(tuple, got), key=str) == _brute_segment(rows)
+
+
+def test_parse_grid_deals_out_no_cells(spark):
+    """What a row's cells say is read before rows are dealt out: no exchange has the cells."""
+    cells = spark.createDataFrame([("R_RT1_20010315.xls", 1, [""] * 35)], "file STRING, row BIGINT, cells ARRAY<STRING>")
+    for df in G.parse_grid(cells):
+        text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        inputs = [part.split("\n")[1] for part in text.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+        assert inputs and not any("cells#" in line for line in inputs)
+
+
+def test_trimmed_is_white_space_of_any_script(spark):
+    from pastcast.functions.scalars import _SPACE, numeric_cell, parse_ddmmyy, trimmed
+    odd = [chr(c) for c in range(0x3100) if chr(c).isspace() or c in (0x85, 0xA0, 0x180E, 0x200B, 0x202F, 0x2060)]
+    texts = [a + "x y" + b for a in odd for b in (*odd[:3], "")] + [" \n", "", None, "\u00a0 1,5 \u3000", " - ", "—", "05/06/99\u2028", "5/6/99", "05/06/099"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").select(
+        "t", trimmed("t").alias("a"), F.regexp_replace("t", f"^{_SPACE}|{_SPACE}$", "").alias("b"), numeric_cell("t").alias("n"),
+        parse_ddmmyy("t").cast("string").alias("d")).collect()
+    assert all(r.a == r.b for r in df)
+    assert [(r.n, r.d) for r in df[-7:]] == [(None, None), (1.5, None), (None, None), (None, None), (5.0, "1999-06-05"), (5.0, None), (5.0, "0099-06-05")]
