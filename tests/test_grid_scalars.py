@@ -172,3 +172,18 @@ def test_trimmed_is_white_space_of_any_script(spark):
         parse_ddmmyy("t").cast("string").alias("d")).collect()
     assert all(r.a == r.b for r in df)
     assert [(r.n, r.d) for r in df[-7:]] == [(None, None), (1.5, None), (None, None), (None, None), (5.0, "1999-06-05"), (5.0, None), (5.0, "0099-06-05")]
+
+
+def test_score_day_card_reads_the_sheets_once(spark):
+    """The contests and the targets are kept: the result's own plan has no window that cuts sheets."""
+    from pastcast.operators import score as SC
+    rows = {2: _row(26, c7="PREMIO: Uno"), 3: _row(26, c0="1", c2="Alpha", c11="55", c14="m", c15="4", c16="Ann")}
+    f = "Programa_RT1_20240601.xls"
+    cells = spark.createDataFrame([(f, i, r) for i, r in rows.items()], "file STRING, row INT, cells ARRAY<STRING>")
+    readings = spark.createDataFrame([(f, 1, "1600 mts")], "file STRING, seq INT, text STRING")
+    hist = spark.createDataFrame([("ALPHA", dt.date(2024, 5, 1), 1, 1, 55.0, 1600, "ANN")],
+                                 "entity_id STRING, event_date DATE, venue_id INT, finish_pos INT, load_kg DOUBLE, distance_m INT, rider_id STRING")
+    out = SC.score_day_card(cells, readings, hist, SC.DEMO_SCORER)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_st#" not in plan and "cells[7]" not in plan and len(out.inputFiles()) > 0
+    assert [r.n_entries for r in out.collect()] == [1]
