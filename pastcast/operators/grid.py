@@ -76,8 +76,9 @@ def segment(df: DataFrame, part: Sequence[str], order: str, is_start: Column,
             chunk: int = CHUNK) -> DataFrame:
     """Gaps-and-islands: adds ``seg_start`` (``order`` value of the last start
     row at or before this row; NULL before the first start) and ``seg_no``
-    (1-based number of that start within ``part``). Rows without ``part`` or ``order`` go."""
-    d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*part, order]])).withColumn("_st", is_start)
+    (1-based number of that start within ``part``). Rows without ``part`` or ``order`` go; starts
+    without ``order`` count as the first ones."""
+    d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in part])).withColumn("_st", is_start)
     # at most one part for so many rows: few enough to be sent to every task
     large = d.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk).select(*part, F.lit(True).alias("_big"))
     d = d.join(F.broadcast(large), list(part), "left").withColumn(
@@ -90,7 +91,7 @@ def segment(df: DataFrame, part: Sequence[str], order: str, is_start: Column,
          .withColumn("_ln", F.sum(F.when(F.col("_st"), 1).otherwise(0)).over(wi))
     wc = Window.partitionBy(*part).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*part, "_ck", F.max("_cl").over(wc).alias("_prev"), F.sum("_cn").over(wc).alias("_off"))
-    out = d.join(summ, [*part, "_ck"], "left")
+    out = d.where(F.col(order).isNotNull()).join(summ, [*part, "_ck"], "left")
     return (out.withColumn("seg_start", F.coalesce(F.col("_ls"), F.col("_prev")))
             .withColumn("seg_no", F.when(F.col("seg_start").isNotNull(), F.coalesce(F.col("_off"), F.lit(0)) + F.col("_ln")))
             .drop("_st", "_big", "_ck", "_ls", "_ln", "_prev", "_off"))
