@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of the pieces remembered in a worker; the memory is emptied when it would be more.
-MEMORY_BYTES = 160 << 20
-#: What a worker keeps of them from task to task: the next task, of any stage, needs the room.
-KEPT_BYTES = 48 << 20
+#: Bytes of the pieces remembered in a worker; when it would be more, KEPT_BYTES of them stay.
+MEMORY_BYTES = 64 << 20
+#: What a worker keeps of them from task to task: the next task, of any stage, needs the room. The first ones
+#: that it met stay: frequent words come early.
+KEPT_BYTES = 40 << 20
 #: What a piece takes beside its characters (a string, an entry, a number), and how long it may be to be remembered.
 PIECE_BYTES, PIECE_LENGTH = 150, 64
 #: Pieces joined for the library, and joined strings of one call.
@@ -58,61 +59,95 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        # Slots by piece: of those that start with a blank without it, and of the others.
         self.slots: dict[str, int] = {}
+        self.firsts: dict[str, int] = {}
         self.size = 0
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of slot i: ends[i] up to ends[i + 1]
 
+    def _trim(self) -> None:
+        """Only the pieces met first stay, of KEPT_BYTES."""
+        n = int((len(self.slots) + len(self.firsts)) * KEPT_BYTES / self.size)
+        self.slots = {p: i for p, i in self.slots.items() if i < n}
+        self.firsts = {p: i for p, i in self.firsts.items() if i < n}
+        self.size = sum(PIECE_BYTES * len(t) + sum(map(len, t)) for t in (self.slots, self.firsts))
+        self.ids, self.ends = self.ids[:max(1, int(self.ends[n]))].copy(), self.ends[:n + 1].copy()
+
     def rest(self) -> None:
         """The end of a task: more than KEPT_BYTES are not kept for the next one."""
-        if self.size > KEPT_BYTES:
-            self._forget()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. Those that start with a blank can be joined, for one call in place of many."""
-        joins = [p[0] == " " and not p[1:2].isspace() and not p[-1].isspace() if p else False for p in pieces]
-        plain, other = list(itertools.compress(pieces, joins)), [p for p, j in zip(pieces, joins) if not j]
-        texts = ["".join(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)] + other
+        while self.size > KEPT_BYTES:
+            self._trim()
+
+    def _learn(self, words: list[str], firsts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of new pieces, which it encodes: a blank and a word, and pieces as they are.
+
+        Words without white space at their ends can be joined, for one call in place of many."""
+        joins = np.fromiter((w.strip() == w != "" for w in words), bool, len(words))
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        plain = words if joins.all() else list(itertools.compress(words, joins))
+        other = [" " + words[i] for i in order[len(plain):]] + firsts
+        texts = [" " + " ".join(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)] + other
         got = [np.empty(0, np.uint32)]
         for i in range(0, len(texts), CALL):  # the library's results are many times the ids; the fast ones have no offsets
             got += [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch_fast(texts[i:i + CALL], add_special_tokens=False)]
         ids = np.concatenate(got)
         # Each id stands for a known number of bytes, so a joined piece ends at the id that ends with it.
         id_ends = np.concatenate([[0], np.cumsum(self.byte_lengths[ids])])
-        ordered = plain + other
-        ends = np.searchsorted(id_ends, np.cumsum(pc.binary_length(pa.array(ordered, pa.large_string())).to_numpy()))
-        n, at = len(self.slots), self.ends[len(self.slots)]
+        sizes = pc.binary_length(pa.array(plain + other, pa.large_string())).to_numpy().copy()
+        sizes[:len(plain)] += 1  # the blank
+        ends = np.searchsorted(id_ends, np.cumsum(sizes))
+        n = len(self.slots) + len(self.firsts)
+        at, more = self.ends[n], len(words) + len(firsts)
         if at + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, max(at + len(ids), 2 * len(self.ids)))
-        if n + len(pieces) + 1 > len(self.ends):
-            self.ends = np.resize(self.ends, max(n + len(pieces) + 1, 2 * len(self.ends)))
+        if n + more + 1 > len(self.ends):
+            self.ends = np.resize(self.ends, max(n + more + 1, 2 * len(self.ends)))
         self.ids[at:at + len(ids)] = ids
-        self.ends[n + 1:n + 1 + len(pieces)] = at + ends
-        self.slots.update(zip(ordered, range(n, n + len(pieces))))
-
-    def _find(self, pieces: list[str]) -> tuple[np.ndarray, list[str]]:
-        """(slots, long): the slots of the pieces, and which of them are to be dropped after use."""
-        found = list(map(self.slots.get, pieces))
-        missing = list(dict.fromkeys(itertools.compress(pieces, (x is None for x in found))))
-        if not missing:
-            return np.array(found, np.int64), []
-        sizes = list(map(len, missing))
-        long = [p for p, n in zip(missing, sizes) if n > PIECE_LENGTH] if max(sizes) > PIECE_LENGTH else []
-        new = PIECE_BYTES * (len(missing) - len(long)) + sum(sizes) - sum(map(len, long))
-        if self.size + new > MEMORY_BYTES and self.slots:
-            self._forget()
-            return self._find(pieces)
-        self.size += new
-        self._learn([p for p, n in zip(missing, sizes) if n <= PIECE_LENGTH] if long else missing)
-        if long:
-            self._learn(long)
-        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces)), long
-
-    def _drop(self, long: list[str]) -> None:
-        for p in long:  # they have the last slots
-            del self.slots[p]
-        if long and len(self.ids) > 1 << 22:
-            self.ids = self.ids[:max(1 << 20, int(self.ends[len(self.slots)]))].copy()
+        self.ends[n + 1:n + 1 + more] = at + ends
+        slots = np.empty(len(words), np.int64)
+        slots[order] = np.arange(n, n + len(words))
+        self.slots.update(zip(words, slots.tolist()))
+        self.firsts.update(zip(firsts, range(n + len(words), n + more)))
+        return slots, np.arange(n + len(words), n + more)
+
+    def _find(self, words: list[str], firsts: list[str], distinct: bool) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(slots of a blank and a word, slots of pieces as they are, long): and which of both are to be dropped after use.
+
+        ``distinct`` words, as Arrow's dictionary gives them, are looked up once only."""
+        known = np.fromiter(map(self.slots.get, words, itertools.repeat(-1)), np.int64, len(words))
+        heads = np.fromiter(map(self.firsts.get, firsts, itertools.repeat(-1)), np.int64, len(firsts))
+        lost = np.flatnonzero(known < 0)
+        new = [words[i] for i in lost.tolist()]
+        new = new if distinct else list(dict.fromkeys(new))
+        started = list(dict.fromkeys(firsts[i] for i in np.flatnonzero(heads < 0).tolist()))
+        if not new and not started:
+            return known, heads, ([], [])
+        is_long = lambda p: len(p) > PIECE_LENGTH
+        long = list(filter(is_long, new)), list(filter(is_long, started))
+        short = (list(itertools.filterfalse(is_long, new)), list(itertools.filterfalse(is_long, started))) if any(long) else (new, started)
+        more = sum(PIECE_BYTES * len(p) + sum(map(len, p)) for p in short)
+        if self.size + more > MEMORY_BYTES and self.size:
+            self._trim() if self.size > KEPT_BYTES else self._forget()
+            return self._find(words, firsts, distinct)
+        self.size += more
+        slots, _ = self._learn(*short)
+        if any(long):
+            self._learn(*long)
+        if distinct and not any(long):
+            known[lost] = slots
+        else:
+            known[lost] = np.fromiter((self.slots[words[i]] for i in lost.tolist()), np.int64, len(lost))
+        if started:
+            heads = np.fromiter(map(self.firsts.__getitem__, firsts), np.int64, len(firsts))
+        return known, heads, long
+
+    def _drop(self, long: tuple) -> None:
+        for table, pieces in zip((self.slots, self.firsts), long):  # they have the last slots
+            for p in pieces:
+                del table[p]
+        if any(long) and len(self.ids) > 1 << 22:
+            self.ids = self.ids[:max(1 << 20, int(self.ends[len(self.slots) + len(self.firsts)]))].copy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of a string array; null counts as empty."""
@@ -143,11 +178,17 @@ class Encoder:
         codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         heads = bounds[:-1]  # the first piece of a text has no blank before it
         cut = [_CUT.split(texts[int(r)].as_py()) for r in runs]
-        known, long = self._find([" " + w for w in words] + [words[c] for c in codes[heads]]
-                                 + [p if i == 0 else " " + p for c in cut for i, p in enumerate(c)])
+        cut_firsts, cut_rest = [c[0] for c in cut], [p for c in cut for p in c[1:]]
+        known, firsts, long = self._find(words + cut_rest, [words[c] for c in codes[heads].tolist()] + cut_firsts, not cut_rest)
         slots = known[:len(words)][codes]
-        slots[heads] = known[len(words):len(words) + len(heads)]
-        special = known[len(words) + len(heads):]
+        slots[heads] = firsts[:len(heads)]
+        # pieces of the cut texts, in their order
+        counts = np.array([len(c) for c in cut], np.int64)
+        special = np.empty(counts.sum() if cut else 0, np.int64)
+        if cut:
+            first = np.zeros(len(special), bool)
+            first[np.cumsum(counts) - counts] = True
+            special[first], special[~first] = firsts[len(heads):], known[len(words):]
         each = np.diff(bounds)
         if len(runs):
             pieces, at, rest = [], 0, 0
@@ -157,8 +198,10 @@ class Encoder:
             slots = np.concatenate([*pieces, slots[at:]])
         lengths = self.ends[slots + 1] - self.ends[slots]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.ends[slots] - ends + lengths, lengths)]
+        # Arrow puts the pieces' ids together, without a number for each id
+        n = len(self.slots) + len(self.firsts)
+        lists = pa.LargeListArray.from_arrays(pa.array(self.ends[:n + 1]), pa.array(self.ids[:self.ends[n]]))
+        ids = lists.take(pa.array(slots)).flatten().to_numpy()
         self._drop(long)
         sums = np.concatenate([[0], ends])
         stops = np.cumsum(each)

@@ -121,6 +121,23 @@ def test_memory_of_pieces_is_bounded(encoder, monkeypatch):
         assert ids.tolist() == [i for w in whole for i in w.ids]
 
 
+def test_full_memory_of_pieces_keeps_the_first_ones(encoder, monkeypatch):
+    """When the memory is full, the pieces met first stay, and the ids of all texts are right."""
+    monkeypatch.setattr("pastcast.llm.tokens.MEMORY_BYTES", 30_000)
+    monkeypatch.setattr("pastcast.llm.tokens.KEPT_BYTES", 8000)
+    encoder._forget()
+    rng = random.Random(6)
+    common = " ".join(f"often{k}" for k in range(20))
+    for k in range(30):
+        texts = [common, f" lead {common}", *(" ".join(f"w{rng.random()}" for _ in range(30)) + "  \n " * (i % 2) for i in range(4)), None]
+        ids, ends = encoder.encode(pa.array(texts))
+        whole = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert ids.tolist() == [i for w in whole for i in w.ids] and ends.tolist() == np.cumsum([len(w.ids) for w in whole]).tolist()
+        assert encoder.size <= 38_000 and all(f"often{k}" in encoder.slots for k in range(1, 20))
+    encoder.rest()
+    assert 0 < encoder.size <= 8000
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_allocation_rules(rule):
     rng = random.Random(rule)
