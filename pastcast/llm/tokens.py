@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of the pieces remembered in a worker; when it would be more, KEPT_BYTES of them stay.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 96 << 20
 #: What a worker keeps of them from task to task: the next task, of any stage, needs the room. The first ones
 #: that it met stay: frequent words come early.
-KEPT_BYTES = 40 << 20
+KEPT_BYTES = 48 << 20
 #: What a piece takes beside its characters (a string, an entry, a number), and how long it may be to be remembered.
 PIECE_BYTES, PIECE_LENGTH = 150, 64
 #: Pieces joined for the library, and joined strings of one call.
@@ -115,18 +115,20 @@ class Encoder:
         """(slots of a blank and a word, slots of pieces as they are, long): and which of both are to be dropped after use.
 
         ``distinct`` words, as Arrow's dictionary gives them, are looked up once only."""
-        known = np.fromiter(map(self.slots.get, words, itertools.repeat(-1)), np.int64, len(words))
-        heads = np.fromiter(map(self.firsts.get, firsts, itertools.repeat(-1)), np.int64, len(firsts))
+        known = np.fromiter(map(self.slots.get, words, itertools.repeat(-1)), np.int32, len(words))
+        heads = np.fromiter(map(self.firsts.get, firsts, itertools.repeat(-1)), np.int32, len(firsts))
         lost = np.flatnonzero(known < 0)
         new = [words[i] for i in lost.tolist()]
         new = new if distinct else list(dict.fromkeys(new))
         started = list(dict.fromkeys(firsts[i] for i in np.flatnonzero(heads < 0).tolist()))
         if not new and not started:
             return known, heads, ([], [])
-        is_long = lambda p: len(p) > PIECE_LENGTH
-        long = list(filter(is_long, new)), list(filter(is_long, started))
-        short = (list(itertools.filterfalse(is_long, new)), list(itertools.filterfalse(is_long, started))) if any(long) else (new, started)
-        more = sum(PIECE_BYTES * len(p) + sum(map(len, p)) for p in short)
+        sizes = list(map(len, new)), list(map(len, started))
+        short, long = (new, started), ([], [])
+        if max(itertools.chain(*sizes)) > PIECE_LENGTH:
+            short = tuple([p for p, n in zip(x, m) if n <= PIECE_LENGTH] for x, m in zip((new, started), sizes))
+            long = tuple([p for p, n in zip(x, m) if n > PIECE_LENGTH] for x, m in zip((new, started), sizes))
+        more = sum(PIECE_BYTES + n for m in sizes for n in m if n <= PIECE_LENGTH) if any(long) else sum(PIECE_BYTES * len(m) + sum(m) for m in sizes)
         if self.size + more > MEMORY_BYTES and self.size:
             self._trim() if self.size > KEPT_BYTES else self._forget()
             return self._find(words, firsts, distinct)
@@ -196,14 +198,12 @@ class Encoder:
                 pieces += [slots[at:bounds[r]], special[rest:rest + len(c)]]
                 at, rest, each[r] = bounds[r + 1], rest + len(c), len(c)
             slots = np.concatenate([*pieces, slots[at:]])
-        lengths = self.ends[slots + 1] - self.ends[slots]
-        ends = np.cumsum(lengths)
         # Arrow puts the pieces' ids together, without a number for each id
         n = len(self.slots) + len(self.firsts)
         lists = pa.LargeListArray.from_arrays(pa.array(self.ends[:n + 1]), pa.array(self.ids[:self.ends[n]]))
-        ids = lists.take(pa.array(slots)).flatten().to_numpy()
+        taken = lists.take(pa.array(slots))
+        ids, sums = taken.flatten().to_numpy(), taken.offsets.to_numpy()
         self._drop(long)
-        sums = np.concatenate([[0], ends])
         stops = np.cumsum(each)
         return ids, sums[stops] - sums[stops - each]
 
