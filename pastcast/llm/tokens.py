@@ -12,6 +12,7 @@ The memory of pieces is bounded in bytes, and long pieces (text without blanks)
 from __future__ import annotations
 
 import itertools
+import operator
 import os
 import re
 
@@ -44,6 +45,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """A string array without nulls as Python's strings, made by Arrow in one go rather than one scalar each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """``encode`` gives flat ids and where each text's ids end; made once per Python worker."""
 
@@ -83,7 +89,7 @@ class Encoder:
         """The slots of new pieces, which it encodes: a blank and a word, and pieces as they are.
 
         Words without white space at their ends can be joined, for one call in place of many."""
-        joins = np.fromiter((w.strip() == w != "" for w in words), bool, len(words))
+        joins = np.fromiter(map(operator.eq, map(str.strip, words), words), bool, len(words)) & np.fromiter(map(bool, words), bool, len(words))
         order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
         plain = words if joins.all() else list(itertools.compress(words, joins))
         other = [" " + words[i] for i in order[len(plain):]] + firsts
@@ -177,7 +183,7 @@ class Encoder:
         bounds = parts.offsets.to_numpy()
         bounds = bounds - bounds[0]
         coded = parts.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy(), _strings(coded.dictionary)
         heads = bounds[:-1]  # the first piece of a text has no blank before it
         cut = [_CUT.split(texts[int(r)].as_py()) for r in runs]
         cut_firsts, cut_rest = [c[0] for c in cut], [p for c in cut for p in c[1:]]

@@ -138,6 +138,20 @@ def test_full_memory_of_pieces_keeps_the_first_ones(encoder, monkeypatch):
     assert 0 < encoder.size <= 8000
 
 
+def test_words_come_from_arrow_at_once(encoder):
+    """Words of Arrow's dictionary are Python strings in its order, whatever they hold; odd words are learned alone."""
+    import pyarrow as pa
+    from pastcast.llm.tokens import _strings
+    odd = ["", "a", "\x00", "b\x00c", "\u00a0", "\u2003x", "x\x1f", "\U0001f600", "\ufb01n", "\ud7ff", "d\n", "\u0085e"]
+    for kind in (pa.string(), pa.large_string()):
+        words = pa.array(odd, kind)
+        assert _strings(words) == words.to_pylist() and _strings(words.slice(3, 4)) == odd[3:7] and _strings(words.slice(0, 0)) == []
+    texts = [" ".join(odd), *(f"{w} {w}x {w}" for w in odd), None]
+    ids, ends = encoder.encode(pa.array(texts))
+    for text, at, end in zip(texts, [0, *ends.tolist()], ends.tolist()):
+        assert ids[at:end].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_allocation_rules(rule):
     rng = random.Random(rule)
