@@ -179,3 +179,69 @@ def test_tasks_of_features_are_small(spark):
     co_partition(spark)
     assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").rstrip("b")) == TASK_BYTES
     assert TASK_BYTES <= 16 << 20
+
+
+def test_leaves_add_what_their_tables_say():
+    """Contributions by columns are those of the tables by the number of met conditions; questions of a tree are asked once."""
+    import numpy as np
+    from pastcast.ml import explain as X
+    rng, inf = np.random.default_rng(1), float("inf")
+    leaves = X.Leaves(np.array([[0, 2], [0, 1], [3, 0]]), np.array([[-inf, 0.2], [0.5, -inf], [-inf, 0.1]]),
+                      np.array([[0.5, inf], [inf, 0.4], [inf, 0.9]]), {(2, 0): np.array([True, False, True])},
+                      np.array([[0.3, 0.6], [0.7, 0.2], [0.4, 0.8]]), np.array([1.5, -2.0, 0.25]))
+    x = rng.random((200, 4))
+    x[:, 3] = rng.integers(-1, 5, 200)
+    x[::7, 0], x[::11, 2] = np.nan, 0.2
+    want, table = np.zeros((200, 4)), leaves.table()
+    for r in range(200):
+        for leaf in range(3):
+            bits = 0
+            for place, f in enumerate(leaves.features[leaf]):
+                mask, v = leaves.masks.get((leaf, place)), x[r, f]
+                met = 0 <= v < 3 and mask[int(v)] if mask is not None else leaves.low[leaf, place] < v <= leaves.high[leaf, place]
+                bits |= bool(met) << place
+            for place, f in enumerate(leaves.features[leaf]):
+                want[r, f] += table[leaf, bits, place]
+    out, known = np.zeros((4, 200)), {}
+    leaves.add(leaves.columns(), np.ascontiguousarray(x.T), out, known)
+    assert np.allclose(out.T, want, atol=1e-12) and len(known) == 6
+    assert leaves.table_bytes() == leaves.columns().nbytes
+    leaves.add(leaves.columns(), np.ascontiguousarray(x.T), out, known)
+    assert np.allclose(out.T, 2 * want, atol=1e-12) and len(known) == 6
+
+
+def test_both_parts_of_a_split_are_made_in_one_pass(spark, monkeypatch):
+    """The one pass gives the rows of two jobs, with days, contests and rows repeated, and keys and days missing."""
+    import datetime as dt
+    import uuid
+    from pyspark.sql import functions as F
+    from pastcast.plans import ml_plans
+    i = F.col("id")
+    runs = spark.range(300).select(
+        F.when(i % 13 != 0, i % 7).alias("entity_id"), (i % 5).alias("rider_id"), F.floor(i / 3).alias("contest_id"), (i % 50).cast("double").alias("px"),
+        F.when(i % 29 != 0, F.date_add(F.lit(dt.date(2020, 1, 1)), F.floor(i / 9).cast("int"))).alias("event_date"), (i % 3).cast("int").alias("venue_id"),
+        (1000 + i % 4 * 50).cast("int").alias("distance_m"), (50 + i % 6).cast("double").alias("load_kg"), (i % 5 + 1).cast("int").alias("finish_pos"),
+        (i % 4).cast("double").alias("dividend"), F.lit(1).alias("label"))
+    runs = runs.union(runs.where("contest_id % 10 = 0"))
+    want = [sorted(map(str, part.collect())) for part in ml_plans._frozen(spark, runs)]
+    calls, whole = [], ml_plans.point_in_time_features
+    monkeypatch.setattr(ml_plans, "point_in_time_features", lambda *a, **kw: calls.append(1) or whole(*a, **kw))
+    names = [f"split_{part}_{uuid.uuid4().hex}" for part in ("train", "test")]
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    got = ml_plans._split_tables(spark, names, [0, 1], lambda: runs)
+    assert [sorted(map(str, part.collect())) for part in got] == want and len(calls) == 1
+    assert [part.columns for part in got] == [part.columns for part in ml_plans._frozen(spark, runs)]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+    ml_plans._split_tables(spark, names, [0, 1], lambda: 1 / 0)  # they are there
+
+
+def test_a_part_without_rows_is_a_table(spark):
+    import uuid
+    from pyspark.sql import functions as F
+    from pastcast.sources.tables import has_table, publish_parts, read_through
+    names = [f"parts_{i}_{uuid.uuid4().hex}" for i in range(3)]
+    publish_parts(spark, names, spark.range(5), F.when(F.col("id") < 2, 0).otherwise(2))
+    tables = [read_through(spark, name, None) for name in names]
+    assert [sorted(r[0] for r in t.collect()) for t in tables] == [[0, 1], [], [2, 3, 4]] and all(t.columns == ["id"] for t in tables)
+    publish_parts(spark, names[:1], spark.range(9), F.lit(0))  # another job was first: its table stays
+    assert read_through(spark, names[0], None).count() == 2 and has_table(spark, names[0]) and not has_table(spark, "none")
