@@ -245,3 +245,21 @@ def test_a_part_without_rows_is_a_table(spark):
     assert [sorted(r[0] for r in t.collect()) for t in tables] == [[0, 1], [], [2, 3, 4]] and all(t.columns == ["id"] for t in tables)
     publish_parts(spark, names[:1], spark.range(9), F.lit(0))  # another job was first: its table stays
     assert read_through(spark, names[0], None).count() == 2 and has_table(spark, names[0]) and not has_table(spark, "none")
+
+
+def test_train_classifier_fits_the_whole_model(spark, tmp_path, monkeypatch):
+    """The fit has the reference's 600 trees, by the query's own rows; the other keys' model, of its own name, is as it was."""
+    from pastcast.plans import ml_plans
+    rows = spark.range(40).select(F.col("id").alias("contest_id"), F.lit(1.0).alias("px"), (F.col("id") % 2).cast("int").alias("label"),
+                                  (F.col("id") % 7).cast("double").alias("career_runs"), F.lit("M").alias("sex_code"), F.lit("1").alias("racetrack_id"))
+    fits, fit = [], ml_plans.ML.fit
+    monkeypatch.setattr(ml_plans.ML, "fit", lambda train, num, cat, params: fits.append(params) or fit(train, num, cat, {**params, "maxIter": 1}))
+    monkeypatch.setattr(ml_plans, "_registry", lambda spark: ModelRegistry(spark, f"{tmp_path}/registry"))
+    monkeypatch.setattr(ml_plans, "_prepared", lambda *a: (rows, rows, ["career_runs"]))
+    monkeypatch.setattr(ml_plans, "_split_features", lambda *a: (rows, rows))
+    monkeypatch.setattr(ml_plans, "source_key", lambda spark, sf_dir, *more: "".join(filter(str.isalnum, "".join(more))))
+    assert ml_plans._train_classifier(spark, "no folder").count() == 40
+    assert ml_plans.ML.build_pipeline(["career_runs"], [], fits[0]).getStages()[-1].getMaxIter() == ml_plans.ML.REFERENCE_PARAMS["maxIter"] == 600
+    ml_plans._fitted(spark, "no folder", ["career_runs"])
+    ml_plans._train_classifier(spark, "no folder")
+    assert [p["maxIter"] for p in fits] == [600, 40]  # each is fitted once
