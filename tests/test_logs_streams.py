@@ -56,6 +56,48 @@ def test_search_eliminates_stops_and_resumes(spark, tmp_path, monkeypatch):
     assert stopped.stages[-1].getNumTrees < 30
 
 
+def test_search_without_a_tolerance_fits_all_trees(spark, tmp_path):
+    noise = spark.range(300).select("id", (F.rand(1) * 4).alias("a"), F.rand(2).alias("b"), F.concat(F.lit("k"), F.col("id") % 3).alias("c"),
+                                    (F.rand(9) > 0.5).cast("int").alias("label")).cache()
+    train, val = noise.where("id % 3 < 2"), noise.where("id % 3 = 2")
+    log = RunLog(spark, f"{tmp_path}/log")
+    trials = [{"maxIter": n, "maxDepth": 3, "stepSize": 0.5, "seed": 1} for n in (9, 12)]
+    best, _ = SEARCH.search(log, "s", trials, train, val, ["a", "b"], ["c"], shares=(1.0,), tol=None)
+    rows = log.read().where("kind = 'metric'").collect()
+    assert {r.run_id: r.value for r in rows if r.key == "trees_kept"} == {"s-round0-trial0": 9, "s-round0-trial1": 12}
+    scores = {r.run_id: r.value for r in rows if r.key == SEARCH.METRIC}
+    assert scores[f"s-round0-trial{best}"] == max(scores.values())
+
+
+def test_search_params_fits_every_trial_whole(spark, tmp_path, monkeypatch):
+    """50 trials, each once and with all the trees it sampled, and the best one again on the train slice."""
+    from pastcast.plans import ml_plans
+    rows = spark.range(60).select(F.col("id").alias("contest_id"), F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")).alias("event_date"),
+                                  (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("career_runs"),
+                                  F.lit("M").alias("sex_code"), F.lit("1").alias("racetrack_id"))
+    fits, refits, fit = [], [], SEARCH.fit_stopped
+    monkeypatch.setattr(ml_plans, "labelled", lambda *a: rows)
+    monkeypatch.setattr(ml_plans, "_prepared", lambda *a: (rows, rows, ["career_runs"]))
+    monkeypatch.setattr(ml_plans, "_split_tables", lambda *a: (rows, rows))
+    monkeypatch.setattr(ml_plans, "source_key", lambda *a: "key")
+    monkeypatch.setattr(ml_plans, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    small = {}
+
+    def fitted(train, val, num, cat, params, label, tol):
+        fits.append((params, tol))
+        if not small:  # one model, of one tree, is enough to rank
+            small["model"] = fit(train, val, num, cat, {**params, "maxIter": 1}, label, tol)
+        return small["model"]
+    whole = ml_plans.ML.train_eval
+    monkeypatch.setattr(SEARCH, "fit_stopped", fitted)
+    monkeypatch.setattr(ml_plans.ML, "train_eval", lambda tr, te, num, cat, params: refits.append(params) or whole(tr, te, num, cat, {**params, "maxIter": 1}))
+    got = ml_plans._search_params(spark, "no folder").collect()
+    sampled = [dict(t, seed=42) for t in ML.sample_params(50, seed=42)]
+    assert sorted(map(str, (p for p, _ in fits))) == sorted(map(str, sampled)) and {tol for _, tol in fits} == {None}
+    assert min(p["maxIter"] for p in sampled) >= 200 and len({p["maxIter"] for p in sampled}) > 40
+    assert refits == [sampled[got[0].best_trial]] and {r.part for r in got} == {"train", "test"}
+
+
 def test_days_are_emitted_once_late_rows_dropped_over_restarts(spark, tmp_path):
     day = lambda d, h=12: dt.datetime(2024, 1, d, h)
     runs = [[(day(1), "x"), (day(2), "p"), (day(3), "x")],
