@@ -122,3 +122,39 @@ def test_lookback_against_a_literal_join(spark, tables, lookback):
         assert r.days_since_last_win == ((t.event_date - max(wins)).days if wins else None)
         assert r.track_runs == sum(t.venue_id is not None and x.venue_id == t.venue_id for x in h)
         assert r.dist_bucket_runs == sum(t.distance_m is not None and x.distance_m is not None and abs(x.distance_m - t.distance_m) <= 100 for x in h)
+
+
+def _odd_runs(spark, entities, n, days):
+    """Runs with missing keys, days, places and dividends, several a day, before and after 1970, some of them twice."""
+    i = F.col("id")
+    h = lambda s, m: F.pmod(F.xxhash64(i, F.lit(s)), F.lit(m))
+    rows = spark.range(n).select(
+        F.when(h(1, 97) > 0, F.least(h(14, 2 * entities), F.lit(entities))).alias("entity_id"), (i % 50).alias("rider_id"), F.floor(i / 7).alias("contest_id"),
+        h(2, 5).cast("double").alias("px"), F.when(h(3, 101) > 0, F.date_add(F.lit(dt.date(1969, 9, 1)), h(4, days).cast("int"))).alias("event_date"),
+        F.when(h(5, 6) > 0, h(5, 6)).cast("int").alias("venue_id"), F.when(h(6, 31) > 0, 1000 + h(7, 13) * 50).cast("int").alias("distance_m"),
+        F.when(h(8, 29) > 0, 40 + h(9, 50) * 0.5).cast("double").alias("load_kg"), F.when(h(10, 9) > 0, 1 + h(11, 8)).cast("int").alias("finish_pos"),
+        F.when(h(12, 3) > 0, h(13, 90)).cast("double").alias("dividend"))
+    return rows.unionByName(rows.where("contest_id % 9 = 0"))
+
+
+@pytest.mark.parametrize("lookback", [1, 60, 1000])
+def test_lookback_of_short_and_long_histories(spark, monkeypatch, lookback):
+    """Rows met by the days that see them, and running sums, give the same; half the rows are of one entity."""
+    from pastcast.operators import features
+    rows = _odd_runs(spark, 20, 1500, 400).cache()
+
+    def got(frame_rows):
+        monkeypatch.setattr(features, "FRAME_ROWS", frame_rows)
+        df = point_in_time_features(rows, rows, lookback_days=lookback, last_n=4)
+        return sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    running = got(0)
+    assert len(running) == rows.count() and running == got(300) and running == got(100_000)
+
+
+def test_lookback_of_short_histories_runs_no_window(spark):
+    rows = _odd_runs(spark, 100, 800, 400).where("entity_id < 100")
+    df = point_in_time_features(rows, rows, lookback_days=60, groups={"entity", "venue", "band"})
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    assert "Join" in final and "Window" not in final
