@@ -151,6 +151,20 @@ def test_lookback_of_short_and_long_histories(spark, monkeypatch, lookback):
     assert len(running) == rows.count() and running == got(300) and running == got(100_000)
 
 
+def test_lookback_of_runs_that_tie(spark, monkeypatch):
+    """Five rows of one contest and tie-break on the last day: of ties, the three that come first in the contest count."""
+    from pastcast.operators import features
+    past = [("X", "r", dt.date(2024, 1, d), 1, pos, 50.0, 1600, float(pos), c, 1.0) for d, pos, c in
+            [(2, 9, 1), (9, 1, 2), (9, 2, 2), (9, 3, 2), (9, 4, 2), (9, 5, 2)]]
+    rows = spark.createDataFrame(past, RUNS).coalesce(1)
+    target = spark.createDataFrame([("X", "r", dt.date(2024, 1, 20), 1, None, 50.0, 1600, None, 3, 1.0)], RUNS)
+    got = []
+    for n in (0, 300):
+        monkeypatch.setattr(features, "FRAME_ROWS", n)
+        got.append(point_in_time_features(rows, target, lookback_days=30).first())
+    assert got[0] == got[1] and (got[1].avg_finish_last3, got[1].best_finish_last3, got[1].dividend_last3_mean, got[1].career_runs) == (2, 1, 2, 6)
+
+
 def test_lookback_of_short_histories_runs_no_window(spark):
     rows = _odd_runs(spark, 100, 800, 400).where("entity_id < 100")
     df = point_in_time_features(rows, rows, lookback_days=60, groups={"entity", "venue", "band"})
